@@ -63,6 +63,16 @@ def _shown(value: Column, text: Column) -> Column:
             .otherwise(F.coalesce(text, F.to_json(value))))
 
 
+def evaluated_once(df: DataFrame) -> DataFrame:
+    """The same rows behind a one-element generator.
+
+    A filter on a computed column is otherwise pushed below the projection that computes it, as a
+    copy of the whole expression, and a frame would be decoded once for the filter and once more
+    for the result. Filters on generated columns stay above the generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 META, POSITION = "$.MetaData", "$.Message.PositionReport"
 NUMBER_LIMITS = {"Latitude": (-90.0, 90.0), "Longitude": (-180.0, 180.0), "Sog": (0.0, None)}
 
@@ -167,7 +177,7 @@ def with_errors(fields: DataFrame) -> DataFrame:
               .when(known, none)
               .when(is_frame, F.array(unsupported))
               .otherwise(F.array(F.lit("payload is not a JSON object"))))
-    return fields.withColumns(flags).withColumn("_errors", errors).drop(*flags)
+    return evaluated_once(fields.withColumns(flags).withColumn("_errors", errors).drop(*flags))
 
 
 def stamped_text(value="value", received_at="received_at") -> Column:

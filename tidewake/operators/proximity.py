@@ -206,20 +206,22 @@ def nearby_many(points: DataFrame, state: DataFrame, radius_m: float,
     def cells(band: Column) -> Column:
         return geo.cells_in_band(band, F.col("_h"), F.col("_d"))
 
-    band = geo.band_of(F.col("lat"), F.col("_h"))
-    probes = [F.struct((band + i).alias("band"), F.pmod(
-        geo.cell_in_band(F.col("lon"), cells(band + i)) + d, cells(band + i)).alias("cell"))
-        for i in (-1, 0, 1) for d in (-1, 0, 1)]
-    p = asked.select("point_id", "lat", "lon", "_d", "level",
+    asked = asked.withColumn("_band", geo.band_of(F.col("lat"), F.col("_h")))
+    asked = asked.withColumns({f"_n{i}": cells(F.col("_band") + (i - 1)) for i in range(3)})
+    asked = asked.withColumns({f"_c{i}": geo.cell_in_band(F.col("lon"), F.col(f"_n{i}")) for i in range(3)})
+    probes = [F.struct((F.col("_band") + (i - 1)).alias("band"),
+                       F.pmod(F.col(f"_c{i}") + d, F.col(f"_n{i}")).alias("cell"))
+              for i in range(3) for d in (-1, 0, 1)]
+    p = asked.select("point_id", "lat", "lon", "_h", "level",
                      F.explode(F.array_distinct(F.array(*probes))).alias("_c")).select(
-        "point_id", "lat", "lon", "_d", "level", "_c.*")
+        "point_id", "lat", "lon", F.col("_h").alias("_reach"), "level", "_c.*")
     # Every vessel appears once per search distance in use: one per level at most.
     grid = (rows.withColumn("_used", used).select(*SIDE, F.explode("_used").alias("_u"))
             .select(*SIDE, "_u.*"))
-    v_band = geo.band_of(F.col("latitude"), F.col("_h"))
-    q = grid.select(*SIDE, "level", v_band.alias("band"),
-                    geo.cell_in_band(F.col("longitude"), cells(v_band)).alias("cell"))
-    near = F.abs(F.col("latitude") - F.col("lat")) <= geo.lat_span_degrees(F.col("_d"))
+    grid = grid.withColumn("band", geo.band_of(F.col("latitude"), F.col("_h")))
+    grid = grid.withColumn("_n", cells(F.col("band")))
+    q = grid.select(*SIDE, "level", "band", geo.cell_in_band(F.col("longitude"), F.col("_n")).alias("cell"))
+    near = F.abs(F.col("latitude") - F.col("lat")) <= F.col("_reach")
     pairs = geo.with_geodesic(p.join(q, ["level", "band", "cell"]).filter(near), "distance_m",
                               "latitude", "longitude", "lat", "lon", method)
     w = W.partitionBy("point_id").orderBy(_by_distance("distance_m"), "mmsi")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions import times
+from tidewake.functions.frames import evaluated_once
 from tidewake.operators.ranking import rank_select
 from tidewake.sources.archive import cutoff_of
 
@@ -49,7 +50,8 @@ def latency_stats(archive: DataFrame, as_of=None,
                   window_hours: int = DEFAULT_WINDOW_HOURS) -> DataFrame:
     """One row: avg (1 decimal), p50, p95, max of the non-negative latencies, and the negative ones."""
     _check(window_hours)
-    rows = arrived_in_window(archive, as_of, window_hours).select(source_latency().alias("latency"))
+    rows = evaluated_once(arrived_in_window(archive, as_of, window_hours).select(
+        source_latency().alias("latency")))
     counted = rows.agg(
         F.bround(F.avg(F.when(F.col("latency") >= 0, F.col("latency"))), 1).alias("avg_s"),
         F.max(F.when(F.col("latency") >= 0, F.col("latency"))).alias("max_s"),
@@ -60,7 +62,7 @@ def latency_stats(archive: DataFrame, as_of=None,
 
 
 def _percentiles(rows: DataFrame) -> tuple[Column, Column]:
-    ranks = latency_ranks(rows.filter("latency >= 0"))
+    ranks = latency_ranks(rows.select(F.when(F.col("latency") >= 0, F.col("latency")).alias("latency")))
     both = ranks.agg(F.struct(*[F.max(F.when(F.col("rank_name") == r, F.col("value"))).alias(r)
                                 for r in ("p50", "p95")]).alias("r")).scalar()
     return both["p50"], both["p95"]
@@ -80,8 +82,9 @@ def data_quality(archive: DataFrame, as_of=None, window_hours: int = DEFAULT_WIN
     The counters are one aggregation over seven columns of the pruned hours.
     """
     _check(window_hours)
-    rows = arrived_in_window(archive, as_of, window_hours).select(
-        "latitude", "longitude", "sog_knots", "cog_degrees", source_latency().alias("latency"))
+    window = arrived_in_window(archive, as_of, window_hours)
+    rows = window.select("latitude", "longitude", "sog_knots", "cog_degrees",
+                         source_latency().alias("latency"))
     no_position = F.col("latitude").isNull() | F.col("longitude").isNull()
     inside = F.col("latitude").between(-90.0, 90.0) & F.col("longitude").between(-180.0, 180.0)
     counted = rows.agg(
@@ -93,7 +96,7 @@ def data_quality(archive: DataFrame, as_of=None, window_hours: int = DEFAULT_WIN
         F.bround(F.avg(F.when(F.col("latency") >= 0, F.col("latency"))), 1).alias("avg_s"),
         F.max(F.when(F.col("latency") >= 0, F.col("latency"))).alias("max_s"),
         F.count_if(F.col("latency") < 0).alias("events_negative_latency"))
-    p50, p95 = _percentiles(rows.select("latency"))
+    p50, p95 = _percentiles(evaluated_once(window.select(source_latency().alias("latency"))))
     files = (files_scanned(archive, as_of, window_hours, file).scalar() if file
              else F.lit(None).cast("long"))
     return counted.select(

@@ -27,8 +27,7 @@ def rank_select(values: DataFrame, value: str, ranks: dict[str, Column],
     """
     base = values.select(F.col(value).cast("double").alias("_v"),
                          (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
-    base = base.filter("_v IS NOT NULL")
-    totals = base.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"),
+    totals = base.agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))), F.lit(0)).alias("n"),
                       F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     wanted = totals.filter("n > 0").select(F.array(*[
         F.struct(F.lit(name).alias("id"), k.cast("long").alias("k"), "lo", "hi",
@@ -63,7 +62,8 @@ def interpolated(values: DataFrame, value: str, fraction: float,
     """One row ``(value)``: the linearly interpolated percentile; NULL when there are no rows."""
     at = (F.col("n") - 1) * F.lit(float(fraction))
     picked = rank_select(values, value, {"low": F.floor(at), "high": F.ceil(at)}, weight)
-    n = values.agg((F.sum(weight) if weight else F.count(value)).alias("n")).scalar()
+    known = F.col(value).isNotNull()
+    n = values.agg((F.sum(F.when(known, F.col(weight))) if weight else F.count(value)).alias("n")).scalar()
     low = F.max(F.when(F.col("rank_name") == "low", F.col("value")))
     high = F.max(F.when(F.col("rank_name") == "high", F.col("value")))
     share = (n - 1) * F.lit(float(fraction))

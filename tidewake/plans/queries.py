@@ -91,7 +91,8 @@ class Tables:
 
     @property
     def archive(self) -> DataFrame:
-        return ar.archive_rows(self.positions, self.as_of)
+        """Archive rows; ``dt`` and ``HH`` are evaluated once, like the folder names they stand for."""
+        return fr.evaluated_once(ar.archive_rows(self.positions, self.as_of).drop("raw"))
 
 
 def _six(df: DataFrame, *columns: str) -> DataFrame:
@@ -232,7 +233,7 @@ def _damaged_log(t: Tables) -> DataFrame:
               .when(n == 4, F.regexp_replace(value, '"event_id":"[^"]+"', '"event_id":null'))
               .when(n == 5, F.regexp_replace(value, '"longitude":[^,]+', '"longitude":null'))
               .when(n == 6, F.lit("{broken")).when(n == 7, F.lit(None)).otherwise(value))
-    return t.positions.select(F.col("mmsi").alias("key"), broken.alias("value"))
+    return fr.evaluated_once(t.positions).select(F.col("mmsi").alias("key"), broken.alias("value"))
 
 
 @query

@@ -16,6 +16,8 @@ SETTINGS = {
     # The JVM does not compile methods above 8000 bytes; without this, wide projections such as
     # the frame decoder run interpreted inside one huge generated method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # No stack capture per Column call: it multiplies the time to build plans of many expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -48,9 +48,15 @@ FLEET_EXPR = {
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four columns the views need, with ``ts`` as a UTC instant."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    """The four columns the views need, with ``ts`` as a UTC instant.
+
+    A table of fewer splits than cores (one small file) is dealt out to all of them, since decoding
+    is far dearer than moving four columns; a table of many files is read in place.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    cores = spark.sparkContext.defaultParallelism
+    return events.repartition(cores) if events.rdd.getNumPartitions() < cores else events
 
 
 def as_positions(events: DataFrame) -> DataFrame:

@@ -93,9 +93,9 @@ def decode_events(records: DataFrame) -> DataFrame:
                   F.lit(n)) for n in _NUMBER_FIELDS]
     bad.append(F.when(F.col("_v").isNull(), F.lit("value")))
     extra = [c for c in ("partition", "offset") if c in records.columns]
-    return v.select(*[typed(f).alias(f.name) for f in EVENT_SCHEMA],
-                    F.col("value").alias("_value"), F.array_compact(F.array(*bad)).alias("_bad"),
-                    *extra)
+    return fr.evaluated_once(v.select(
+        *[typed(f).alias(f.name) for f in EVENT_SCHEMA], F.col("value").alias("_value"),
+        F.array_compact(F.array(*bad)).alias("_bad"), *extra))
 
 
 def read_log(spark: SparkSession, source: str | dict, streaming: bool = False,
