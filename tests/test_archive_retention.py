@@ -36,7 +36,7 @@ def test_layout_and_replay(spark, tmp_path):
     assert paths.folders(spark, path) == ["dt=2026-09-10"]
     assert paths.folders(spark, path + "/dt=2026-09-10") == ["HH=12", "HH=13", "HH=14", "HH=15"]
     assert paths.folders(spark, path + "/dt=2026-09-10/HH=12") == ["batch=0", "batch=1"]
-    back = ar.read_archive(spark, path)
+    back = ar.read_archive(spark, path, files=True)
     assert back.count() == 40 and back.select("file").distinct().count() == 8
     assert [f.dataType.simpleString() for f in back.schema if f.name in ("dt", "HH")] == ["string", "string"]
 
@@ -88,7 +88,7 @@ def test_quality_report_equals_a_loop(spark, tmp_path, n):
     path = str(tmp_path / "a")
     ar.write_archive(events_df(spark, rows), path)
     as_of, hours = T0 + minutes(600), 5
-    archive = ar.read_archive(spark, path) if n else ar.archive_rows(events_df(spark, [])).withColumn("file", F.lit(""))
+    archive = ar.read_archive(spark, path, files=True) if n else ar.archive_rows(events_df(spark, [])).withColumn("file", F.lit(""))
     got = ql.data_quality(archive, as_of, hours).first()
     want, deltas = brute_quality(raw, BASE + 5 * 3600)
     assert (got.events_processed, got.missing_position, got.invalid_coordinates, got.missing_sog, got.missing_cog) == (
@@ -109,7 +109,7 @@ def test_quality_report_equals_a_loop(spark, tmp_path, n):
 def test_files_are_counted_before_rows_are_compared(spark, tmp_path):
     path = str(tmp_path / "a")
     ar.write_archive(events_df(spark, reports(12, 10, delay=-1e6)), path)
-    got = ql.data_quality(ar.read_archive(spark, path), T0 + minutes(120), 24).first()
+    got = ql.data_quality(ar.read_archive(spark, path, files=True), T0 + minutes(120), 24).first()
     assert (got.events_processed, got.parquet_files) == (0, 2)
 
 

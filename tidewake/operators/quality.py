@@ -76,9 +76,11 @@ def files_scanned(archive: DataFrame, as_of=None, window_hours: int = DEFAULT_WI
 
 
 def data_quality(archive: DataFrame, as_of=None, window_hours: int = DEFAULT_WINDOW_HOURS,
-                 file: str | None = "file") -> DataFrame:
+                 file: str = "file") -> DataFrame:
     """One row: events, files, latency and what is missing, over the window's arrivals.
 
+    Without a ``file`` column in the archive the number of files is NULL.
+
     The counters are one aggregation over seven columns of the pruned hours.
     """
     _check(window_hours)
@@ -97,7 +99,7 @@ def data_quality(archive: DataFrame, as_of=None, window_hours: int = DEFAULT_WIN
         F.max(F.when(F.col("latency") >= 0, F.col("latency"))).alias("max_s"),
         F.count_if(F.col("latency") < 0).alias("events_negative_latency"))
     p50, p95 = _percentiles(evaluated_once(window.select(source_latency().alias("latency"))))
-    files = (files_scanned(archive, as_of, window_hours, file).scalar() if file
+    files = (files_scanned(archive, as_of, window_hours, file).scalar() if file in archive.columns
              else F.lit(None).cast("long"))
     return counted.select(
         F.lit(int(window_hours)).alias("window_hours"), "events_processed",

@@ -59,14 +59,18 @@ def cutoff_of(as_of=None, window_hours: int = 24):
     return times.hours_ago(times.as_of_column(as_of), window_hours)
 
 
-def read_archive(spark: SparkSession, path: str, as_of=None,
-                 window_hours: int | None = None) -> DataFrame:
-    """Archive rows with ``dt``, ``HH`` and ``file``; a window prunes whole hour folders."""
+def read_archive(spark: SparkSession, path: str, as_of=None, window_hours: int | None = None,
+                 files: bool = False) -> DataFrame:
+    """Archive rows with ``dt`` and ``HH``; a window prunes whole hour folders.
+
+    ``files`` adds the column ``file`` for counting the files a report scans.
+    """
     schema = T.StructType(ARCHIVE_SCHEMA.fields + [T.StructField("batch", T.LongType())])
     df = spark.read.schema(schema).parquet(path)
     if window_hours is not None:
         df = df.filter(times.in_window("dt", "HH", cutoff_of(as_of, window_hours)))
-    return df.select(*ARCHIVE_SCHEMA.names, F.col("_metadata.file_path").alias("file"))
+    extra = [F.col("_metadata.file_path").alias("file")] if files else []
+    return df.select(*ARCHIVE_SCHEMA.names, *extra)
 
 
 def batch_digest(events: DataFrame, flush: str = "flush") -> DataFrame:
