@@ -16,6 +16,9 @@ SETTINGS = {
     # The JVM does not compile methods above 8000 bytes; without this, wide projections such as
     # the frame decoder run interpreted inside one huge generated method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+# Settings a running session cannot change.
+STATIC_SETTINGS = {
     # No stack capture per Column call: it multiplies the time to build plans of many expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -26,7 +29,7 @@ def get_session(app: str = "tidewake", master: str | None = None, **extra: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**STATIC_SETTINGS, **SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
