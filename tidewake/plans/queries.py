@@ -95,6 +95,15 @@ class Tables:
         return fr.evaluated_once(ar.archive_rows(self.positions, self.as_of).drop("raw"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A derived table as the stored one it stands for, in the shared folder.
+
+    Operators that read their input several times are meant for stored tables.
+    """
+    session.shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _six(df: DataFrame, *columns: str) -> DataFrame:
     """Round computed doubles, whose last digits depend on the order of summing."""
     return df.withColumns({c: F.round(c, 6) for c in columns})
@@ -386,7 +395,7 @@ def fastest_vessel(t: Tables) -> DataFrame:
 
 @query
 def fleet_summary(t: Tables) -> DataFrame:
-    row = fl.fleet_summary(t.aged, t.track, t.as_of)
+    row = fl.fleet_summary(stored(t.aged), t.track, t.as_of)
     return _six(row.select("*", F.col("fastest.mmsi").alias("fastest_mmsi"),
                            F.col("fastest.sog_knots").alias("fastest_sog"),
                            F.to_json("by_status").alias("status_list"))
@@ -400,12 +409,12 @@ def speed_histogram(t: Tables) -> DataFrame:
 
 @query
 def speed_stats(t: Tables) -> DataFrame:
-    return _six(fl.speed_stats(t.state), "avg_sog", "p50_sog")
+    return _six(fl.speed_stats(stored(t.state)), "avg_sog", "p50_sog")
 
 
 @query
 def speed_distribution(t: Tables) -> DataFrame:
-    row = fl.speed_distribution(t.fleet)
+    row = fl.speed_distribution(stored(t.fleet))
     return _six(row.withColumn("buckets", F.to_json("buckets", {"ignoreNullFields": "false"})),
                 "avg_sog", "p50_sog")
 
@@ -485,30 +494,30 @@ def nearby_many(t: Tables) -> DataFrame:
     """The five closest vessels within 500 m of every report."""
     points = t.positions.select(F.col("event_id").alias("point_id"), F.col("latitude").alias("lat"),
                                 F.col("longitude").alias("lon"))
-    return px.nearby_many(points, t.state, 500.0, 5).select(
+    return px.nearby_many(stored(points), stored(t.state), 500.0, 5).select(
         "point_id", "mmsi", F.col("rank").cast("long").alias("rank"),
         F.round("distance_m", 3).alias("distance_m"))
 
 
 @query
 def conflicts(t: Tables) -> DataFrame:
-    return _pair_columns(px.conflicts(t.state))
+    return _pair_columns(px.conflicts(stored(t.state)))
 
 
 @query
 def conflicts_fleet(t: Tables) -> DataFrame:
     """A third of the vessels lies in one harbour."""
-    return _pair_columns(px.conflicts(t.fleet))
+    return _pair_columns(px.conflicts(stored(t.fleet)))
 
 
 @query
 def conflicts_geodesic(t: Tables) -> DataFrame:
-    return _pair_columns(px.conflicts(t.fleet, 300.0, mode="geodesic"))
+    return _pair_columns(px.conflicts(stored(t.fleet), 300.0, mode="geodesic"))
 
 
 @query
 def conflict_severity(t: Tables) -> DataFrame:
-    pairs = px.with_severity(px.conflicts(t.state, 2000.0))
+    pairs = px.with_severity(px.conflicts(stored(t.state), 2000.0))
     return pr.table_rows(_pair_columns(pairs, "severity", "distance_text").orderBy(
         "distance_m", "a_mmsi", "b_mmsi"))
 
@@ -529,20 +538,20 @@ def in_window(t: Tables) -> DataFrame:
 
 @query
 def data_quality(t: Tables) -> DataFrame:
-    row = ql.data_quality(t.archive, t.as_of, WINDOW_HOURS, file="dt")
+    row = ql.data_quality(stored(t.archive), t.as_of, WINDOW_HOURS, file="dt")
     return _six(row.select("*", "latency.*").drop("latency").withColumnRenamed(
         "parquet_files", "days_scanned"), "p50_s", "p95_s", "max_s")
 
 
 @query
 def latency_stats(t: Tables) -> DataFrame:
-    return _six(ql.latency_stats(t.archive, t.as_of), "p50_s", "p95_s", "max_s")
+    return _six(ql.latency_stats(stored(t.archive), t.as_of), "p50_s", "p95_s", "max_s")
 
 
 @query
 def latency_ranks(t: Tables) -> DataFrame:
     """p50 and p95 by index over the whole archive."""
-    rows = t.archive.select(ql.source_latency().alias("latency")).filter("latency >= 0")
+    rows = stored(t.archive).select(ql.source_latency().alias("latency")).filter("latency >= 0")
     return _six(ql.latency_ranks(rows), "value")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.schemas import EVENT_SCHEMA
+from tidewake.sources import paths
 
 # Expressions over event_id, user_id, value and ts (timestamp); integers until the last step, so
 # that any engine gets the same double.
@@ -47,16 +48,26 @@ FLEET_EXPR = {
 }
 
 
+SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+          "props STRING")
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def _columns(events: DataFrame) -> DataFrame:
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four columns the views need, with ``ts`` as a UTC instant.
 
     A table of fewer splits than cores (one small file) is dealt out to all of them, since decoding
     is far dearer than moving four columns; a table of many files is read in place.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    path = f"{sf_dir}/events.parquet"
+    files, size = paths.extent(spark, path)
+    events = _columns(spark.read.schema(SCHEMA).parquet(path))
     cores = spark.sparkContext.defaultParallelism
-    return events.repartition(cores) if events.rdd.getNumPartitions() < cores else events
+    return events.repartition(cores) if max(files, size // SPLIT_BYTES) < cores else events
 
 
 def as_positions(events: DataFrame) -> DataFrame:
@@ -78,9 +89,9 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> Column:
-    """The last event's instant, as a scalar subquery over the table's statistics."""
-    latest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts").cast("timestamp"))
-    return latest.scalar()
+    """The last event's instant, as a scalar subquery."""
+    events = spark.read.schema(SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    return events.agg(F.max("ts").cast("timestamp")).scalar()
 
 
 def as_frames(events: DataFrame) -> DataFrame:
@@ -140,10 +151,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_events(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
     """The ``events`` table as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.option("pathGlobFilter", "events*.parquet").parquet(sf_dir).select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
-
+    return _columns(reader.option("pathGlobFilter", "events*.parquet").parquet(sf_dir))

@@ -26,3 +26,10 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _open(spark, path)
     return fs.delete(p, True)
+
+
+def extent(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of files and bytes below a path."""
+    fs, p = _open(spark, path)
+    summary = fs.getContentSummary(p)
+    return summary.getFileCount(), summary.getLength()
