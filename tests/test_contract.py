@@ -3,13 +3,15 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, canonical
+from tidewake.plans.oracles import ORACLES
+from tidewake.plans.queries import QUERIES
 
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracle_sql()) <= set(NAMES)
-    assert set(NAMES) - set(oracle_sql()) == {"event_id"}
+    assert set(oracle_sql()) <= set(queries())
+    assert set(NAMES) - set(ORACLES) == {"event_id"}
 
 
 def test_entry(spark):
