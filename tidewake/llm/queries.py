@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake import session
-from tidewake.llm import forest, packing, permutation, sharding, tokens
+from tidewake.llm import decontamination, forest, packing, permutation, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # None of the ten can be stated in SQL over whole tables; tests/llm holds them against brute force.
@@ -48,6 +48,11 @@ def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op6_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
