@@ -37,7 +37,7 @@ from tidewake.llm.common import BASE
 K1, B = 1.2, 0.75
 RETRIEVE, OVERLAP = 0.5, 0.6
 LONGEST, SHORTEST = 128, 8
-ITEMS_PER_BLOCK = 8
+ITEMS_PER_BLOCK = 4
 INDEX_WORDS = 4_000_000
 SHINGLE = 5
 BLOCK = 4 << 20
@@ -119,6 +119,8 @@ class Index:
             count = math.ceil(len(h) / LONGEST)
             for part in np.array_split(h, count):
                 pieces.append((len(self.ids) - 1, part))
+        # Pieces of like length share a block: the shares of their terms are alike, and the maxima tight.
+        pieces.sort(key=lambda p: len(p[1]))
         self.item = np.array([p[0] for p in pieces], np.int64)
         self.span = max((len(p[1]) for p in pieces), default=1)
         terms = [Counter(part.tolist()) for _, part in pieces]
@@ -137,21 +139,34 @@ class Index:
         self._block_maxima(len(pieces))
 
     def _block_maxima(self, pieces: int) -> None:
-        n_blocks = max(1, math.ceil(pieces / ITEMS_PER_BLOCK))
-        self.blocks = n_blocks
-        starts, block, most, common = [0], [], [], np.zeros(len(self.vocabulary))
+        """Per term and block the greatest share; terms of many blocks are frequent and kept apart.
+
+        What the frequent terms can bring is bounded twice: by those in the window, and per block by the most
+        that they make up of any of its pieces.
+        """
+        self.blocks = max(1, math.ceil(pieces / ITEMS_PER_BLOCK))
+        self.most_of: list[float] = []
+        self.bounds: list[dict[int, float]] = []
+        starts, block, most = [0], [], []
+        frequent = np.zeros(pieces)
+        self.common = np.zeros(len(self.vocabulary))
         for t, posting in enumerate(self.postings):
             best: dict[int, float] = defaultdict(float)
             for piece, share in posting:
                 best[piece // ITEMS_PER_BLOCK] = max(best[piece // ITEMS_PER_BLOCK], share)
-            if len(best) > max(4, n_blocks // 4):
-                common[t] = max(best.values())  # frequent: one maximum for all blocks
+            self.bounds.append(dict(best))
+            self.most_of.append(max(best.values()))
+            if len(best) > max(4, self.blocks // 4):
+                self.common[t] = max(best.values())
+                for piece, share in posting:
+                    frequent[piece] += share
             else:
                 block += best
                 most += best.values()
             starts.append(len(block))
-        self.common, self.starts = common, np.array(starts, np.int64)
-        self.block, self.most = np.array(block, np.int64), np.array(most)
+        self.starts, self.block, self.most = np.array(starts, np.int64), np.array(block, np.int64), np.array(most)
+        self.frequent = np.zeros(self.blocks)
+        np.maximum.at(self.frequent, np.arange(pieces) // ITEMS_PER_BLOCK, frequent)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of terms, -1 for words that no item has."""
@@ -166,17 +181,18 @@ class Index:
         first = np.repeat(self.starts[term] - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
         at = first + np.arange(width.sum())
         key = np.repeat(window, width) * self.blocks + self.block[at]
-        # a block of which only frequent terms occur can still pass on these alone
-        found = shared >= retrieve
+        # a block without any rarer term can pass only if the frequent ones alone can make up the share
+        found = (shared >= retrieve - 1e-9) & (self.frequent.max(initial=0.0) >= retrieve - 1e-9)
         distinct, which = np.unique(key, return_inverse=True)
         sums = np.bincount(which, weights=self.most[at], minlength=len(distinct))
-        found[distinct[sums + shared[distinct // self.blocks] >= retrieve] // self.blocks] = True
+        of_window, of_block = distinct // self.blocks, distinct % self.blocks
+        bound = sums + np.minimum(shared[of_window], self.frequent[of_block])
+        found[of_window[bound >= retrieve - 1e-9]] = True
         return np.flatnonzero(found)
 
     def search(self, terms: np.ndarray, retrieve: float) -> set[int]:
         """Items of which a passage with these distinct terms has the share ``retrieve``: block-max WAND."""
-        maxima = [max(s for _, s in self.postings[t]) for t in terms]
-        lists = [[self.postings[t], 0, m, self._bounds(int(t))] for t, m in zip(terms, maxima)]
+        lists = [[self.postings[t], 0, self.most_of[t], self.bounds[t]] for t in terms.tolist()]
         out = set()
         while lists:
             lists.sort(key=lambda x: x[0][x[1]][0])
@@ -208,12 +224,6 @@ class Index:
             lists = [e for e in lists if e[1] < len(e[0])]
         return out
 
-    def _bounds(self, term: int) -> dict[int, float]:
-        best: dict[int, float] = {}
-        for piece, share in self.postings[term]:
-            best[piece // ITEMS_PER_BLOCK] = max(best.get(piece // ITEMS_PER_BLOCK, 0.0), share)
-        return best
-
     @staticmethod
     def _advance(lists: list[list], target: int) -> None:
         for entry in lists:
