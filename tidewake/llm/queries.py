@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake import session
-from tidewake.llm import decontamination, forest, packing, permutation, sharding, tokens
+from tidewake.llm import decontamination, forest, packing, permutation, secret_scan, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # None of the ten can be stated in SQL over whole tables; tests/llm holds them against brute force.
@@ -58,6 +58,11 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query
+def op9_combined_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 @query
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=4, percent=80)
