@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake import session
-from tidewake.llm import decontamination, forest, language, packing, permutation, secret_scan, sharding, tokens
+from tidewake.llm import decontamination, forest, language, packing, permutation, secret_scan, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # None of the ten can be stated in SQL over whole tables; tests/llm holds them against brute force.
@@ -45,6 +45,15 @@ def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign_batches(docs, F.col("length"))
 
 
+@query
+def op4_spelling_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(language.remainder("doc_id", 5) == 0, F.lit(False))
+    sample = toxicity.labelled(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.scored(docs, toxicity.fit(sample)).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.scratch(spark, "shards")
