@@ -17,6 +17,7 @@ each have a result; conflicting labels of one document both count; an empty tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -106,15 +107,22 @@ def _context_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def learned_terms(sample: DataFrame, terms: int = TERMS) -> list[str]:
-    """The words that mark toxic texts best; at most ``terms``."""
-    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(n) < 2:
-        return []
+    """The words that mark toxic texts best; at most ``terms``, of which one at most is expected by chance."""
     seen = sample.mapInArrow(_context_task, "word string, toxic int, context long").distinct()
-    count = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    ratio = ((F.col("t") + 0.5) / n[1]) / ((F.col("c") + 0.5) / n[0])
-    best = (count.where(F.col("t") >= CONTEXTS).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO)
-            .withColumn("weight", F.col("t") * F.log("ratio")).orderBy(F.desc("weight"), "word").limit(terms))
+    count = stored(seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "words")
+    whole = count.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+    frequent = count.where(F.col("t") + F.col("c") >= CONTEXTS)
+    if not whole.t or not whole.c:
+        return []
+    share = whole.t / (whole.t + whole.c)
+    rate = F.col("t") / (F.col("t") + F.col("c"))
+    # Chernoff: a word of this rate comes by chance with a probability below exp(-surprise)
+    surprise = F.col("t") * F.log(rate / share) + F.when(
+        F.col("c") > 0, F.col("c") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    ratio = ((F.col("t") + 0.5) / whole.t) / ((F.col("c") + 0.5) / whole.c)
+    best = (frequent.where(F.col("t") >= CONTEXTS).withColumn("ratio", ratio).where(F.col("ratio") >= RATIO)
+            .withColumn("surprise", surprise).where(F.col("surprise") > math.log(max(2, frequent.count())))
+            .orderBy(F.desc("surprise"), "word").limit(terms))
     return [r.word for r in best.collect()]
 
 
@@ -290,7 +298,7 @@ def _feature_task(machine: Speller, ordinary: frozenset[str]):
     return run
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     """Weights, the constant last, by Newton's method; the constant is not penalised."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
