@@ -1,11 +1,37 @@
-"""The corpus pipeline: stages that each take ``(spark, docs, sf_dir)`` and return a DataFrame."""
+"""The corpus pipeline: stages that each take ``(spark, docs, sf_dir)`` and return a DataFrame.
+
+Every stage but the last returns the columns of its input; each works on all that the one before kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewake import session
-from tidewake.llm import packing
+from tidewake.llm import decontamination, forest, language, packing, pii
+
+LEAST_LANGUAGE_SCORE = 0.25
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters and those no language fits."""
+    return language.in_a_language(docs, language.learned(docs), LEAST_LANGUAGE_SCORE)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of every group of near-duplicates (five words, similarity of 0.8 or more)."""
+    return forest.one_of_each(docs, words_per_shingle=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return forest.among(docs, decontamination.leaks(docs, items).select("doc_id"), how="left_anti")
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put a placeholder in place of personal data."""
+    return pii.masked(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,8 +39,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.assign_batches(docs)
 
 
-STAGES = [("packing", pack)]
-# Language models, signatures and fitted labelers are beyond SQL; tests/llm holds the stages against brute force.
+STAGES = [("language ID", identify), ("near-dedup", deduplicate), ("decontamination", decontaminate), ("PII", mask),
+          ("packing", pack)]
+# Fitted models and signatures are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

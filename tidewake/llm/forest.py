@@ -378,3 +378,16 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
+
+
+def one_of_each(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of every component, and once each row that is repeated with id and text."""
+    links = near_duplicates(docs, words_per_shingle, percent, id_col, text_col)
+    kept = among(docs, links.where("not kept").select("doc_id"), id_col, "left_anti")
+    again = stored(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).count()
+                   .where("count > 1").select("id"), "again")
+    if again.isEmpty():
+        return kept
+    repeated = among(kept, again, id_col).dropDuplicates([id_col, text_col])
+    return among(kept, again, id_col, "left_anti").unionByName(repeated.select(*kept.columns))

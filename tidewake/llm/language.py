@@ -165,32 +165,43 @@ def _presence(some: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
 PREDICTED_DDL = "doc_id long, lang_pred string, score double"
 
 
+class Predictor:
+    """A model with the tables a task needs, built once per task."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.grams = Grams(model.alphabet)
+        self.place = np.full(len(self.grams.seen), -1, np.int32)
+        self.place[model.vocabulary] = np.arange(len(model.vocabulary))
+        self.presence = np.zeros((ROWS, len(model.vocabulary)), np.float32)
+
+    def __call__(self, texts: pa.LargeStringArray) -> tuple[list[str], np.ndarray]:
+        """The label and score of every text."""
+        points, at = codepoints(*raw(texts))
+        n = len(at) - 1
+        scores, has_letter = np.full((n, len(self.model.labels)), -1.0), np.zeros(n, bool)
+        for first in range(0, n, ROWS):
+            rows = range(first, min(first + ROWS, n))
+            norm = np.ones(len(rows))
+            self.presence[:len(rows)] = 0
+            for i in rows:
+                own, has_letter[i] = self.grams.of(points[at[i]:at[i + 1]])
+                norm[i - first] = math.sqrt(max(1, len(own)))
+                known = self.place[own]
+                self.presence[i - first, known[known >= 0]] = 1
+            scores[rows] = self.presence[:len(rows)] @ self.model.weights / norm[:, None]
+        best = scores.argmax(axis=1)
+        score = np.where(has_letter, np.clip((1 + scores.max(axis=1)) / 2, 0, 1), 0.0)
+        return [self.model.labels[b] if ok else UNKNOWN for b, ok in zip(best, has_letter)], score
+
+
 def _predict_task(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(model.alphabet)
-        place = np.full(len(grams.seen), -1, np.int32)
-        place[model.vocabulary] = np.arange(len(model.vocabulary))
-        presence = np.zeros((ROWS, len(model.vocabulary)), np.float32)
+        predict = Predictor(model)
         for part in blocks(batches, "text", BLOCK):
-            points, at = codepoints(*raw(strings(part.column("text"))))
-            n = len(at) - 1
-            scores, has_letter = np.full((n, len(model.labels)), -1.0), np.zeros(n, bool)
-            for first in range(0, n, ROWS):
-                rows = range(first, min(first + ROWS, n))
-                norm = np.ones(len(rows))
-                presence[:len(rows)] = 0
-                for i in rows:
-                    own, has_letter[i] = grams.of(points[at[i]:at[i + 1]])
-                    norm[i - first] = math.sqrt(max(1, len(own)))
-                    known = place[own]
-                    presence[i - first, known[known >= 0]] = 1
-                scores[rows] = presence[:len(rows)] @ model.weights / norm[:, None]
-            best = scores.argmax(axis=1)
-            score = np.clip((1 + scores.max(axis=1)) / 2, 0, 1)
-            names = [model.labels[b] if ok else UNKNOWN for b, ok in zip(best, has_letter)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(has_letter, score, 0.0))],
-                names=["doc_id", "lang_pred", "score"])
+            names, score = predict(strings(part.column("text")))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)],
+                                             names=["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -203,6 +214,21 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
     return rows.mapInArrow(_predict_task(model), PREDICTED_DDL)
 
 
+def in_a_language(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all their columns, whose text is in a known language with a score of ``least`` or more."""
+    if model is None:
+        return docs.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = Predictor(model)
+        for part in blocks(batches, text_col, BLOCK):
+            names, score = predict(strings(part.column(text_col)))
+            keep = [name != UNKNOWN and s >= least for name, s in zip(names, score)]
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id written as text, modulo ``by``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake import session
-from tidewake.llm import decontamination, forest, language, packing, permutation, secret_scan, sharding, tokens, toxicity
+from tidewake.llm import decontamination, forest, language, packing, permutation, pii, secret_scan, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # None of the ten can be stated in SQL over whole tables; tests/llm holds them against brute force.
@@ -75,6 +75,11 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_combined_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
