@@ -1,11 +1,10 @@
-import hashlib
 import random
 from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import T0, event, events_df, feed_time, minutes, state_df, utc, vessel
+from tests.helpers import ARRIVED, T0, event, events_df, feed_time, minutes, state_df, utc, vessel
 from tidewake.operators import quality as ql
 from tidewake.operators import retention
 from tidewake.operators import state as st
@@ -13,34 +12,44 @@ from tidewake.schemas import ARCHIVE_SCHEMA
 from tidewake.sources import archive as ar
 from tidewake.sources import paths, tables
 
-BASE = 1789041600.0
-
 
 def reports(n, step_minutes=10, delay=2.0):
     return [event(event_id=f"e{i}", event_time=feed_time(T0 + minutes(i * step_minutes)),
-                  ingested_at=BASE + i * step_minutes * 60 + delay + i / 8) for i in range(n)]
+                  ingested_at=ARRIVED + i * step_minutes * 60 + delay + i / 8) for i in range(n)]
 
 
 def test_rows_are_coerced(spark):
     df = ar.archive_rows(events_df(spark, [event(position_accuracy=None, raim=None, schema_version=None, mmsi=None)]))
     row = df.first()
     assert (row.position_accuracy, row.raim, row.schema_version, row.mmsi) == (False, False, "1.0", "None")
-    assert (row.dt, row.HH) == ("2026-09-10", "12") and df.schema == ARCHIVE_SCHEMA or df.columns == ARCHIVE_SCHEMA.names
+    assert (row.dt, row.HH) == ("2025-03-04", "09") and df.schema == ARCHIVE_SCHEMA or df.columns == ARCHIVE_SCHEMA.names
 
 
 def test_layout_and_replay(spark, tmp_path):
+    """Two writes for one hour add up; events known already, in whatever batches, are not stored again."""
     path = str(tmp_path / "a")
-    df = events_df(spark, reports(20))
-    for batch in (0, 0, 1):
-        ar.write_archive(df, path, batch)
-    assert paths.folders(spark, path) == ["dt=2026-09-10"]
-    assert paths.folders(spark, path + "/dt=2026-09-10") == ["HH=12", "HH=13", "HH=14", "HH=15"]
-    assert paths.folders(spark, path + "/dt=2026-09-10/HH=12") == ["batch=0", "batch=1"]
+    rows = reports(20)
+    for some in (rows[:2], rows[2:3], rows[:5], rows, rows[10:]):
+        ar.write_archive(events_df(spark, some), path)
+    assert paths.folders(spark, path) == ["dt=2025-03-04"]
+    assert paths.folders(spark, path + "/dt=2025-03-04") == ["HH=09", "HH=10", "HH=11", "HH=12"]
     back = ar.read_archive(spark, path, files=True)
-    assert back.count() == 40 and back.select("file").distinct().count() == 8
+    assert sorted(r.event_id for r in back.collect()) == sorted(f"e{i}" for i in range(20))
     assert [f.dataType.simpleString() for f in back.schema if f.name in ("dt", "HH")] == ["string", "string"]
 
 
+def test_events_without_id_are_known_by_content(spark, tmp_path):
+    path = str(tmp_path / "a")
+    rows = [event(event_id=None, sog_knots=float(i)) for i in (1, 2, 2)]
+    ar.write_archive(events_df(spark, rows[:1]), path)
+    ar.write_archive(events_df(spark, rows), path)
+    ar.write_archive(events_df(spark, [*rows, event(event_id="e9")]), path)
+    assert sorted(str(r.event_id) + str(r.sog_knots) for r in ar.read_archive(spark, path).collect()) == [
+        "None1.0", "None2.0", "e95.0"]
+    ar.write_archive(events_df(spark, []), path)
+    assert ar.read_archive(spark, path).count() == 3
+
+
 def test_window_prunes_folders(spark, tmp_path):
     path = str(tmp_path / "a")
     ar.write_archive(events_df(spark, reports(200)), path)
@@ -79,7 +88,7 @@ def test_quality_report_equals_a_loop(spark, tmp_path, n):
     rows, raw = [], []
     for i in range(n):
         at = T0 + minutes(rng.randrange(0, 600))
-        r = {"ingested_at": BASE + (at - T0).total_seconds() + rng.choice([-1, 0, 3.5, rng.uniform(0, 60)]),
+        r = {"ingested_at": ARRIVED + (at - T0).total_seconds() + rng.choice([-1, 0, 3.5, rng.uniform(0, 60)]),
              "latitude": rng.choice([1.0, None, 91.0, -90.0]), "longitude": rng.choice([2.0, None, -180.5]),
              "sog_knots": rng.choice([1.0, None]), "cog_degrees": rng.choice([1.0, None])}
         known = rng.random() > 0.1
@@ -90,7 +99,7 @@ def test_quality_report_equals_a_loop(spark, tmp_path, n):
     as_of, hours = T0 + minutes(600), 5
     archive = ar.read_archive(spark, path, files=True) if n else ar.archive_rows(events_df(spark, [])).withColumn("file", F.lit(""))
     got = ql.data_quality(archive, as_of, hours).first()
-    want, deltas = brute_quality(raw, BASE + 5 * 3600)
+    want, deltas = brute_quality(raw, ARRIVED + 5 * 3600)
     assert (got.events_processed, got.missing_position, got.invalid_coordinates, got.missing_sog, got.missing_cog) == (
         want["events"], want["position"], want["invalid"], want["sog"], want["cog"])
     lat = got.latency
@@ -120,16 +129,6 @@ def test_quality_bounds(spark):
             ql.data_quality(df, T0, hours)
 
 
-def test_batch_digest_names(spark):
-    rows = [event(event_id=i) for i in ("b", "a", None)] + [event(event_id="c", event_time=feed_time(T0 + minutes(60)))]
-    df = ar.archive_rows(events_df(spark, rows)).withColumn("flush", F.lit(0))
-    got = {r.HH: r for r in ar.batch_digest(df).select("*", ar.file_name("g").alias("f")).collect()}
-    salt = hashlib.sha256(b"None,a,b").hexdigest()[:16]
-    name = hashlib.sha256(f"g:20260910:12:{salt}".encode()).hexdigest()[:16]
-    assert (got["12"].content_salt, got["12"].row_count) == (salt, 3)
-    assert got["12"].f == f"20260910-12-{name}"
-
-
 def test_archive_expiry(spark, tmp_path):
     path = str(tmp_path / "a")
     rows = [event(event_id=str(d), event_time=feed_time(T0 - timedelta(days=d))) for d in range(12)]
@@ -147,7 +146,7 @@ def stored(spark, home):
     state, track = f"{home}/state", f"{home}/track"
     vessels = [vessel("a", seen=T0), vessel("b", seen=T0 - minutes(50)), vessel("c", seen=T0 - minutes(60 * 30)),
                vessel("d", seen=T0 - minutes(50), status="STALE")]
-    tables.write_state_delta(state_df(spark, vessels), state, 0)
+    tables.write_state_delta(state_df(spark, vessels), state, "r", 0)
     rows = [event(event_id=str(i), event_time=feed_time(T0 - minutes(20 * i))) for i in range(90)]
     tables.append_track_rows(st.build_track_rows(events_df(spark, rows), T0), track)
     return state, track
@@ -158,7 +157,7 @@ def test_retention_cycle(spark, tmp_path):
     dry = retention.run_retention(spark, state, track, T0 + minutes(5), purge_hours=24, dry_run=True)
     assert dry == {"dry_run": True, "track_aging_count": 90 - 72, "stale_candidates": 3, "stale_purge_candidates": 1}
     assert tables.read_track(spark, track).count() == 90
-    done = retention.run_retention(spark, state, track, utc("2026-09-10T12:05:00"), purge_hours=24)
+    done = retention.run_retention(spark, state, track, utc("2025-03-04T09:05:00"), purge_hours=24)
     assert done == {"dry_run": False, "track_deleted": 18, "stale_marked": 2, "stale_purged": 1}
     assert {r.mmsi: r.status for r in tables.read_state(spark, state).collect()} == {
         "a": "UNDERWAY", "b": "STALE", "d": "STALE"}
@@ -172,34 +171,67 @@ def test_state_versions(spark, tmp_path):
     path = str(tmp_path / "state")
     assert tables.read_state(spark, path).count() == 0
 
-    def put(version, *rows):
-        tables.write_state_delta(state_df(spark, rows), path, version)
+    def put(run, batch, *rows):
+        return tables.write_state_delta(state_df(spark, rows), path, run, batch)
 
     def now():
         return {r.mmsi: r.sog_knots for r in tables.read_state(spark, path).collect()}
 
-    put(0, vessel("a", sog=1.0), vessel("b", sog=1.0))
-    put(1, vessel("a", sog=2.0))
+    def clean_up(change=lambda df: df):
+        frame, upto = tables.state_snapshot(spark, path)
+        tables.write_state_base(spark, path, change(frame), upto)
+
+    assert put("r", 0, vessel("a", sog=1.0), vessel("b", sog=1.0))
+    assert put("r", 1, vessel("a", sog=2.0))
     assert now() == {"a": 2.0, "b": 1.0}
-    put(1, vessel("a", sog=2.5))  # a replayed batch replaces itself
-    assert now() == {"a": 2.5, "b": 1.0}
+    assert not put("r", 1, vessel("a", sog=2.0))  # a replayed batch is not stored twice
     frame, upto = tables.state_snapshot(spark, path)
-    put(2, vessel("b", sog=9.0))  # arrives while the clean-up is running
+    put("r", 2, vessel("b", sog=9.0))  # arrives while the clean-up is running
     tables.write_state_base(spark, path, frame.filter("mmsi <> 'a'"), upto)
     assert now() == {"b": 9.0}
-    frame, upto = tables.state_snapshot(spark, path)
-    tables.write_state_base(spark, path, frame, upto)
-    frame, upto = tables.state_snapshot(spark, path)
-    tables.write_state_base(spark, path, frame, upto)
-    put(3, vessel("c", sog=3.0))
-    assert now() == {"b": 9.0, "c": 3.0}
+    clean_up()
+    clean_up()
+    # A new checkpoint begins with batch 0 again; the table goes on.
+    assert put("s", 0, vessel("c", sog=3.0)) and put("s", 1, vessel("b", sog=4.0))
+    assert now() == {"b": 4.0, "c": 3.0}
+    clean_up()
+    assert put("t", 0, vessel("d", sog=5.0))
+    assert now() == {"b": 4.0, "c": 3.0, "d": 5.0}
     assert len([f for f in paths.folders(spark, path) if f.startswith("base")]) == 2
-    assert "delta-000000000000" not in paths.folders(spark, path)
+    with pytest.raises(ValueError):
+        tables.write_state_delta(state_df(spark, []), path, "t", 1, "event_time")
+
+
+def test_clean_up_keeps_the_order_by_event_time(spark, tmp_path):
+    path, track = str(tmp_path / "state"), str(tmp_path / "track")
+    for batch, (seen, sog) in enumerate([(T0, 30.0), (T0 - minutes(9), 1.0)]):
+        tables.write_state_delta(state_df(spark, [vessel("a", seen=seen, sog=sog)]), path, "r", batch, "event_time")
+    assert tables.read_state(spark, path).first().sog_knots == 30.0
+    retention.run_retention(spark, path, track, T0 + minutes(5))
+    assert tables.read_state(spark, path).first().sog_knots == 30.0
+    tables.write_state_delta(state_df(spark, [vessel("a", seen=T0 - minutes(1), sog=2.0)]), path, "s", 0, "event_time")
+    assert tables.read_state(spark, path).first().sog_knots == 30.0
+
+
+def test_arrival_decides_whatever_the_batches(spark, tmp_path):
+    path = str(tmp_path / "state")
+    rows = [event(event_id=f"e{i}", ingested_at=ARRIVED + i, sog_knots=float(i)) for i in range(4)]
+    for batch, i in enumerate((2, 3, 0, 1)):
+        delta = st.current_state(events_df(spark, [rows[i]]), T0, with_arrival=True)
+        tables.write_state_delta(delta, path, "r", batch)
+        if batch == 1:
+            retention.run_retention(spark, path, str(tmp_path / "track"), T0)
+    assert tables.read_state(spark, path).first().sog_knots == 3.0
+
+
+def test_short_retention_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        tables.expire_track(spark, str(tmp_path), T0, 6)
 
 
 def test_track_hours_prune(spark, tmp_path):
     _, track = stored(spark, tmp_path)
-    df = tables.read_track(spark, track, F.lit("2026-09-10 11:30:00").cast("timestamp"))
+    df = tables.read_track(spark, track, F.lit("2025-03-04 08:30:00").cast("timestamp"))
     plan = df.select("latitude")._jdf.queryExecution().executedPlan().toString()
     assert "partition_hour" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
     assert df.count() == 4

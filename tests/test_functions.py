@@ -14,18 +14,18 @@ def one(spark, column, schema="x int", row=(1,)):
 
 
 TIMES = [
-    ("2026-09-10 12:00:00.000000 +0000 UTC", datetime(2026, 9, 10, 12)),
-    ("2026-09-10 18:00:01 +0000 UTC", datetime(2026, 9, 10, 18, 0, 1)),
-    ("2026-09-10 18:00:01", datetime(2026, 9, 10, 18, 0, 1)),
-    ("2026-09-10T18:00:01Z", datetime(2026, 9, 10, 18, 0, 1)),
-    ("2026-09-10 18 +0000", datetime(2026, 9, 10, 18)),
-    ("2026-09-10T18:05+02:00", datetime(2026, 9, 10, 16, 5)),
-    ("2026-09-10", datetime(2026, 9, 10)),
-    ("2026-09-10 18:00:01,123456", datetime(2026, 9, 10, 18, 0, 1, 123456)),
-    ("2026-09-10 18:00:01 +0530 UTC", datetime(2026, 9, 10, 12, 30, 1)),
-    (" 2026-09-10 18:00:01 UTC ", datetime(2026, 9, 10, 18, 0, 1)),
-    ("not-a-date", None), ("garbage", None), ("12:00", None), ("2026", None),
-    ("2026-13-01 00:00:00", None), ("2026-09-10 25:00:00", None), ("", None), (None, None),
+    ("2024-02-29 23:59:59.000001 +0000 UTC", datetime(2024, 2, 29, 23, 59, 59, 1)),
+    ("2025-03-04 09:00:07 +0000 UTC", datetime(2025, 3, 4, 9, 0, 7)),
+    ("2025-03-04 09:00:07", datetime(2025, 3, 4, 9, 0, 7)),
+    ("2025-03-04T09:00:07Z", datetime(2025, 3, 4, 9, 0, 7)),
+    ("2025-03-04 09 +0000", datetime(2025, 3, 4, 9)),
+    ("2025-03-04T00:30-01:30", datetime(2025, 3, 4, 2, 0)),
+    ("2025-03-04", datetime(2025, 3, 4)),
+    ("2025-03-04 09:00:07,250000", datetime(2025, 3, 4, 9, 0, 7, 250000)),
+    ("2025-03-04 09:00:07 +0545 UTC", datetime(2025, 3, 4, 3, 15, 7)),
+    (" 2025-03-04 09:00:07 UTC ", datetime(2025, 3, 4, 9, 0, 7)),
+    ("soon", None), ("--", None), ("09:00", None), ("2025", None),
+    ("2025-02-30 00:00:00", None), ("2025-03-04 24:01:00", None), ("", None), (None, None),
 ]
 
 
@@ -55,20 +55,20 @@ def test_parse_agrees_with_the_standard_library(spark):
 
 
 def test_archive_reading_drops_the_offset(spark):
-    df = spark.createDataFrame([("2026-09-10 18:00:01 +0530 UTC",), ("2026-09-10 12:00:00.000000 +0000 UTC",),
-                                ("2026-09-10",), ("nonsense",), (None,)], "t string")
+    df = spark.createDataFrame([("2025-03-04 09:00:07 +0545 UTC",), ("2025-03-04 09:00:07.500000 +0000 UTC",),
+                                ("2025-03-04",), ("soon",), (None,)], "t string")
     got = [r[0] for r in df.select(times.parse_event_time_as_utc("t")).collect()]
-    assert got == [datetime(2026, 9, 10, 18, 0, 1), datetime(2026, 9, 10, 12), datetime(2026, 9, 10), None, None]
+    assert got == [datetime(2025, 3, 4, 9, 0, 7), datetime(2025, 3, 4, 9, 0, 7, 500000), datetime(2025, 3, 4), None, None]
 
 
-@pytest.mark.parametrize("offset,reason", [
-    (-19, None), (15, None), (-7200, None), (2940, "future_timestamp"), (-90000, "stale_timestamp"),
-    (60, None), (-21600, None), (60.5, "future_timestamp"), (-21600.5, "stale_timestamp")])
-def test_skew_bounds_are_strict(spark, offset, reason):
-    received = 1789041600.0
-    at = datetime(1970, 1, 1) + timedelta(seconds=received + offset)
-    df = spark.createDataFrame([(at, received)], "at timestamp, r double")
-    assert df.select(times.classify_skew("at", "r")).first()[0] == reason
+@pytest.mark.parametrize("step", [-1, -0.25, 0, 0.25, 1])
+def test_skew_bounds_are_strict(spark, step):
+    received = 1_700_000_000.0
+    bounds = (times.FUTURE_TOLERANCE_S, -times.STALE_TOLERANCE_S)
+    rows = [(datetime(1970, 1, 1) + timedelta(seconds=received + b + step), received) for b in bounds]
+    df = spark.createDataFrame(rows, "at timestamp, r double")
+    got = [r[0] for r in df.select(times.classify_skew("at", "r")).collect()]
+    assert got == ["future_timestamp" if step > 0 else None, "stale_timestamp" if step < 0 else None]
 
 
 def test_unreadable_time_has_a_reason_and_counts_from_the_epoch(spark):
@@ -84,36 +84,46 @@ def test_latency_truncates_toward_zero(spark):
 
 
 def test_partition_falls_back_to_arrival_then_now(spark):
-    df = spark.createDataFrame([("2026-09-10 12:00:00.000000 +0000 UTC", None), ("garbage", 1789061760.0),
-                                ("garbage", None), ("garbage", 0.0)], "t string, r double")
-    at = times.effective_time("t", "r", F.lit("2026-09-11 05:00:00").cast("timestamp"))
+    said, arrived, now = datetime(2024, 2, 29, 23, 59), datetime(2024, 3, 1, 0, 1), datetime(2024, 3, 7, 6)
+    stamp = arrived.replace(tzinfo=timezone.utc).timestamp()
+    rows = [(said.strftime("%Y-%m-%d %H:%M:%S +0000 UTC"), stamp), ("?", stamp), ("?", None), (None, 0.0)]
+    df = spark.createDataFrame(rows, "t string, r double")
+    at = times.effective_time("t", "r", F.lit(str(now)).cast("timestamp"))
     got = [tuple(r) for r in df.select(times.partition_date(at), times.partition_hour_text(at)).collect()]
-    assert got == [("2026-09-10", "12"), ("2026-09-10", "17"), ("2026-09-11", "05"), ("2026-09-11", "05")]
+    assert got == [(x.strftime("%Y-%m-%d"), x.strftime("%H")) for x in (said, arrived, now, now)]
 
 
 def test_window_keeps_unreadable_partitions(spark):
-    rows = [("2026-09-10", "17", True), ("2026-09-09", "10", False), (None, None, True), ("2026-09-09", "18", True),
-            ("nonsense", "10", True), ("2026-09-09", "xx", True), ("2026-09-09", None, False),
-            ("2026-09-10", None, True), ("2026-09-09", "17", False)]
+    limit = datetime(2024, 5, 5, 7, 20)
+    rows = [(day.strftime("%Y-%m-%d"), f"{hour:02d}", day + timedelta(hours=hour + 1) > limit)
+            for day in (limit.replace(hour=0, minute=0) + timedelta(days=d) for d in (-1, 0, 1)) for hour in range(24)]
+    # Without an hour a folder stands for midnight; what cannot be read is kept.
+    rows += [("2024-05-05", None, False), ("2024-05-06", None, True), (None, None, True), ("soon", "03", True),
+             ("2024-05-04", "?", True)]
     df = spark.createDataFrame(rows, "dt string, HH string, want boolean")
-    cutoff = F.lit("2026-09-09 18:30:00").cast("timestamp")
-    assert all(r[0] == r[1] for r in df.select(times.in_window("dt", "HH", cutoff), "want").collect())
-
-
-STATUS = [(1, 0.0, "ANCHORED"), (1, 8.0, "ANCHORED"), (5, 0.0, "MOORED"), (5, 8.0, "MOORED"), (0, 0.0, "STOPPED"),
-          (0, None, "STOPPED"), (0, 5.5, "UNDERWAY"), (8, 3.0, "UNDERWAY"), (8, 0.0, "UNKNOWN"),
-          (15, 0.0, "UNKNOWN"), (9, 0.0, "UNKNOWN"), (None, None, "UNKNOWN")]
+    cutoff = F.lit(str(limit)).cast("timestamp")
+    bad = [tuple(r) for r in df.select("dt", "HH", times.in_window("dt", "HH", cutoff).alias("got"), "want").collect()
+           if r.got != r.want]
+    assert bad == []
 
 
 def test_status_rules(spark):
-    df = spark.createDataFrame(STATUS, "nav int, sog double, want string")
-    assert all(r[0] == r[1] for r in df.select(vessel.derive_status("nav", "sog"), "want").collect())
+    def rule(nav, sog):
+        if nav in (1, 5):
+            return {1: "ANCHORED", 5: "MOORED"}[nav]
+        if nav == 0 and not sog:
+            return "STOPPED"
+        return "UNDERWAY" if nav in (0, 8) and (sog or 0) > 0 else "UNKNOWN"
+
+    rows = [(nav, sog, rule(nav, sog)) for nav in (*range(16), None) for sog in (None, 0.0, 0.1, 14.0, 102.2)]
+    df = spark.createDataFrame(rows, "nav int, sog double, want string")
+    assert [tuple(r) for r in df.select("nav", "sog", vessel.derive_status("nav", "sog")).collect()] == rows
 
 
 def test_sentinels_become_null(spark):
-    df = spark.createDataFrame([(511, -128), (130, 20), (None, None)], "h int, r int")
+    df = spark.createDataFrame([(511, -128), (0, 0), (359, -127), (None, None)], "h int, r int")
     got = [tuple(r) for r in df.select(vessel.heading("h"), vessel.rate_of_turn("r")).collect()]
-    assert got == [(None, None), (130.0, 20.0), (None, None)]
+    assert got == [(None, None), (0.0, 0.0), (359.0, -127.0), (None, None)]
 
 
 def test_turn_rate_decoding(spark):

@@ -1,9 +1,10 @@
 import json
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from tests.helpers import P, event, events_df, frame, frames_df
+from tests.helpers import ABSENT, ARRIVED, T0, VESSEL, event, events_df, feed_time, frame, frames_df, meta, position
+from tidewake.functions import times
 from tidewake.operators import ingest as ing
 from tidewake.sources import frames as fs
 from tidewake.sources import log
@@ -16,80 +17,82 @@ def errors_of(spark, frames):
 
 
 def test_validation_rules(spark):
+    def given(**values):
+        return frame(report=position(**values))
+
+    whole = "Message.PositionReport is not an object"
     cases = [
         (frame(), []),
-        (frame(drop=["MetaData"]), ["MetaData is not an object", "missing top-level key: MetaData"]),
-        (frame(drop=["Message"]), ["Message.PositionReport is not an object", "missing top-level key: Message"]),
-        (frame(**{P + "Latitude": 95.0}), ["invalid Latitude: 95.0"]),
-        (frame(**{P + "Longitude": -181.0}), ["invalid Longitude: -181.0"]),
-        (frame(**{P + "Latitude": -90, P + "Longitude": 180}), []),
-        (frame(**{P + "Sog": -1}), ["invalid Sog: -1"]),
-        (frame(**{P + "Sog": 0}), []),
-        (frame(**{P + "Sog": None}), ["invalid Sog: None"]),
-        (frame(**{P + "Latitude": "1.2"}), ["invalid Latitude: '1.2'"]),
-        (frame(drop=["Message.PositionReport.Latitude"]),
-         ["invalid Latitude: None", "missing PositionReport key: Latitude"]),
-        (frame(**{P + "Cog": None}), []),
-        (frame(drop=["Message.PositionReport.Cog"]), ["missing PositionReport key: Cog"]),
-        (frame(MetaData__time_utc="not-a-date"), ["unparseable time_utc: 'not-a-date'"]),
-        (frame(MetaData__time_utc=None), []),
-        (frame(drop=["MetaData.time_utc", "MetaData.MMSI"]),
-         ["missing MetaData key: MMSI", "missing MetaData key: time_utc"]),
-        (frame(MetaData={}), ["missing MetaData key: MMSI", "missing MetaData key: time_utc"]),
-        (frame(MetaData=[1]), ["MetaData is not an object"]),
-        (frame(Message={"PositionReport": 3}), ["Message.PositionReport is not an object"]),
-        (frame(MessageType="Bogus"), ["unsupported MessageType: 'Bogus'"]),
-        (frame(MessageType=None), ["unsupported MessageType: None"]),
-        ({"MessageType": "SubscriptionConfirmation", "MetaData": {}, "Message": {}}, []),
-        ({"MessageType": "VoyageData"}, []),
-        ("[1]", ["payload is not a JSON object"]),
+        (frame(about=ABSENT), ["MetaData is not an object", "missing top-level key: MetaData"]),
+        (frame(message=ABSENT), [whole, "missing top-level key: Message"]),
+        (frame(message={"PositionReport": "none"}), [whole]),
+        (frame(about=[]), ["MetaData is not an object"]),
+        (frame(about={}), ["missing MetaData key: MMSI", "missing MetaData key: time_utc"]),
+        (frame(about=meta(mmsi=ABSENT)), ["missing MetaData key: MMSI"]),
+        (frame(about=meta(at="yesterday")), ["unparseable time_utc: 'yesterday'"]),
+        (frame(about=meta(at=None)), []),
+        (frame(kind="Chatter"), ["unsupported MessageType: 'Chatter'"]),
+        (frame(kind=None), ["unsupported MessageType: None"]),
+        (frame(kind="ShipStaticData", about=ABSENT, message=ABSENT), []),
+        (frame(kind="SubscriptionConfirmation", about={}, message={}), []),
+        ("7", ["payload is not a JSON object"]),
+        (given(cog=None), []), (given(cog=ABSENT), ["missing PositionReport key: Cog"]),
     ]
+    for name, key, low, high in (("lat", "Latitude", -90, 90), ("lon", "Longitude", -180, 180), ("sog", "Sog", 0, None)):
+        cases += [(given(**{name: low}), []), (given(**{name: low - 0.5}), [f"invalid {key}: {low - 0.5}"]),
+                  (given(**{name: None}), [f"invalid {key}: None"]), (given(**{name: "3"}), [f"invalid {key}: '3'"]),
+                  (given(**{name: ABSENT}), [f"invalid {key}: None", f"missing PositionReport key: {key}"]),
+                  (given(**{name: 999.5 if high is None else high}), [])]
+        if high is not None:
+            cases.append((given(**{name: high + 0.5}), [f"invalid {key}: {high + 0.5}"]))
     assert errors_of(spark, [c for c, _ in cases]) == [w for _, w in cases]
 
 
 def test_normalizing(spark):
-    frames = [frame(), frame(**{P + "TrueHeading": 130, P + "RateOfTurn": 20, "MetaData__MMSI": 563070820}),
-              frame(drop=["MetaData.ShipName", "MetaData.MMSI"], **{P + "PositionAccuracy": 0}),
-              frame(MetaData__ShipName=7)]
-    rows = ing.normalize(frames_df(spark, frames, 1789041601.5)).collect()
-    a, b, c, d = rows
-    assert (a.ship_name, a.mmsi, a.schema_version, a.source) == ("MPA 2", "563070820", "1.0", "aisstream")
-    assert (a.true_heading, a.rate_of_turn, a.ingested_at) == (None, None, 1789041601.5)
-    assert (a.latitude, a.longitude, a.sog_knots, a.cog_degrees, a.nav_status) == (1.26, 103.84, 8.2, 120.0, 0)
+    frames = [frame(), frame(about=meta(mmsi=211000009), report=position(heading=7, turn=-31)),
+              frame(about=meta(mmsi=ABSENT, name=ABSENT), report=position(accuracy=0)), frame(about=meta(name=[1]))]
+    a, b, c, d = ing.normalize(frames_df(spark, frames, ARRIVED + 2.25)).collect()
+    assert (a.ship_name, a.mmsi, a.schema_version, a.source) == ("NOORDSTER", VESSEL, "1.0", "aisstream")
+    assert (a.true_heading, a.rate_of_turn, a.ingested_at) == (None, None, ARRIVED + 2.25)
+    assert (a.latitude, a.longitude, a.sog_knots, a.cog_degrees, a.nav_status) == (51.95, 4.05, 11.5, 275.5, 0)
     assert (a.position_accuracy, a.raim) == (True, False)
-    assert (b.true_heading, b.rate_of_turn, b.mmsi) == (130.0, 20.0, "563070820")
+    assert (b.true_heading, b.rate_of_turn, b.mmsi) == (7.0, -31.0, "211000009")
     assert (c.ship_name, c.mmsi, c.position_accuracy, d.ship_name) == (None, "None", False, None)
     raw = json.loads(a.raw)
-    assert raw.pop("_received_at") == 1789041601.5 and raw == frames[0]
+    assert raw.pop("_received_at") == ARRIVED + 2.25 and raw == frames[0]
 
 
 def test_event_id_ignores_key_order_and_depends_on_arrival(spark):
     f = frame()
     shuffled = {k: f[k] for k in reversed(list(f))}
-    df = frames_df(spark, [f, shuffled, {**f, "_received_at": 5.0}]).withColumn("v", F.try_parse_json("value"))
+    df = frames_df(spark, [f, shuffled, {**f, "_received_at": 5.0}, {"_received_at": 5.0, **f}]).withColumn("v", F.try_parse_json("value"))
     rows = df.select(ing.event_id("v", "received_at").alias("a"), ing.event_id("v", F.lit(1.0)).alias("b"),
                      ing.event_id("v").alias("c")).collect()
     assert rows[0].a == rows[1].a != rows[0].b
     assert len({r.c for r in rows}) == 1 and len(rows[0].a) == 32
+    # Only the frame's own stamp is left out, not a key of that name further inside.
+    inner = [{"MetaData": {"_received_at": n}, "MessageType": "x"} for n in (1, 2)]
+    df = frames_df(spark, inner).select(ing.event_id(F.try_parse_json("value")).alias("c"))
+    assert df.distinct().count() == 2
 
 
 def test_routes(spark):
-    base = datetime(2026, 9, 10, 12)
-
-    def at(seconds):
-        return (base + timedelta(seconds=seconds)).strftime("%Y-%m-%d %H:%M:%S +0000 UTC")
+    def late(seconds, **values):
+        """A frame whose event time is so far from its arrival."""
+        return frame(about=meta(at=feed_time(T0 + timedelta(seconds=seconds))), report=position(**values))
 
+    ahead, behind = times.FUTURE_TOLERANCE_S, -times.STALE_TOLERANCE_S
     cases = [
         (frame(), "publish", None),
-        (frame(MessageType="ShipStaticData"), "skip", None),
-        ("[1]", "skip", None),
-        (frame(**{P + "Sog": -1}), "dlq", "validation_failed"),
-        (frame(MetaData__time_utc=None), "dlq", "unparseable_timestamp"),
-        (frame(MetaData__time_utc=at(2940)), "dlq", "future_timestamp"),
-        (frame(MetaData__time_utc=at(60)), "publish", None),
-        (frame(MetaData__time_utc=at(-90000)), "dlq", "stale_timestamp"),
-        (frame(MetaData__time_utc=at(-21600)), "publish", None),
-        (frame(MetaData__time_utc=at(-90000), **{P + "Sog": -1}), "dlq", "validation_failed"),
+        (frame(kind="VoyageData"), "skip", None),
+        ("null", "skip", None),
+        (late(0, sog=-0.1), "dlq", "validation_failed"),
+        (frame(about=meta(at=None)), "dlq", "unparseable_timestamp"),
+        (late(ahead + 1), "dlq", "future_timestamp"),
+        (late(ahead), "publish", None),
+        (late(behind - 1), "dlq", "stale_timestamp"),
+        (late(behind), "publish", None),
+        (late(behind - 1, lat=91), "dlq", "validation_failed"),
     ]
     df = frames_df(spark, [c[0] for c in cases])
     routed = ing.ingest(df)
@@ -105,7 +108,7 @@ def test_routes(spark):
     for r in records:
         value = json.loads(r.value)
         if r.topic == "ais.raw":
-            assert r.key == value["mmsi"] == "563070820" and len(value) == 18
+            assert r.key == value["mmsi"] == VESSEL and len(value) == 18
         else:
             assert r.key is None and value["_dlq_source"] == "ingestion" and value["_dlq_timestamp"] > 0
             assert isinstance(value["event"], dict)

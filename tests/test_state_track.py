@@ -3,20 +3,19 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import T0, event, events_df, feed_time, minutes, state_df, vessel
+from tests.helpers import ARRIVED, T0, event, events_df, feed_time, minutes, state_df, vessel
 from tidewake.operators import fleet as fl
 from tidewake.operators import presentation as pr
 from tidewake.operators import state as st
 from tidewake.operators import track as tr
 from tidewake.schemas import empty_state, empty_track
 
-BASE = 1789041600.0
 
 
 def moving(i, mmsi="200000001", at=None, **kw):
     """Event number i in order of arrival; event time i minutes after the start unless given."""
     kw = {"event_id": f"e{i}", "mmsi": mmsi, "event_time": feed_time(T0 + minutes(i if at is None else at)),
-          "ingested_at": BASE + 60 * i, "sog_knots": float(i), **kw}
+          "ingested_at": ARRIVED + 60 * i, "sog_knots": float(i), **kw}
     return event(**kw)
 
 
@@ -28,7 +27,7 @@ def test_rows_without_place_or_vessel_are_dropped(spark):
 
 
 def test_time_falls_back_to_arrival(spark):
-    df = events_df(spark, [event(event_time="garbage", ingested_at=BASE + 5), event(event_time=None, ingested_at=None)])
+    df = events_df(spark, [event(event_time="garbage", ingested_at=ARRIVED + 5), event(event_time=None, ingested_at=None)])
     seen = [r.last_seen_at for r in st.build_state_rows(df, T0 + minutes(9)).collect()]
     assert seen == [T0 + minutes(5 / 60), T0 + minutes(9)]
 
@@ -88,7 +87,7 @@ def test_ageing(spark):
 
 def test_track_first_arrival_wins(spark):
     rows = st.build_track_rows(events_df(spark, [
-        moving(1), event(event_id="e1", ingested_at=BASE + 1e6, sog_knots=77.0), moving(2),
+        moving(1), event(event_id="e1", ingested_at=ARRIVED + 1e6, sog_knots=77.0), moving(2),
         moving(1, mmsi="200000002")]), T0)
     assert sorted((r.mmsi, r.event_id, r.sog_knots) for r in tr.dedup_track(rows).collect()) == [
         ("200000001", "e1", 1.0), ("200000001", "e2", 2.0), ("200000002", "e1", 1.0)]
@@ -117,22 +116,22 @@ def test_expiry_keeps_unknown_times(spark):
     assert sorted(r.event_id for r in left.collect()) == ["e1", "e2"]
 
 
-@pytest.mark.parametrize("per_line,parts", [(50_000, 1), (10, 3), (2, 24), (25, 1), (24, 2), (13, 2)])
-def test_lines_keep_every_point(spark, per_line, parts):
-    rows = st.build_track_rows(events_df(spark, [
-        moving(i, at=(i * 7) % 25, latitude=float((i * 7) % 25)) for i in range(25)]
-        + [moving(1, mmsi="200000002")]), T0)
-    lines = tr.track_linestring(rows, per_line).orderBy("mmsi", "part").collect()
+@pytest.mark.parametrize("grain,hours", [("hour", 1), ("day", 24)])
+def test_lines_keep_every_point(spark, grain, hours):
+    reports = [moving(i, at=(i * 37) % 300, latitude=float((i * 37) % 300)) for i in range(300)]
+    rows = st.build_track_rows(events_df(spark, [*reports, moving(1, mmsi="200000002")]), T0)
+    lines = tr.track_linestring(rows, grain).orderBy("mmsi", "since").collect()
     long = [r for r in lines if r.mmsi == "200000001"]
-    assert len(long) == parts and len(lines) == parts + 1
+    assert len(long) == (5 if grain == "hour" else 1) and len(lines) == len(long) + 1
     points = []
     for r in long:
         part = json.loads(r.feature)["geometry"]["coordinates"]
-        assert len(part) == r.points <= per_line
-        assert not points or points[-1] == part[0]
-        points += part if not points else part[1:]
-    assert [p[1] for p in points] == [float(i) for i in range(25)]
+        assert len(part) == r.points and r.since <= T0 + minutes(len(points)) < r.since + minutes(60 * hours)
+        points += part
+    assert [p[1] for p in points] == [float(i) for i in range(300)]
     assert tr.track_linestring(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        tr.track_linestring(rows, "week")
 
 
 # ---- Reports ------------------------------------------------------------------------------

@@ -1,10 +1,11 @@
 import json
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from tests.helpers import P, T0, feed_time, frame, minutes
+from tests.helpers import ARRIVED, T0, feed_time, frame, meta, minutes, position
 from tidewake.operators import ingest as ing
+from tidewake.operators import retention
 from tidewake.operators import state as st
 from tidewake.operators import track as tr
 from tidewake.schemas import EVENT_SCHEMA, RECORD_SCHEMA
@@ -13,17 +14,15 @@ from tidewake.sources import frames as fs
 from tidewake.sources import log, tables
 from tidewake.streaming import jobs
 
-BASE = 1789041600.0
-
 
 def write_frames(folder, name, numbers):
     """One report per number: minute n of vessel n % 5; every ninth is invalid, one line is junk."""
     folder.mkdir(exist_ok=True)
     lines = ["junk"]
     for n in numbers:
-        f = frame(MetaData__time_utc=feed_time(T0 + minutes(n)), MetaData__MMSI=str(200000000 + n % 5),
-                  **{P + "Sog": -1 if n % 9 == 0 else float(n)})
-        lines.append(json.dumps({**f, "_received_at": BASE + 60 * n + 2}))
+        f = frame(about=meta(str(200000000 + n % 5), at=feed_time(T0 + minutes(n))),
+                  report=position(sog=-1 if n % 9 == 0 else float(n)))
+        lines.append(json.dumps({**f, "_received_at": ARRIVED + 60 * n + 2}))
     (folder / name).write_text("\n".join(lines) + "\n")
 
 
@@ -56,7 +55,7 @@ def test_ingest_stream_equals_batch(spark, pipeline):
 def test_state_stream_equals_batch(spark, pipeline):
     home, _, batch = pipeline
     events = jobs.consume(spark, str(home / "log"), max_files=1)
-    jobs.run_to_end(jobs.start_state(events, str(home / "state"), str(home / "ck-s"), seconds=None))
+    jobs.run_to_end(jobs.start_state(events, str(home / "state"), str(home / "ck-s"), str(home / "dlq"), seconds=None))
     cols = ["mmsi", "sog_knots", "status", "last_seen_at"]
     got = tables.read_state(spark, str(home / "state")).select(*cols)
     assert sorted(got.collect()) == sorted(st.current_state(batch, T0).select(*cols).collect())
@@ -66,7 +65,7 @@ def test_track_stream_equals_batch_and_survives_replay(spark, pipeline):
     home, _, batch = pipeline
     for attempt in ("ck-t", "ck-again"):  # a lost checkpoint replays the whole log
         events = jobs.consume(spark, str(home / "log"), max_files=1)
-        jobs.run_to_end(jobs.start_track(events, str(home / "track"), str(home / attempt), seconds=None))
+        jobs.run_to_end(jobs.start_track(events, str(home / "track"), str(home / attempt), str(home / "dlq"), seconds=None))
         got = tables.read_track(spark, str(home / "track"))
         want = tr.dedup_track(st.build_track_rows(batch, T0))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
@@ -74,29 +73,74 @@ def test_track_stream_equals_batch_and_survives_replay(spark, pipeline):
 
 def test_archive_stream_equals_batch_and_survives_replay(spark, pipeline):
     home, _, batch = pipeline
-    for attempt in ("ck-a", "ck-again"):
-        events = jobs.consume(spark, str(home / "log"))
-        jobs.run_to_end(jobs.start_archive(events, str(home / "archive"), str(home / attempt), seconds=None))
+    for attempt, files in (("ck-a", 1), ("ck-again", 10), ("ck-more", 2)):  # other batch borders
+        events = jobs.consume(spark, str(home / "log"), max_files=files)
+        jobs.run_to_end(jobs.start_archive(events, str(home / "archive"), str(home / attempt), str(home / "dlq"), seconds=None))
         got = ar.read_archive(spark, str(home / "archive"))
         assert sorted(map(str, got.collect())) == sorted(map(str, ar.archive_rows(batch).collect()))
 
 
+CONSUMERS = ((jobs.start_state, "state"), (jobs.start_archive, "archive"), (jobs.start_track, "track"))
+
+
 def test_poison_goes_to_quarantine_and_the_rest_proceeds(spark, pipeline):
     home, _, batch = pipeline
+    path = str(home / "log2")
     good = [r["_value"] for r in log.read_log(spark, str(home / "log")).limit(3).collect()]
     bad = json.loads(good[0])
     values = good + [json.dumps({**bad, "event_id": None}), json.dumps({**bad, "nav_status": "x"}), None]
-    log.write_records(spark.createDataFrame([("k", v, "ais.raw") for v in values], RECORD_SCHEMA), str(home / "log2"))
-    for start, name in ((jobs.start_state, "state"), (jobs.start_archive, "archive")):
-        events = jobs.consume(spark, str(home / "log2"))
-        query = start(events, str(home / ("p" + name)), str(home / ("ck" + name)), str(home / ("dlq" + name)), None)
-        jobs.run_to_end(query)
+    log.write_records(spark.createDataFrame([("k", v, "ais.raw") for v in values], RECORD_SCHEMA), path)
+    for start, name in CONSUMERS:
+        events = jobs.consume(spark, path)
+        query = jobs.run_to_end(start(events, str(home / ("p" + name)), str(home / ("ck" + name)), path, seconds=None))
         assert sum(m.get("poisoned") or 0 for m in jobs.batch_metrics(query)) == 1
-    reasons = [r["_dlq_reason"] for r in log.read_dlq(spark, str(home / "dlqstate") + "/*").collect()]
-    assert reasons == ["db_insert_failed"] * 2
-    reasons = [r["_dlq_reason"] for r in log.read_dlq(spark, str(home / "dlqarchive") + "/*").collect()]
-    assert reasons == ["parquet_serialization_failed"]
+    told = sorted((r["_dlq_source"], r["_dlq_reason"]) for r in log.read_dlq(spark, path).collect())
+    assert told == [("raw_sink", "parquet_serialization_failed"), *[("stream_processor", "db_insert_failed")] * 2,
+                    *[("track_writer", "db_insert_failed")] * 2]
     assert ar.read_archive(spark, str(home / "parchive")).count() == 4
+    assert tables.read_track(spark, str(home / "ptrack")).count() == 3
+
+
+def test_batches_are_bounded(spark, pipeline):
+    home, _, _ = pipeline
+    files = sum(1 for p in (home / "log").rglob("topic=ais.raw/**/*.parquet"))
+    for max_files, max_bytes, least in ((1, None, files), (None, 1, files)):
+        events = jobs.consume(spark, str(home / "log"), max_files, max_bytes)
+        ck = str(home / f"ck-{max_files}-{max_bytes}")
+        query = jobs.run_to_end(jobs.start_state(events, str(home / ck), ck, str(home / "dlq"), seconds=None))
+        assert len([m for m in jobs.batch_metrics(query) if m["input_rows"]]) >= least > 1
+
+
+def test_state_goes_on_after_clean_up_and_new_checkpoint(spark, pipeline):
+    home, _, batch = pipeline
+    path, log_path = str(home / "state"), str(home / "log")
+
+    def consume(checkpoint):
+        events = jobs.consume(spark, log_path, max_files=1)
+        jobs.run_to_end(jobs.start_state(events, path, str(home / checkpoint), log_path, seconds=None))
+
+    consume("ck-1")
+    retention.run_retention(spark, path, str(home / "track"), T0 + minutes(60))
+    write_frames(home / "frames", "d.jsonl", [100])
+    (home / "frames" / "d.jsonl").write_text((home / "frames" / "d.jsonl").read_text().replace("200000000", "299999999"))
+    frames = fs.read_frames(spark, str(home / "frames"), streaming=True)
+    jobs.run_to_end(jobs.start_ingest(frames, log_path, str(home / "ck")))
+    consume("ck-2")
+    got = {r.mmsi: r.sog_knots for r in tables.read_state(spark, path).collect()}
+    want = {r.mmsi: r.sog_knots for r in st.current_state(batch, T0).collect()}
+    assert got == {**want, "299999999": 100.0}
+
+
+def test_log_topics_are_kept_for_their_own_time(spark, pipeline):
+    home, _, _ = pipeline
+    path = str(home / "log")
+    before = log.read_records(spark, path).groupBy("topic").count().collect()
+    now = datetime.now(timezone.utc)
+    assert len(before) == 2 and log.expire_log(spark, path, now + timedelta(hours=71)) == []
+    gone = log.expire_log(spark, path, now + timedelta(hours=73))
+    assert gone and all(g.startswith("topic=ais.raw/") for g in gone)
+    assert [r.topic for r in log.read_records(spark, path).select("topic").distinct().collect()] == ["ais.dlq"]
+    assert log.expire_log(spark, path, now + timedelta(hours=169))
 
 
 def memory(query_df, name, mode, checkpoint):
@@ -105,19 +149,15 @@ def memory(query_df, name, mode, checkpoint):
     jobs.run_to_end(q)
 
 
-def test_stateful_variants(spark, pipeline):
+def test_stateful_variant(spark, pipeline):
     home, _, batch = pipeline
     events = jobs.consume(spark, str(home / "log"))
     memory(jobs.latest_state_stream(events), "latest_state_mem", "complete", str(home / "m1"))
     got = spark.table("latest_state_mem").select("mmsi", "sog_knots")
     assert sorted(got.collect()) == sorted(st.current_state(batch, T0).select("mmsi", "sog_knots").collect())
-    memory(jobs.dedup_track_stream(events), "dedup_mem", "append", str(home / "m2"))
-    assert spark.table("dedup_mem").count() == batch.count()
-    memory(jobs.hourly_counts_stream(events), "hours_mem", "update", str(home / "m3"))
-    want = tr.hourly_counts(st.build_track_rows(batch, T0)).collect()
-    assert {(r.partition_hour, r.events) for r in spark.table("hours_mem").collect()} >= set(map(tuple, want))
 
 
 def test_options():
-    assert jobs.kafka_archive_options() == {"minOffsetsPerTrigger": "1000", "maxTriggerDelay": "900s"}
-    assert jobs.LATENESS == "21660 seconds" and timedelta(seconds=21660) > timedelta(hours=6)
+    assert jobs.kafka_archive_options() == {
+        "minOffsetsPerTrigger": "1000", "maxTriggerDelay": "900s", "maxOffsetsPerTrigger": "500000"}
+    assert jobs.kafka_state_options()["minOffsetsPerTrigger"] == "500"

@@ -21,6 +21,7 @@ SERIALIZATION_FAILED = "parquet_serialization_failed"
 INGEST_SERVICE = "ingestion"
 STATE_SERVICE = "stream_processor"
 ARCHIVE_SERVICE = "raw_sink"
+TRACK_SERVICE = "track_writer"
 # -------------------------------------------------------------------------------------------
 
 
@@ -42,9 +43,11 @@ def event_id(frame="frame", received_at=None) -> Column:
 
     With the stamp a frame received twice has two ids; leave it out to identify content.
     """
-    text = F.to_json(as_column(frame))
-    canonical = F.when(text.contains('"_received_at"'), F.regexp_replace(
-        text, r',?"_received_at":[^,}]+', "")).otherwise(text)
+    frame = as_column(frame)
+    keys = F.try_variant_get(frame, "$", "map<string,variant>")
+    stamped = fr.field(frame, "$._received_at").isNotNull()
+    bare = F.map_filter(keys, lambda k, _: k != "_received_at")
+    canonical = F.when(stamped, F.to_json(bare)).otherwise(F.to_json(frame))
     if received_at is None:
         return F.md5(canonical)
     return F.md5(F.concat(canonical, F.lit("|"), as_column(received_at).cast("string")))
@@ -149,10 +152,11 @@ def poison_reason(target: str) -> Column:
                   F.lit(DB_INSERT_FAILED)))
 
 
-def split_poison(decoded: DataFrame, target: str, now=None) -> tuple[DataFrame, DataFrame]:
+def split_poison(decoded: DataFrame, target: str, now=None,
+                 service: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows that can be stored, quarantine rows); one bad row never holds up the others."""
     marked = decoded.withColumn("_poison", poison_reason(target))
-    service = ARCHIVE_SERVICE if target == "archive" else STATE_SERVICE
+    service = service or (ARCHIVE_SERVICE if target == "archive" else STATE_SERVICE)
     good = marked.filter("_poison IS NULL").drop("_poison", "_bad", "_value")
     bad = log.to_dlq(marked.filter("_poison IS NOT NULL"), F.col("_value"), F.col("_poison"),
                      service, now)

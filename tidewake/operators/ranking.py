@@ -1,8 +1,7 @@
-"""Exact order statistics and row numbering that never sort the data in one task."""
+"""Exact order statistics that never sort the data in one task."""
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,39 +21,47 @@ def rank_select(values: DataFrame, value: str, ranks: dict[str, Column],
     and keeps one slice, so after two passes the range is 2^32 times narrower and the last pass
     groups the few distinct values left in it. Bucketing is monotone, hence exact. Every pass
     pre-aggregates on the map side; what a single task sees is bounded by the slices, not by
-    the rows, whatever share of them one value holds. The wanted ranges travel as a scalar
-    subquery of one struct per rank.
+    the rows, whatever share of them one value holds.
+
+    The passes run one after the other when this is called, and each hands the next one row per rank
+    as literals. ``values`` is read once per pass and should be cheap to read: pruned columns of stored files.
     """
+    spark = values.sparkSession
     base = values.select(F.col(value).cast("double").alias("_v"),
                          (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
-    totals = base.agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))), F.lit(0)).alias("n"),
-                      F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    wanted = totals.filter("n > 0").select(F.array(*[
-        F.struct(F.lit(name).alias("id"), k.cast("long").alias("k"), "lo", "hi",
-                 F.lit(0).cast("long").alias("below")) for name, k in ranks.items()]).alias("t"))
-
-    def inside(targets: DataFrame) -> DataFrame:
-        each = base.withColumn("_t", targets.scalar()).select("_v", "_w", F.explode("_t").alias("t"))
-        return each.select("_v", "_w", "t.*").filter(F.col("_v").between(F.col("lo"), F.col("hi")))
+    n, lo, hi = base.agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_w"))), F.lit(0)),
+                         F.min("_v"), F.max("_v")).first()
+    schema = "rank_name string, k long, value double"
+    if not n:
+        return spark.createDataFrame([], schema)
+    places = spark.range(1).select(F.lit(n).cast("long").alias("n")).select(
+        *[k.cast("long").alias(name) for name, k in ranks.items()]).first().asDict()
+    wanted = [(name, k, lo, hi, 0) for name, k in places.items()]
+    fields = ("id", "k", "lo", "hi", "below")
+
+    def inside() -> DataFrame:
+        targets = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, w)]) for w in wanted])
+        each = base.select("_v", "_w", F.explode(targets).alias("t")).select("_v", "_w", "t.*")
+        return each.filter(F.col("_v").between(F.col("lo"), F.col("hi")))
 
     order = W.partitionBy("id").orderBy("slot").rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    def hit(counted: DataFrame) -> DataFrame:
+    def hit(counted: DataFrame) -> list:
         upto = counted.withColumn("_upto", F.col("below") + F.sum("c").over(order))
-        return upto.filter((F.col("k") < F.col("_upto")) & (F.col("k") >= F.col("_upto") - F.col("c")))
+        below = F.col("_upto") - F.col("c")
+        return upto.filter((F.col("k") < F.col("_upto")) & (F.col("k") >= below)).select(
+            "id", "k", "lo", "hi", below.alias("below")).collect()
 
     for _ in range(PASSES):
-        rows = inside(wanted)
         slot = F.when(F.col("hi") > F.col("lo"), F.least(
             F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS),
             F.lit(BUCKETS - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
-        counted = (rows.withColumn("slot", slot).groupBy("id", "k", "below", "slot")
+        counted = (inside().withColumn("slot", slot).groupBy("id", "k", "below", "slot")
                    .agg(F.sum("_w").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
-        wanted = hit(counted).agg(F.collect_list(F.struct(
-            "id", "k", "lo", "hi", (F.col("_upto") - F.col("c")).alias("below"))).alias("t"))
-    last = (inside(wanted).withColumn("slot", F.col("_v")).groupBy("id", "k", "below", "slot")
-            .agg(F.sum("_w").alias("c")))
-    return hit(last).select(F.col("id").alias("rank_name"), "k", F.col("slot").alias("value"))
+        wanted = [tuple(r) for r in hit(counted)]
+    last = (inside().withColumn("slot", F.col("_v")).groupBy("id", "k", "below", "slot")
+            .agg(F.sum("_w").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+    return spark.createDataFrame([(r.id, r.k, r.lo) for r in hit(last)], schema)
 
 
 def interpolated(values: DataFrame, value: str, fraction: float,
@@ -70,28 +77,3 @@ def interpolated(values: DataFrame, value: str, fraction: float,
     both = picked.agg(low.alias("low"), high.alias("high"))
     return both.select((F.col("low") + (F.col("high") - F.col("low"))
                         * (share - F.floor(share))).alias("value"))
-
-
-def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Adds the 0-based position of each row in ``order``, without a single-task window.
-
-    The rows are range-sorted over all tasks and checkpointed once, so that the two uses below
-    see the same partitions even if executors are lost; a row's position is its place in its
-    partition plus the rows of the partitions before it (one count per partition). ``order``
-    should be a total order: ties are numbered in no particular order, and a range sort can only
-    split equal keys if something tells them apart.
-    """
-    from tidewake.session import shared_dir
-
-    shared_dir(df.sparkSession)
-    placed = (df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-              .withColumn("_part", F.shiftright("_id", 33))).checkpoint()
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    # One row per partition of the sort: bounded by the number of tasks, never by the data.
-    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"))
-    place = F.col("_id") - F.shiftleft(F.col("_part"), 33)
-    return (placed.join(F.broadcast(offsets), "_part")
-            .withColumn(name, F.col("_off") + place).drop("_id", "_part", "_off"))
-
-

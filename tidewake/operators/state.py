@@ -67,9 +67,10 @@ def _order(order: str) -> Column:
     raise ValueError(f"unknown order {order!r}")
 
 
-def latest_state(rows: DataFrame, order: str = "arrival") -> DataFrame:
+def latest_state(rows: DataFrame, order: str = "arrival", with_arrival: bool = False) -> DataFrame:
     """One row per vessel: the last to arrive, or with ``event_time`` the latest report."""
-    return latest_by(rows, ["mmsi"], _order(order), STATE_SCHEMA.names)
+    extra = ["_arrival"] if with_arrival else []
+    return latest_by(rows, ["mmsi"], _order(order), [*STATE_SCHEMA.names, *extra])
 
 
 def latest_events(events: DataFrame, arrival: Sequence[str] = ARRIVAL) -> DataFrame:
@@ -82,15 +83,16 @@ def latest_events(events: DataFrame, arrival: Sequence[str] = ARRIVAL) -> DataFr
 
 
 def current_state(events: DataFrame, now=None, order: str = "arrival",
-                  arrival: Sequence[str] = ARRIVAL) -> DataFrame:
-    """State after applying all events to an empty table.
+                  arrival: Sequence[str] = ARRIVAL, with_arrival: bool = False) -> DataFrame:
+    """State after applying all events to an empty table; on request with ``_arrival``.
 
     By arrival the events are reduced first, so times are parsed and statuses derived once per
     vessel instead of once per report.
     """
     if order == "arrival":
-        return build_state_rows(latest_events(events, arrival), now, arrival).drop("_arrival")
-    return latest_state(build_state_rows(events, now, arrival), order)
+        rows = build_state_rows(latest_events(events, arrival), now, arrival)
+        return rows if with_arrival else rows.drop("_arrival")
+    return latest_state(build_state_rows(events, now, arrival), order, with_arrival)
 
 
 def upsert_state(state: DataFrame, batch: DataFrame, order: str = "arrival") -> DataFrame:

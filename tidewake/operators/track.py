@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.functions import times
-from tidewake.operators.ranking import numbered
 from tidewake.operators.state import first_by, older_than
 from tidewake.schemas import TRACK_SCHEMA
 
@@ -16,7 +15,6 @@ TRACK_RETENTION_HOURS = 24
 # -------------------------------------------------------------------------------------------
 
 KEY = ["mmsi", "event_id"]
-POINTS_PER_LINE = 50_000
 KEYS_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
@@ -62,32 +60,22 @@ def track_points(track: DataFrame) -> DataFrame:
     return track.groupBy("mmsi").agg(F.count("*").alias("points"))
 
 
-def track_linestring(track: DataFrame, points_per_line: int = POINTS_PER_LINE) -> DataFrame:
-    """GeoJSON LineString features, one row per (mmsi, part); vessels without points have none.
+def track_linestring(track: DataFrame, grain: str = "hour") -> DataFrame:
+    """GeoJSON LineString features, one row per vessel and event ``grain`` (hour or day) with points.
 
-    A track of up to ``points_per_line`` points (days of reporting) is one feature. A longer one
-    continues in further parts, each starting at the point the last one ended on, so that no row
-    grows without bound and every point is kept.
+    The grain is the same for every vessel, so a row holds what a vessel can report in that time, however
+    long its track is. Points are in order of (event time, event id).
     """
-    cols = ["mmsi", "event_time", "event_id", "longitude", "latitude"]
-    placed = numbered(track.select(*cols), ["mmsi", "event_time", "event_id", "longitude", "latitude"])
-    starts = placed.groupBy("mmsi").agg(F.min("position").alias("_start"))
-    at = F.col("position") - F.col("_start")
-    step = points_per_line - 1
-    part = F.floor(at / step).cast("long")
-    shared = (at % step == 0) & (part > 0)
-    rows = placed.join(starts, "mmsi").select(
-        *cols, "position",
-        F.explode(F.when(shared, F.array(part - 1, part)).otherwise(F.array(part))).alias("part"))
-    ordered = F.array_sort(F.collect_list(F.struct("position", "longitude", "latitude")))
-    lines = rows.groupBy("mmsi", "part").agg(ordered.alias("_p"))
-    # A part that would hold only the shared last point adds nothing to the part before it.
-    lines = lines.filter((F.size("_p") > 1) | (F.col("part") == 0))
+    if grain not in ("hour", "day"):
+        raise ValueError(f"unknown grain {grain!r}")
+    point = F.struct("event_time", "event_id", "longitude", "latitude")
+    lines = (track.groupBy("mmsi", F.date_trunc(grain, "event_time").alias("since"))
+             .agg(F.array_sort(F.collect_list(point)).alias("_p")))
     coordinates = F.transform("_p", lambda p: F.array(p["longitude"], p["latitude"]))
     geometry = F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates"))
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"),
                                  F.create_map().cast("map<string,string>").alias("properties")))
-    return lines.select("mmsi", "part", F.size("_p").alias("points"), feature.alias("feature"))
+    return lines.select("mmsi", "since", F.size("_p").alias("points"), feature.alias("feature"))
 
 
 def expire_track(track: DataFrame, as_of=None, hours: int = TRACK_RETENTION_HOURS) -> DataFrame:

@@ -8,6 +8,7 @@ AS_OF = "(SELECT max(ts) FROM events)"
 
 # ---- The derived tables, as common table expressions --------------------------------------
 
+# The status rules, labels and compass points below.
 _STATUS = """CASE WHEN nav_status = 1 THEN 'ANCHORED' WHEN nav_status = 5 THEN 'MOORED'
     WHEN nav_status = 0 AND coalesce(sog_knots, 0) = 0 THEN 'STOPPED'
     WHEN nav_status IN (0, 8) AND coalesce(sog_knots, 0) > 0 THEN 'UNDERWAY' ELSE 'UNKNOWN' END"""
@@ -162,9 +163,12 @@ add("skew_gate", f"""SELECT seq AS event_id, event_ts, {_SKEW} AS reason,
     AS latency_ms FROM told""", POSITIONS, _FRAMES, _TOLD)
 add("normalize_frames", """SELECT schema_version, message_type, mmsi, ship_name, latitude, longitude, sog_knots,
     CASE WHEN k = 1 THEN NULL ELSE cog_degrees END AS cog_degrees, true_heading, rate_of_turn, nav_status,
-    seq % 2 = 1 AS position_accuracy, raim, event_time, ingested_at, source
+    seq % 2 = 1 AS position_accuracy, raim, event_time, ingested_at, source,
+    mmsi AS raw_mmsi, latitude AS raw_latitude, ingested_at AS raw_received_at
     FROM routed WHERE route = 'publish'""", *_INGEST)
 add("ingest_routes", "SELECT route, reason, count(*) AS frames FROM routed GROUP BY route, reason", *_INGEST)
+add("event_id", """SELECT count(*) AS frames, count(*) AS ids, count(*) AS well_formed, count(*) AS by_arrival,
+    count(*) AS by_content FROM frames WHERE k <> 9""", POSITIONS, _FRAMES)
 add("ingest_records", """SELECT CASE route WHEN 'publish' THEN 'ais.raw' ELSE 'ais.dlq' END AS topic,
     route = 'publish' AS keyed, reason, CASE WHEN route = 'dlq' THEN 'ingestion' END AS service,
     count(*) AS records,
@@ -213,11 +217,11 @@ add("vessel_track", f"""SELECT event_time, latitude, longitude, sog_knots FROM t
 add("track_points", "SELECT mmsi, count(*) AS points FROM track GROUP BY mmsi", POSITIONS, TRACK)
 add("hourly_counts", """SELECT partition_hour, count(*) AS events FROM track GROUP BY partition_hour""",
     POSITIONS, TRACK)
-add("track_linestring", """SELECT mmsi, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS points,
+add("track_linestring", """SELECT mmsi, partition_hour AS since, CAST(count(*) AS INTEGER) AS points,
     '{"type":"Feature","geometry":{"type":"LineString","coordinates":['
     || string_agg('[' || CAST(longitude AS VARCHAR) || ',' || CAST(latitude AS VARCHAR) || ']', ','
        ORDER BY event_time, event_id) || ']},"properties":{}}' AS feature
-    FROM track GROUP BY mmsi""", POSITIONS, TRACK)
+    FROM track GROUP BY mmsi, partition_hour""", POSITIONS, TRACK)
 add("geojson_features", """SELECT mmsi, 'Point' AS geometry, longitude AS lon, latitude AS lat, status,
     CASE WHEN mmsi = '200000007' THEN 'true' ELSE 'false' END AS selected
     FROM aged WHERE status IS DISTINCT FROM 'STALE'""", POSITIONS, STATE, AGED)
@@ -383,7 +387,7 @@ add("archive_partitions", """SELECT dt, HH, count(*) AS events, count(*) FILTER
 add("in_window", f"SELECT dt, HH, count(*) AS events FROM archive WHERE {_hours(24)} GROUP BY dt, HH",
     POSITIONS, ARCHIVE)
 add("data_quality", f"""SELECT 168 AS window_hours, count(*) AS events_processed,
-    (SELECT count(DISTINCT dt) FROM archive WHERE {_hours(168)}) AS days_scanned,
+    (SELECT count(DISTINCT dt || HH) FROM archive WHERE {_hours(168)}) AS hours_scanned,
     count(*) FILTER (WHERE latitude IS NULL OR longitude IS NULL) AS missing_position,
     count(*) FILTER (WHERE sog_knots IS NULL) AS missing_sog,
     count(*) FILTER (WHERE cog_degrees IS NULL) AS missing_cog,
@@ -396,12 +400,16 @@ add("latency_ranks", f"""SELECT rank_name, k, round(latency, 6) AS value FROM (S
     ON k = CASE rank_name WHEN 'p50' THEN {_P50} ELSE {_P95} END""", POSITIONS, ARCHIVE)
 add("archive_roundtrip", f"""SELECT dt, HH, count(*) AS events, round(sum(latitude), 4) AS latitude_sum
     FROM archive WHERE {_hours(168)} GROUP BY dt, HH""", POSITIONS, ARCHIVE)
-add("batch_digest", """SELECT flush, dt, HH, content_salt, row_count, replace(dt, '-', '') || '-' || HH || '-'
-    || substr(sha256('raw-sink:' || replace(dt, '-', '') || ':' || HH || ':' || content_salt), 1, 16)
-    AS file_name FROM (SELECT flush, dt, HH, count(*) AS row_count,
-    substr(sha256(string_agg(event_id, ',' ORDER BY event_id)), 1, 16) AS content_salt
-    FROM (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 1000 AS flush FROM archive)
-    GROUP BY flush, dt, HH)""", POSITIONS, ARCHIVE)
+add("archive_replay", """SELECT dt, HH, count(*) AS events, count(DISTINCT event_id) AS ids
+    FROM archive GROUP BY dt, HH""", POSITIONS, ARCHIVE)
+add("archive_expiry", f"""SELECT count(DISTINCT dt) FILTER (WHERE old) AS days_dropped,
+    count(*) FILTER (WHERE NOT old) AS events_left, min(dt) FILTER (WHERE NOT old) AS first_day
+    FROM (SELECT dt, CAST(dt AS TIMESTAMP) + INTERVAL 1 DAY <= {AS_OF} - INTERVAL 7 DAY AS old FROM archive)""",
+    POSITIONS, ARCHIVE)
+add("missing_motion", f"""SELECT count(*) FILTER (WHERE sog_knots IS NULL)
+    + count(*) FILTER (WHERE cog_degrees IS NULL) AS missing_motion FROM archive WHERE {_arrived(168)}""",
+    POSITIONS, ARCHIVE)
+add("sample_frames", "SELECT least(100, count(*)) AS frames FROM frames WHERE k <> 9", POSITIONS, _FRAMES)
 
 # ---- Retention ----------------------------------------------------------------------------
 
@@ -434,3 +442,8 @@ add("stream_track", """SELECT date_trunc('hour', ts) AS partition_hour, count(*)
     count(DISTINCT mmsi) AS vessels FROM published GROUP BY 1""", *_INGEST, _PUBLISHED)
 add("stream_archive", """SELECT strftime(ts, '%Y-%m-%d') AS dt, strftime(ts, '%H') AS HH, count(*) AS events
     FROM published GROUP BY 1, 2""", *_INGEST, _PUBLISHED)
+_STATE_POISON = "CASE WHEN n = 6 THEN 'row_build_failed: value' ELSE 'db_insert_failed' END"
+add("stream_dlq", f"""SELECT reason, service, count(*) AS records FROM (
+    SELECT 'parquet_serialization_failed' AS reason, 'raw_sink' AS service FROM damaged WHERE n IN (1, 2, 6)
+    UNION ALL SELECT {_STATE_POISON}, unnest(['stream_processor', 'track_writer']) FROM damaged
+    WHERE n IN (1, 2, 4, 6)) GROUP BY ALL""", POSITIONS, _DAMAGED)

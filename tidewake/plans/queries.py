@@ -19,10 +19,11 @@ from tidewake.operators import ingest as ing
 from tidewake.operators import presentation as pr
 from tidewake.operators import proximity as px
 from tidewake.operators import quality as ql
-from tidewake.operators import ranking, retention
+from tidewake.operators import retention
 from tidewake.operators import state as st
 from tidewake.operators import track as tr
 from tidewake.schemas import EVENT_SCHEMA
+from tidewake.session import stored
 from tidewake.sources import archive as ar
 from tidewake.sources import events as ev
 from tidewake.sources import frames as fs
@@ -91,17 +92,20 @@ class Tables:
 
     @property
     def archive(self) -> DataFrame:
-        """Archive rows; ``dt`` and ``HH`` are evaluated once, like the folder names they stand for."""
-        return fr.evaluated_once(ar.archive_rows(self.positions, self.as_of).drop("raw"))
+        """Archive rows with the folder names ``dt`` and ``HH``."""
+        return ar.archive_rows(self.positions, self.as_of).drop("raw")
 
+    @property
+    def last(self):
+        """The last event's instant, as a value."""
+        return self.spark.read.parquet(f"{self.dir}/events.parquet").agg(
+            F.max("ts").cast("timestamp")).first()[0]
 
-def stored(df: DataFrame) -> DataFrame:
-    """A derived table as the stored one it stands for, in the shared folder.
-
-    Operators that read their input several times are meant for stored tables.
-    """
-    session.shared_dir(df.sparkSession)
-    return df.checkpoint()
+    def written_archive(self, window_hours: int | None = None) -> DataFrame:
+        """The archive written to the shared folder and read back, with the file of every row."""
+        path = session.scratch(self.spark, "archive")
+        ar.write_archive(self.positions, path, self.as_of)
+        return ar.read_archive(self.spark, path, self.last, window_hours, files=True)
 
 
 def _six(df: DataFrame, *columns: str) -> DataFrame:
@@ -198,9 +202,14 @@ def skew_gate(t: Tables) -> DataFrame:
 
 @query
 def normalize_frames(t: Tables) -> DataFrame:
+    """Canonical columns, and what the kept raw frame says."""
     routed = ing.ingest(t.frames.select("value", "received_at"))
+    frame = F.try_parse_json("raw")
     return ing.published(routed).select(
-        *[c for c in EVENT_SCHEMA.names if c not in ("event_id", "raw")])
+        *[c for c in EVENT_SCHEMA.names if c not in ("event_id", "raw")],
+        fr.as_text(fr.field(frame, "$.MetaData.MMSI")).alias("raw_mmsi"),
+        fr.as_double(fr.field(frame, "$.Message.PositionReport.Latitude")).alias("raw_latitude"),
+        fr.as_double(fr.field(frame, "$._received_at")).alias("raw_received_at"))
 
 
 @query
@@ -225,11 +234,18 @@ def ingest_records(t: Tables) -> DataFrame:
 
 @query
 def event_id(t: Tables) -> DataFrame:
-    """Event ids with and without the arrival stamp."""
-    frames = t.frames.select("event_id", "received_at", F.try_parse_json("value").alias("frame"))
-    return frames.filter("frame IS NOT NULL").select(
-        F.col("event_id").alias("seq"), ing.event_id("frame", "received_at").alias("event_id"),
-        ing.event_id("frame").alias("content_id"))
+    """Facts about ids: one per frame and arrival, 32 hex digits, the content's own without the arrival."""
+    frames = t.frames.select("received_at", F.try_parse_json("value").alias("frame"),
+                             F.try_parse_json(fr.stamped_text("value", "received_at")).alias("stamped"))
+    ids = frames.filter("frame IS NOT NULL").select(
+        ing.event_id("frame", "received_at").alias("id"),
+        ing.event_id("frame", F.col("received_at") + 1).alias("later"),
+        ing.event_id("frame").alias("content"), ing.event_id("stamped").alias("stamped"))
+    hex_digits = F.lit("^[0-9a-f]{32}$")
+    return ids.agg(F.count("*").alias("frames"), F.count_distinct("id").alias("ids"),
+                   F.count_if(F.rlike("id", hex_digits) & F.rlike("content", hex_digits)).alias("well_formed"),
+                   F.count_if(F.col("id") != F.col("later")).alias("by_arrival"),
+                   F.count_if(F.col("content") == F.col("stamped")).alias("by_content"))
 
 
 def _damaged_log(t: Tables) -> DataFrame:
@@ -353,6 +369,7 @@ def hourly_counts(t: Tables) -> DataFrame:
 
 @query
 def track_linestring(t: Tables) -> DataFrame:
+    """A line per vessel and event hour."""
     return tr.track_linestring(t.track_rows)
 
 
@@ -538,44 +555,71 @@ def in_window(t: Tables) -> DataFrame:
 
 @query
 def data_quality(t: Tables) -> DataFrame:
-    row = ql.data_quality(stored(t.archive), t.as_of, WINDOW_HOURS, file="dt")
+    """The report over a written archive; of the files it scans SQL can tell the hour folders."""
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    archive = t.written_archive(WINDOW_HOURS).withColumn("folder", folder)
+    row = ql.data_quality(archive, t.last, WINDOW_HOURS, file="folder")
     return _six(row.select("*", "latency.*").drop("latency").withColumnRenamed(
-        "parquet_files", "days_scanned"), "p50_s", "p95_s", "max_s")
+        "parquet_files", "hours_scanned"), "p50_s", "p95_s", "max_s")
+
+
+@query
+def missing_motion(t: Tables) -> DataFrame:
+    return ql.missing_motion(ql.data_quality(t.archive, t.last, WINDOW_HOURS))
 
 
 @query
 def latency_stats(t: Tables) -> DataFrame:
-    return _six(ql.latency_stats(stored(t.archive), t.as_of), "p50_s", "p95_s", "max_s")
+    return _six(ql.latency_stats(t.archive, t.last), "p50_s", "p95_s", "max_s")
 
 
 @query
 def latency_ranks(t: Tables) -> DataFrame:
     """p50 and p95 by index over the whole archive."""
-    rows = stored(t.archive).select(ql.source_latency().alias("latency")).filter("latency >= 0")
+    rows = t.archive.select(ql.source_latency().alias("latency")).filter("latency >= 0")
     return _six(ql.latency_ranks(rows), "value")
 
 
 @query
 def archive_roundtrip(t: Tables) -> DataFrame:
     """Write the archive, read a window of it back and report on it."""
+    return t.written_archive(WINDOW_HOURS).groupBy("dt", "HH").agg(
+        F.count("*").alias("events"), F.round(F.sum("latitude"), 4).alias("latitude_sum"))
+
+
+@query
+def archive_replay(t: Tables) -> DataFrame:
+    """The second half written first, then everything, twice: what is known is not stored again."""
     path = session.scratch(t.spark, "archive")
-    ar.write_archive(t.positions, path)
-    as_of = t.spark.read.parquet(f"{t.dir}/events.parquet").agg(
-        F.max("ts").cast("timestamp").alias("m")).first()["m"]
-    back = ar.read_archive(t.spark, path, as_of, WINDOW_HOURS)
-    return back.groupBy("dt", "HH").agg(F.count("*").alias("events"),
-                                        F.round(F.sum("latitude"), 4).alias("latitude_sum"))
+    for events in (_halves(t)[1], t.positions, t.positions):
+        ar.write_archive(events, path, t.as_of)
+    return ar.read_archive(t.spark, path).groupBy("dt", "HH").agg(
+        F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
 @query
-def batch_digest(t: Tables) -> DataFrame:
-    """Content names of flushes of 1000 rows in order of arrival."""
-    rows = ar.archive_rows(t.positions, t.as_of).select("event_id", "dt", "HH")
-    rows = rows.withColumn("seq", F.col("event_id").cast("long"))
-    placed = ranking.numbered(rows, ["seq"])
-    flushed = placed.withColumn("flush", F.floor(F.col("position") / ar.FLUSH_MAX_ROWS))
-    return ar.batch_digest(flushed).select("flush", "dt", "HH", "content_salt", "row_count",
-                                           ar.file_name("raw-sink").alias("file_name"))
+def archive_expiry(t: Tables) -> DataFrame:
+    """Day folders that a clean-up at the last event drops, and the rows that stay."""
+    path = session.scratch(t.spark, "archive")
+    ar.write_archive(t.positions, path, t.as_of)
+    gone = ar.expire_archive(t.spark, path, t.last)
+    return ar.read_archive(t.spark, path).agg(
+        F.lit(len(gone)).cast("long").alias("days_dropped"), F.count("*").alias("events_left"),
+        F.min("dt").alias("first_day"))
+
+
+@query
+def sample_frames(t: Tables) -> DataFrame:
+    """A capture of frames that are JSON, read back: each is one of them, with its own arrival."""
+    path = session.scratch(t.spark, "sample")
+    frames = fs.frames_from_text(t.frames.select("value", "received_at"))
+    fs.sample_frames(frames, 100, path)
+    back = fs.read_frames(t.spark, path).select("received_at", fr.as_text(
+        fr.field(F.col("frame"), "$.MetaData.time_utc")).alias("time"))
+    known = frames.select("received_at", fr.as_text(fr.field(F.col("frame"), "$.MetaData.time_utc")).alias("time"))
+    found = back.join(known.distinct(), (back.received_at == known.received_at) & back.time.eqNullSafe(known.time),
+                      "left_semi")
+    return found.agg(F.count("*").alias("frames"))
 
 
 # ---- Retention ----------------------------------------------------------------------------
@@ -611,10 +655,19 @@ def _stream_log(t: Tables) -> tuple[str, str]:
     """Run the ingest stream to its end; returns the work folder and the log's path."""
     home = session.scratch(t.spark, "stream")
     frames = ev.as_frames(ev.stream_events(t.spark, t.dir)).select("value", "received_at")
-    jobs.run_to_end(jobs.start_ingest(frames, f"{home}/log", f"{home}/ck-ingest"))
+    jobs.run_to_end(jobs.start_ingest(frames, f"{home}/log", f"{home}/ck-ingest",
+                                      spread=t.spark.sparkContext.defaultParallelism))
     return home, f"{home}/log"
 
 
+def _consumed(t: Tables, start, home: str, path: str, name: str, files: int | None = None) -> str:
+    """Run a consumer of the log to its end in micro-batches of a few files; returns its sink."""
+    files = files or max(2, t.spark.sparkContext.defaultParallelism // 2)
+    events = jobs.consume(t.spark, path, max_files=files)
+    jobs.run_to_end(start(events, f"{home}/{name}", f"{home}/ck-{name}-{files}", path, seconds=None))
+    return f"{home}/{name}"
+
+
 @query
 def stream_ingest(t: Tables) -> DataFrame:
     _, path = _stream_log(t)
@@ -626,18 +679,14 @@ def stream_ingest(t: Tables) -> DataFrame:
 @query
 def stream_state(t: Tables) -> DataFrame:
     home, path = _stream_log(t)
-    events = jobs.consume(t.spark, path)
-    jobs.run_to_end(jobs.start_state(events, f"{home}/state", f"{home}/ck-state", seconds=None))
-    state = tables.read_state(t.spark, f"{home}/state")
+    state = tables.read_state(t.spark, _consumed(t, jobs.start_state, home, path, "state"))
     return state.select("mmsi", "latitude", "longitude", "sog_knots", "status", "last_seen_at")
 
 
 @query
 def stream_track(t: Tables) -> DataFrame:
     home, path = _stream_log(t)
-    events = jobs.consume(t.spark, path)
-    jobs.run_to_end(jobs.start_track(events, f"{home}/track", f"{home}/ck-track", seconds=None))
-    track = tables.read_track(t.spark, f"{home}/track")
+    track = tables.read_track(t.spark, _consumed(t, jobs.start_track, home, path, "track"))
     return track.groupBy("partition_hour").agg(F.count("*").alias("points"),
                                                F.count_distinct("mmsi").alias("vessels"))
 
@@ -645,8 +694,16 @@ def stream_track(t: Tables) -> DataFrame:
 @query
 def stream_archive(t: Tables) -> DataFrame:
     home, path = _stream_log(t)
-    events = jobs.consume(t.spark, path)
-    jobs.run_to_end(jobs.start_archive(events, f"{home}/archive", f"{home}/ck-archive", seconds=None))
-    back = ar.read_archive(t.spark, f"{home}/archive")
+    back = ar.read_archive(t.spark, _consumed(t, jobs.start_archive, home, path, "archive"))
     return back.groupBy("dt", "HH").agg(F.count("*").alias("events"))
 
+
+@query
+def stream_dlq(t: Tables) -> DataFrame:
+    """Records that the three consumers of a damaged log put on its quarantine topic, by reason and service."""
+    home = session.scratch(t.spark, "stream")
+    log.write_records(_damaged_log(t).withColumn("topic", F.lit(log.RAW_TOPIC)), f"{home}/log")
+    for start, name in ((jobs.start_archive, "archive"), (jobs.start_state, "state"), (jobs.start_track, "track")):
+        _consumed(t, start, home, f"{home}/log", name)
+    return log.read_dlq(t.spark, f"{home}/log").groupBy(
+        F.col("_dlq_reason").alias("reason"), F.col("_dlq_source").alias("service")).agg(F.count("*").alias("records"))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,31 +34,31 @@ def get_session(app: str = "tidewake", master: str | None = None, **extra: str)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+    """Apply the runtime settings to a session somebody else created, for good.
+
+    Only the registered queries call it; operators leave a session's settings alone.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one named by ``spark.checkpoint.dir``.
-
-    Only a session that names none (a local test) gets a fresh temporary folder.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    """Folder every executor can reach: the one named by ``spark.checkpoint.dir``, or set as checkpoint folder."""
+    named = (spark.sparkContext.getConf().get("spark.checkpoint.dir")
+             or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
     if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="tidewake-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return named
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back; for tables read several times."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewake.functions import times
 from tidewake.schemas import ARCHIVE_SCHEMA, EVENT_SCHEMA
@@ -43,16 +42,45 @@ def archive_rows(events: DataFrame, now=None) -> DataFrame:
     return with_partition(to_archive_row(events), now)
 
 
-def write_archive(events: DataFrame, path: str, batch: int = 0) -> None:
-    """Write one batch below ``dt=/HH=/batch=``; writing the same batch again replaces it.
+def _content() -> Column:
+    return F.md5(F.to_json(F.struct(*EVENT_SCHEMA.names), {"ignoreNullFields": "false"}))
 
-    The rebalance hint lets the adaptive plan merge small hours into one file and split an hour
-    that holds most of the rows over many tasks.
+
+def _unseen(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The first row per (hour, key) that the archive does not hold yet."""
+    one = Window.partitionBy("dt", "HH", key).orderBy("ingested_at", "raw")
+    first = rows.withColumn("_place", F.row_number().over(one)).filter("_place = 1").drop("_place")
+    return first.join(stored.select("dt", "HH", key), ["dt", "HH", key], "left_anti")
+
+
+def write_archive(events: DataFrame, path: str, now=None) -> None:
+    """Append events below ``dt=/HH=``; what the archive holds already is left out.
+
+    An event is known by its id, one without id by its content. It is looked up in the hours the
+    events fall into, so a replay adds nothing, whatever the borders of its batches, and no call
+    replaces what another one wrote. One writer at a time. The rebalance hint lets the adaptive
+    plan merge small hours into one file and split an hour that holds most of the rows over many tasks.
     """
-    rows = archive_rows(events).withColumn("batch", F.lit(int(batch)).cast("long"))
-    (rows.hint("rebalance", "dt", "HH").sortWithinPartitions("dt", "HH", "mmsi")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("compression", "snappy").partitionBy("dt", "HH", "batch").parquet(path))
+    spark = events.sparkSession
+    rows = archive_rows(events, now)
+    hour = F.concat_ws("/", "dt", "HH")
+    first, last, nameless = rows.agg(F.min(hour), F.max(hour), F.count_if(F.col("event_id").isNull())).first()
+    if first is None:
+        return
+    stored = empty_archive(spark)
+    if paths.folders(spark, path):
+        stored = read_archive(spark, path).filter(
+            F.col("dt").between(first[:10], last[:10]) & hour.between(first, last))
+    new = _unseen(rows.filter("event_id IS NOT NULL"), stored.filter("event_id IS NOT NULL"), "event_id")
+    if nameless:
+        by_content = [df.filter("event_id IS NULL").withColumn("_content", _content()) for df in (rows, stored)]
+        new = new.unionByName(_unseen(*by_content, "_content").drop("_content"))
+    (new.select(*ARCHIVE_SCHEMA.names).hint("rebalance", "dt", "HH").sortWithinPartitions("dt", "HH", "mmsi")
+     .write.mode("append").option("compression", "snappy").partitionBy("dt", "HH").parquet(path))
+
+
+def empty_archive(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], ARCHIVE_SCHEMA)
 
 
 def cutoff_of(as_of=None, window_hours: int = 24):
@@ -65,33 +93,13 @@ def read_archive(spark: SparkSession, path: str, as_of=None, window_hours: int |
 
     ``files`` adds the column ``file`` for counting the files a report scans.
     """
-    schema = T.StructType(ARCHIVE_SCHEMA.fields + [T.StructField("batch", T.LongType())])
-    df = spark.read.schema(schema).parquet(path)
+    df = spark.read.schema(ARCHIVE_SCHEMA).parquet(path)
     if window_hours is not None:
         df = df.filter(times.in_window("dt", "HH", cutoff_of(as_of, window_hours)))
     extra = [F.col("_metadata.file_path").alias("file")] if files else []
     return df.select(*ARCHIVE_SCHEMA.names, *extra)
 
 
-def batch_digest(events: DataFrame, flush: str = "flush") -> DataFrame:
-    """Content name of each flushed (flush, dt, HH) group: 16 hex digits of its sorted event ids.
-
-    ``flush`` numbers the flushes, each of at most ``FLUSH_MAX_ROWS`` rows (see
-    ``operators.ranking.numbered``), so no group's id list grows with the data.
-    """
-    ids = F.sort_array(F.collect_list(F.coalesce("event_id", F.lit("None"))))
-    digest = F.substring(F.sha2(F.concat_ws(",", ids), 256), 1, 16)
-    return (events.groupBy(flush, "dt", "HH")
-            .agg(digest.alias("content_salt"), F.count("*").alias("row_count")))
-
-
-def file_name(group: str):
-    """Replay-stable file name of a digest row: date, hour and a digest of both with the salt."""
-    date = F.replace("dt", F.lit("-"), F.lit(""))
-    seed = F.concat_ws(":", F.lit(group), date, F.col("HH"), F.col("content_salt"))
-    return F.concat_ws("-", date, F.col("HH"), F.substring(F.sha2(seed, 256), 1, 16))
-
-
 def expire_archive(spark: SparkSession, path: str, as_of: datetime,
                    days: int = ARCHIVE_RETENTION_DAYS, dry_run: bool = False) -> list[str]:
     """Drop day folders that ended more than ``days`` before ``as_of``; returns their names."""

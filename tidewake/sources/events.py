@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.schemas import EVENT_SCHEMA
-from tidewake.sources import paths
+from tidewake.sources.log import BATCH_BYTES, bounded
 
 # Expressions over event_id, user_id, value and ts (timestamp); integers until the last step, so
 # that any engine gets the same double.
@@ -50,7 +50,6 @@ FLEET_EXPR = {
 
 SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
           "props STRING")
-SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def _columns(events: DataFrame) -> DataFrame:
@@ -58,16 +57,8 @@ def _columns(events: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four columns the views need, with ``ts`` as a UTC instant.
-
-    A table of fewer splits than cores (one small file) is dealt out to all of them, since decoding
-    is far dearer than moving four columns; a table of many files is read in place.
-    """
-    path = f"{sf_dir}/events.parquet"
-    files, size = paths.extent(spark, path)
-    events = _columns(spark.read.schema(SCHEMA).parquet(path))
-    cores = spark.sparkContext.defaultParallelism
-    return events.repartition(cores) if max(files, size // SPLIT_BYTES) < cores else events
+    """The four columns the views need, with ``ts`` as a UTC instant."""
+    return _columns(spark.read.schema(SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
 def as_positions(events: DataFrame) -> DataFrame:
@@ -146,12 +137,13 @@ def as_frames(events: DataFrame) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_frames(read_events(spark, sf_dir))
+    """Raw frames, dealt out to all cores: decoding is far dearer than moving four columns."""
+    events = read_events(spark, sf_dir)
+    return as_frames(events.repartition(spark.sparkContext.defaultParallelism))
 
 
-def stream_events(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """The ``events`` table as a file stream."""
-    reader = spark.readStream.schema(SCHEMA)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+def stream_events(spark: SparkSession, sf_dir: str, max_files: int | None = None,
+                  max_bytes: int | None = BATCH_BYTES) -> DataFrame:
+    """The ``events`` table as a file stream of bounded micro-batches."""
+    reader = bounded(spark.readStream.schema(SCHEMA), max_files, max_bytes)
     return _columns(reader.option("pathGlobFilter", "events*.parquet").parquet(sf_dir))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions.frames import as_double, field, frame_variant, stamped_text
 from tidewake.functions.times import as_column, epoch_seconds
+from tidewake.sources.log import BATCH_BYTES, bounded
 
 # The whole globe, and the one message type the feed is asked for.
 WHOLE_GLOBE = [[[-90.0, -180.0], [90.0, 180.0]]]
@@ -32,11 +33,9 @@ def frames_from_text(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_frames(spark: SparkSession, path: str, streaming: bool = False,
-                max_files: int | None = None) -> DataFrame:
-    """Frames from JSON-lines files, as a batch or a stream."""
-    reader = spark.readStream if streaming else spark.read
-    if streaming and max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+                max_files: int | None = None, max_bytes: int | None = BATCH_BYTES) -> DataFrame:
+    """Frames from JSON-lines files, as a batch or a stream of bounded micro-batches."""
+    reader = bounded(spark.readStream, max_files, max_bytes) if streaming else spark.read
     return frames_from_text(reader.text(path))
 
 

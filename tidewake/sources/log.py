@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import frames as fr
 from tidewake.functions.times import as_of_column, epoch_seconds
 from tidewake.schemas import DLQ_SCHEMA, EVENT_SCHEMA, RECORD_SCHEMA
+from tidewake.sources import paths
 
 # ---- Fixed values -------------------------------------------------------------------------
 RAW_TOPIC = "ais.raw"
 DLQ_TOPIC = "ais.dlq"
-MAX_POLL_RECORDS = 500
+RETENTION_HOURS = {RAW_TOPIC: 72, DLQ_TOPIC: 168}
 # -------------------------------------------------------------------------------------------
 
+# What one micro-batch reads at most, unless the caller says otherwise.
+BATCH_BYTES = 256 << 20
+BATCH_OFFSETS = 500_000
+
 KEEP_NULLS = {"ignoreNullFields": "false"}
 _TEXT_FIELDS = [f.name for f in EVENT_SCHEMA if f.dataType.simpleString() == "string"]
 _NUMBER_FIELDS = [f.name for f in EVENT_SCHEMA if f.dataType.simpleString() in ("double", "int")]
@@ -52,22 +60,29 @@ def to_dlq_records(dlq: DataFrame, topic: str = DLQ_TOPIC) -> DataFrame:
                       F.lit(topic).alias("topic"))
 
 
+def bounded(reader, max_files: int | None = None, max_bytes: int | None = BATCH_BYTES):
+    """A file stream reader with a bound per micro-batch: a number of files, or bytes."""
+    if max_files:
+        return reader.option("maxFilesPerTrigger", max_files)
+    return reader.option("maxBytesPerTrigger", max_bytes) if max_bytes else reader
+
+
 def read_records(spark: SparkSession, source: str | dict, streaming: bool = False,
-                 max_files: int | None = None) -> DataFrame:
+                 max_files: int | None = None, max_bytes: int | None = BATCH_BYTES) -> DataFrame:
     """Records of a folder (path) or of Kafka (a dict of its reader options).
 
-    Kafka needs its connector on the class path; there the per-trigger bound is
-    ``maxOffsetsPerTrigger`` and (partition, offset) give the arrival order.
+    A stream's micro-batches are bounded: by ``max_files``, else by ``max_bytes``; on Kafka by
+    ``maxOffsetsPerTrigger``. Kafka needs its connector on the class path; there (partition,
+    offset) give the arrival order.
     """
     reader = spark.readStream if streaming else spark.read
     if isinstance(source, dict):
-        options = {"startingOffsets": "earliest", **source}
-        df = reader.format("kafka").options(**options).load()
+        bound = {"maxOffsetsPerTrigger": str(BATCH_OFFSETS)} if streaming else {}
+        df = reader.format("kafka").options(**{"startingOffsets": "earliest", **bound, **source}).load()
         return df.select(F.col("key").cast("string"), F.col("value").cast("string"), "topic",
                          "partition", "offset")
-    if streaming and max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.schema(RECORD_SCHEMA).parquet(source)
+    reader = bounded(reader, max_files, max_bytes) if streaming else reader
+    return reader.schema(RECORD_SCHEMA).parquet(source).select(*RECORD_SCHEMA.names)
 
 
 def decode_events(records: DataFrame) -> DataFrame:
@@ -99,9 +114,10 @@ def decode_events(records: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, source: str | dict, streaming: bool = False,
-             topic: str = RAW_TOPIC, max_files: int | None = None) -> DataFrame:
+             topic: str = RAW_TOPIC, max_files: int | None = None,
+             max_bytes: int | None = BATCH_BYTES) -> DataFrame:
     """Decoded canonical events from the log, from the earliest record on."""
-    records = read_records(spark, source, streaming, max_files)
+    records = read_records(spark, source, streaming, max_files, max_bytes)
     return decode_events(records.filter(F.col("topic") == topic))
 
 
@@ -116,5 +132,36 @@ def read_dlq(spark: SparkSession, source: str | dict, topic: str = DLQ_TOPIC) ->
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """Append records to a folder log, one sub-folder per topic."""
-    records.write.mode("append").partitionBy("topic").parquet(path)
+    """Append records to a folder log; every call has a place of its own."""
+    publish(records, path, uuid.uuid4().hex, 0)
+
+
+def publish(records: DataFrame, sink: str | dict, run: str, batch: int) -> None:
+    """One job's micro-batch to the log: a folder (path) or Kafka (a dict of its options).
+
+    In a folder ``run`` and ``batch`` name the records' place, so a replay of the batch replaces its own
+    records and no others; on Kafka a replay repeats them.
+    """
+    if isinstance(sink, dict):
+        records.write.format("kafka").options(**sink).save()
+        return
+    (records.withColumns({"run": F.lit(run), "batch": F.lit(int(batch)).cast("long")})
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("topic", "run", "batch").parquet(sink))
+
+
+def expire_log(spark: SparkSession, path: str, as_of: datetime,
+               hours: dict[str, int] | None = None) -> list[str]:
+    """Drop the folder log's batches older than their topic is kept; returns their folders."""
+    if as_of.tzinfo is None:
+        as_of = as_of.replace(tzinfo=timezone.utc)
+    gone = []
+    for topic, kept in (hours or RETENTION_HOURS).items():
+        limit = (as_of - timedelta(hours=kept)).timestamp() * 1000
+        top = f"{path}/topic={topic}"
+        for run in paths.folders(spark, top):
+            for batch, changed in sorted(paths.ages(spark, f"{top}/{run}").items()):
+                if changed < limit:
+                    gone.append(f"topic={topic}/{run}/{batch}")
+                    paths.delete(spark, f"{path}/{gone[-1]}")
+    return gone

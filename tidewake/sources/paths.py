@@ -28,8 +28,9 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
-def extent(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Number of files and bytes below a path."""
+def ages(spark: SparkSession, path: str) -> dict[str, int]:
+    """Direct sub-folders with the time they last changed, in milliseconds since the epoch."""
     fs, p = _open(spark, path)
-    summary = fs.getContentSummary(p)
-    return summary.getFileCount(), summary.getLength()
+    if not fs.exists(p):
+        return {}
+    return {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(p) if s.isDirectory()}

@@ -1,9 +1,12 @@
 """The stored state and track tables, as plain Parquet folders.
 
-State: each micro-batch writes only its own changed vessels to ``delta-<version>``; a reader takes
-the newest base and the deltas after it and keeps the last row per vessel. Clean-up writes the
-next ``base-<first version not in it>-<serial>``. A folder counts once its ``_SUCCESS`` marker is there, a replayed batch
-overwrites its own folder only, and no folder is overwritten while it is being read. With a table
+State: each micro-batch writes only its own changed vessels to ``delta-<version>-<order>-<run>-<batch>``; a reader takes
+the newest base and the deltas after it and keeps the last row per vessel, by the arrival stored with each row, so neither
+the borders nor the order of batches matter. The version is one more than
+the highest stored, so a job with a new checkpoint goes on where the table is; run and batch tell a replayed batch, which
+is not stored twice. Clean-up writes the next ``base-<first version not in it>-<order>-<serial>``. The order by
+which a vessel's last row is told is part of the names: all jobs on a table share it. A folder counts once its ``_SUCCESS``
+marker is there, and no folder is overwritten while it is being read. One writer and one clean-up at a time. With a table
 format that has MERGE, ``operators.state.upsert_state`` is the merge source instead.
 
 Track: append-only, one folder per event hour, so windows prune and expiry drops whole folders.
@@ -17,13 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewake.functions import times
 from tidewake.operators.state import latest_by
 from tidewake.operators.track import expire_track as kept_rows
-from tidewake.schemas import STATE_SCHEMA, TRACK_SCHEMA, empty_state, empty_track
+from tidewake.schemas import STATE_SCHEMA, TRACK_SCHEMA, empty_track
 from tidewake.session import scratch
 from tidewake.sources import paths
 
-_VERSIONED = T.StructType(STATE_SCHEMA.fields + [T.StructField("_version", T.LongType())])
+# Beside the state: the row's place in the order of arrival (time and id, or the log's offset), and the version.
+_EXTRA = T.StructType([T.StructField("_at", T.DoubleType()), T.StructField("_id", T.StringType()),
+                       T.StructField("_version", T.LongType())])
+_VERSIONED = T.StructType(STATE_SCHEMA.fields + _EXTRA.fields)
 
 
 def _committed(spark: SparkSession, path: str, kind: str) -> list[str]:
@@ -36,42 +43,71 @@ def _number(folder: str) -> int:
     return int(folder.split("-")[1])
 
 
-def write_state_delta(rows: DataFrame, path: str, version: int) -> None:
-    """Store one micro-batch's changed vessels, one row each."""
-    (rows.select(*STATE_SCHEMA.names, F.lit(int(version)).cast("long").alias("_version"))
-     .write.mode("overwrite").parquet(f"{path}/delta-{version:012d}"))
-
-
-def state_snapshot(spark: SparkSession, path: str, order: str = "arrival") -> tuple[DataFrame, int]:
-    """The current state and the first version it does not include."""
+def stored_order(spark: SparkSession, path: str) -> str | None:
+    """The order of the table's folders; None for an empty table."""
+    orders = {n.split("-")[2] for kind in ("base", "delta") for n in _committed(spark, path, kind)}
+    if len(orders) > 1:
+        raise ValueError(f"{path} holds rows of several orders: {sorted(orders)}")
+    return orders.pop() if orders else None
+
+
+def _checked_order(spark: SparkSession, path: str, order: str | None) -> str:
+    stored = stored_order(spark, path)
+    if order and stored and order != stored:
+        raise ValueError(f"{path} is kept in {stored!r} order, not {order!r}")
+    return order or stored or "arrival"
+
+
+def write_state_delta(rows: DataFrame, path: str, run: str, batch: int, order: str = "arrival") -> bool:
+    """Store one micro-batch's changed vessels, one row each; False if this batch is stored already."""
+    spark = rows.sparkSession
+    order = _checked_order(spark, path, order)
+    run = "".join(c for c in run if c.isalnum())
+    deltas, bases = _committed(spark, path, "delta"), _committed(spark, path, "base")
+    if any(n.split("-")[3:] == [run, str(int(batch))] for n in deltas):
+        return False
+    version = max([_number(n) + 1 for n in deltas] + [_number(n) for n in bases], default=0)
+    arrival = rows.schema["_arrival"].dataType.names if "_arrival" in rows.columns else []
+    place = [F.col("_arrival")[n] for n in arrival] + [F.lit(None)] * 2
+    (rows.select(*STATE_SCHEMA.names, place[0].cast("double").alias("_at"), place[1].cast("string").alias("_id"),
+                 F.lit(version).cast("long").alias("_version"))
+     .write.mode("overwrite").parquet(f"{path}/delta-{version:012d}-{order}-{run}-{int(batch)}"))
+    return True
+
+
+def state_snapshot(spark: SparkSession, path: str, order: str | None = None) -> tuple[DataFrame, int]:
+    """The current state, with each row's place in the order of arrival, and the first version it lacks."""
+    order = _checked_order(spark, path, order)
     bases = _committed(spark, path, "base")
     start = _number(bases[-1]) if bases else 0
     deltas = [n for n in _committed(spark, path, "delta") if _number(n) >= start]
     upto = _number(deltas[-1]) + 1 if deltas else start
     folders = [f"{path}/{n}" for n in bases[-1:] + deltas]
     if not folders:
-        return empty_state(spark), upto
+        return spark.createDataFrame([], _VERSIONED).drop("_version"), upto
     rows = spark.read.schema(_VERSIONED).parquet(*folders)
     if len(folders) == 1:
-        return rows.select(*STATE_SCHEMA.names), upto
-    rank = F.struct("_version") if order == "arrival" else F.struct("last_seen_at", "_version")
-    return latest_by(rows, ["mmsi"], rank, STATE_SCHEMA.names), upto
+        return rows.drop("_version"), upto
+    seen = [] if order == "arrival" else ["last_seen_at"]
+    rank = F.struct(*seen, *_EXTRA.names)
+    return latest_by(rows, ["mmsi"], rank, [n for n in _VERSIONED.names if n != "_version"]), upto
 
 
-def read_state(spark: SparkSession, path: str, order: str = "arrival") -> DataFrame:
+def read_state(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
     """The current state: last version per vessel, or by ``event_time`` its latest report."""
-    return state_snapshot(spark, path, order)[0]
+    return state_snapshot(spark, path, order)[0].select(*STATE_SCHEMA.names)
 
 
 def write_state_base(spark: SparkSession, path: str, state: DataFrame, upto: int) -> str:
-    """Write ``state`` as the base for versions below ``upto`` and drop what it replaces.
+    """Write ``state``, a changed snapshot, as the base for versions below ``upto`` and drop what it replaces.
 
     The base before it and its deltas stay until the next time, for readers still on them.
     """
+    order = _checked_order(spark, path, None)
     bases = _committed(spark, path, "base")
-    serial = int(bases[-1].split("-")[2]) + 1 if bases else 0
-    name = f"base-{upto:012d}-{serial:012d}"
-    (state.select(*STATE_SCHEMA.names, F.lit(int(upto) - 1).cast("long").alias("_version"))
+    serial = int(bases[-1].split("-")[3]) + 1 if bases else 0
+    name = f"base-{upto:012d}-{order}-{serial:012d}"
+    (state.select(*STATE_SCHEMA.names, "_at", "_id", F.lit(int(upto) - 1).cast("long").alias("_version"))
      .write.mode("overwrite").parquet(f"{path}/{name}"))
     for old in bases[:-1]:
         paths.delete(spark, f"{path}/{old}")
@@ -105,7 +141,12 @@ def _hour_of(folder: str) -> datetime | None:
 
 
 def expire_track(spark: SparkSession, path: str, as_of: datetime, hours: int) -> None:
-    """Drop hours that ended before the limit and rewrite the one hour it falls into."""
+    """Drop hours that ended before the limit and rewrite the one hour it falls into.
+
+    The track job appends to hours of up to its lateness ago, so less than that cannot be kept.
+    """
+    if hours * 3600 <= times.STALE_TOLERANCE_S + times.FUTURE_TOLERANCE_S:
+        raise ValueError(f"{hours} h of track: late reports still arrive that old")
     if as_of.tzinfo is not None:
         as_of = as_of.astimezone(timezone.utc).replace(tzinfo=None)
     limit = as_of - timedelta(hours=hours)

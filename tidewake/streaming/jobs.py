@@ -1,13 +1,16 @@
 """The pipeline as independent, restartable streams: ingest, archive, state and track.
 
-Each job has its own checkpoint and its own sink, like separate consumer groups on one log. Sinks
-are idempotent per batch, so a replay after a crash repeats nothing. A failing sink fails the
-micro-batch, which is replayed from the checkpoint. Rows that can never be stored are split off
-beforehand, so one bad row does not hold up the others.
+Each job has its own checkpoint and its own sink, like separate consumer groups on one log. Micro-batches
+are bounded by the readers (``log.read_records``). A replayed batch repeats nothing in a folder, also under a new
+checkpoint with other batch borders: log records have their place by job and batch, archive and track rows are looked
+up by id, state deltas by job and batch. A failing sink fails the micro-batch, which is replayed from the checkpoint.
+Rows that can never be stored go to the log's quarantine topic, so one bad row neither holds up the others nor is lost.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,72 +25,73 @@ from tidewake.sources import archive, log, tables
 # ---- Fixed values -------------------------------------------------------------------------
 STATE_FLUSH_ROWS = 500
 STATE_FLUSH_SECONDS = 5
-LOG_RETENTION_HOURS = 72
 # -------------------------------------------------------------------------------------------
 
-# Nothing later than the skew gate lets through can still arrive.
-LATENESS = f"{int(times.STALE_TOLERANCE_S + times.FUTURE_TOLERANCE_S)} seconds"
-
 
 def _trigger(seconds: float | None) -> dict:
     """Every ``seconds``, or with None everything available and then stop."""
     return {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
 
 
-def kafka_archive_options(rows: int = archive.FLUSH_MAX_ROWS,
-                          seconds: int = archive.FLUSH_MAX_SECONDS) -> dict:
-    """Kafka reader options for "flush at so many rows or after so many seconds"."""
-    return {"minOffsetsPerTrigger": str(rows), "maxTriggerDelay": f"{seconds}s"}
+def kafka_flush_options(rows: int, seconds: int, most: int = log.BATCH_OFFSETS) -> dict:
+    """Kafka reader options for "flush at so many rows or after so many seconds", and a bound."""
+    return {"minOffsetsPerTrigger": str(rows), "maxTriggerDelay": f"{seconds}s",
+            "maxOffsetsPerTrigger": str(most)}
+
+
+def kafka_archive_options() -> dict:
+    return kafka_flush_options(archive.FLUSH_MAX_ROWS, archive.FLUSH_MAX_SECONDS)
 
 
-def _write_records(records: DataFrame, sink: str | dict, checkpoint: str, name: str,
-                   seconds: float | None) -> StreamingQuery:
-    writer = records.writeStream.queryName(name).option("checkpointLocation", checkpoint)
-    writer = writer.outputMode("append").trigger(**_trigger(seconds))
-    if isinstance(sink, dict):
-        return writer.format("kafka").options(**sink).start()
-    return (writer.format("parquet").partitionBy("topic")
-            .option("retention", f"{LOG_RETENTION_HOURS}h").start(sink))
+def kafka_state_options() -> dict:
+    return kafka_flush_options(STATE_FLUSH_ROWS, STATE_FLUSH_SECONDS)
+
+
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave to the query of a checkpoint; another one for every new checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def start_ingest(frames: DataFrame, sink: str | dict, checkpoint: str,
                  seconds: float | None = None, future_s: float = times.FUTURE_TOLERANCE_S,
-                 stale_s: float = times.STALE_TOLERANCE_S, name: str = "ingest") -> StreamingQuery:
+                 stale_s: float = times.STALE_TOLERANCE_S, name: str = "ingest",
+                 spread: int | None = None) -> StreamingQuery:
     """Frames to the log: canonical events on one topic, quarantined ones on the other.
 
-    Both topics leave in one pass through one sink with the topic as a column: a folder of files
-    (path, exactly once) or Kafka (a dict of its options).
+    Both topics leave in one pass with the topic as a column: to a folder of files (path) or
+    Kafka (a dict of its options). ``spread`` deals frames out to so many tasks first; for sources of few splits,
+    since decoding is far dearer than moving the text.
     """
-    routed = ing.ingest(frames, future_s, stale_s).observe(
+    routed = ing.ingest(frames.repartition(spread) if spread else frames, future_s, stale_s).observe(
         name, F.count("*").alias("frames"),
         F.count_if(F.col("_route") == "publish").alias("published"),
         F.count_if(F.col("_route") == "dlq").alias("quarantined"),
         F.count_if(F.col("_route") == "skip").alias("skipped"))
-    return _write_records(ing.ingest_records(routed), sink, checkpoint, name, seconds)
 
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        log.publish(batch, sink, run_of(batch.sparkSession, checkpoint), batch_id)
 
-def _write_poison(bad: DataFrame, dlq: str, name: str, batch_id: int) -> None:
-    """Quarantine records of one batch, in a folder a replay overwrites."""
-    log.to_dlq_records(bad).write.mode("overwrite").parquet(f"{dlq}/{name}-{batch_id:012d}")
+    return _for_each(ing.ingest_records(routed), flush, checkpoint, name, seconds)
 
 
-def _split_batch(batch: DataFrame, target: str, dlq: str | None, name: str,
-                 batch_id: int) -> DataFrame:
-    good, bad = ing.split_poison(batch, target)
-    if dlq is not None and not bad.isEmpty():
-        _write_poison(bad, dlq, name, batch_id)
+def _stored_part(batch: DataFrame, target: str, dlq: str | dict, run: str, batch_id: int,
+                 service: str | None = None) -> DataFrame:
+    """The rows of a batch that can be stored, after the others went to the quarantine topic."""
+    good, bad = ing.split_poison(batch, target, service=service)
+    if not bad.isEmpty():
+        log.publish(log.to_dlq_records(bad), dlq, run, batch_id)
     return good
 
 
-def start_archive(events: DataFrame, path: str, checkpoint: str, dlq: str | None = None,
+def start_archive(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
                   seconds: float | None = archive.FLUSH_MAX_SECONDS,
                   name: str = "archive") -> StreamingQuery:
-    """Decoded log events to the hour-partitioned archive; a replayed batch replaces itself."""
+    """Decoded log events to the hour-partitioned archive; known events are not stored again."""
     def flush(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            good = _split_batch(batch, "archive", dlq, name, batch_id)
-            archive.write_archive(good, path, batch_id)
+            run = run_of(batch.sparkSession, checkpoint)
+            archive.write_archive(_stored_part(batch, "archive", dlq, run, batch_id), path)
         finally:
             batch.unpersist()
 
@@ -111,11 +115,11 @@ def _arrival(events: DataFrame) -> tuple[str, ...]:
     return ("offset",) if "offset" in events.columns else st.ARRIVAL
 
 
-def start_state(events: DataFrame, path: str, checkpoint: str, dlq: str | None = None,
+def start_state(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
                 seconds: float | None = STATE_FLUSH_SECONDS, order: str = "arrival",
                 name: str = "state") -> StreamingQuery:
-    """Latest state per vessel: each batch is reduced to its last row per vessel and stored as a
-    delta under its batch id. What is written grows with the batch, not with the table.
+    """Latest state per vessel: each batch is reduced to its last row per vessel and stored as the
+    table's next delta. What is written grows with the batch, not with the table.
 
     A vessel's records share one Kafka partition, so the offset orders them.
     """
@@ -124,28 +128,31 @@ def start_state(events: DataFrame, path: str, checkpoint: str, dlq: str | None =
     def flush(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            good = _split_batch(batch, "state", dlq, name, batch_id)
-            tables.write_state_delta(st.current_state(good, None, order, arrival), path, batch_id)
+            run = run_of(batch.sparkSession, checkpoint)
+            good = _stored_part(batch, "state", dlq, run, batch_id)
+            rows = st.current_state(good, None, order, arrival, with_arrival=True)
+            tables.write_state_delta(rows, path, run, batch_id, order)
         finally:
             batch.unpersist()
 
     return _for_each(_observed(events, name), flush, checkpoint, name, seconds)
 
 
-def start_track(events: DataFrame, path: str, checkpoint: str,
+def start_track(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
                 seconds: float | None = STATE_FLUSH_SECONDS, name: str = "track") -> StreamingQuery:
     """Track rows, first (vessel, event id) wins.
 
     Keys are looked up in the batch's own event hours: an event id digests the whole frame, time
-    and arrival included, so the same id means the same hour. Poison rows are the state job's to
-    report; here they are left out.
+    and arrival included, so the same id means the same hour.
     """
     arrival = _arrival(events)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        good, _ = ing.split_poison(batch, "state")
-        rows = st.build_track_rows(good, arrival=arrival).persist()
+        batch = batch.persist()
         try:
+            run = run_of(batch.sparkSession, checkpoint)
+            good = _stored_part(batch, "state", dlq, run, batch_id, ing.TRACK_SERVICE)
+            rows = st.build_track_rows(good, arrival=arrival)
             first, last = rows.agg(F.min("partition_hour"), F.max("partition_hour")).first()
             if first is None:
                 return
@@ -153,12 +160,12 @@ def start_track(events: DataFrame, path: str, checkpoint: str,
                 F.col("partition_hour").between(F.lit(first), F.lit(last)))
             tables.append_track_rows(tr.append_small_batch(stored, rows), path)
         finally:
-            rows.unpersist()
+            batch.unpersist()
 
     return _for_each(_observed(events, name), flush, checkpoint, name, seconds)
 
 
-# ---- The same two results as stateful streams, for sinks that take updates ----------------
+# ---- The latest state as a stateful stream, for sinks that take updates --------------------
 
 def latest_state_stream(events: DataFrame) -> DataFrame:
     """Latest state by arrival for ``outputMode("update")``."""
@@ -167,25 +174,6 @@ def latest_state_stream(events: DataFrame) -> DataFrame:
     return last.select("_r.*")
 
 
-def dedup_track_stream(events: DataFrame) -> DataFrame:
-    """Track rows without repeats, remembering keys for as long as the skew gate allows lateness.
-
-    A catch-up with uneven partitions may run ahead of a slow one and drop its rows as late;
-    ``start_track`` never drops.
-    """
-    rows = st.build_track_rows(events, arrival=_arrival(events)).drop("_arrival")
-    return rows.withWatermark("event_time", LATENESS).dropDuplicatesWithinWatermark(tr.KEY)
-
-
-def hourly_counts_stream(events: DataFrame) -> DataFrame:
-    """Reports per event hour as a windowed streaming count."""
-    rows = st.build_track_rows(events, arrival=_arrival(events))
-    return (rows.withWatermark("event_time", LATENESS)
-            .groupBy(F.window("event_time", "1 hour"))
-            .agg(F.count("*").alias("events"))
-            .select(F.col("window.start").alias("partition_hour"), "events"))
-
-
 def batch_metrics(query: StreamingQuery) -> list[dict]:
     """Per finished batch: its id, input rows and the observed counters."""
     out = []
@@ -197,14 +185,17 @@ def batch_metrics(query: StreamingQuery) -> list[dict]:
     return out
 
 
-def run_to_end(query: StreamingQuery, timeout_s: int = 600) -> StreamingQuery:
-    """Wait for an ``availableNow`` query, bounded."""
-    if not query.awaitTermination(timeout_s):
+def run_to_end(query: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery:
+    """Wait for an ``availableNow`` query; without a limit unless the caller sets one."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"stream {query.name} did not finish in {timeout_s} s")
     return query
 
 
-def consume(spark: SparkSession, source: str | dict, max_files: int | None = None) -> DataFrame:
-    """The log as a stream of decoded events, from the earliest record on."""
-    return log.read_log(spark, source, streaming=True, max_files=max_files)
+def consume(spark: SparkSession, source: str | dict, max_files: int | None = None,
+            max_bytes: int | None = log.BATCH_BYTES) -> DataFrame:
+    """The log as a stream of decoded events, from the earliest record on, in bounded batches."""
+    return log.read_log(spark, source, streaming=True, max_files=max_files, max_bytes=max_bytes)
