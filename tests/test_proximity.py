@@ -136,7 +136,7 @@ def test_nearby_many_equals_brute_force(spark, name):
     points = [(f"p{i}", rows[i * 3][2] + rng.uniform(-1e-3, 1e-3), rows[i * 3][3] + rng.uniform(-1e-3, 1e-3))
               for i in range(40)] + [("same", rows[0][2], rows[0][3]), ("line", 0.0, 180.0), ("none", -80.0, 0.0)]
     df = spark.createDataFrame(points, "point_id string, lat double, lon double")
-    for radius, limit in ((300.0, 4), (20000.0, 20)):
+    for radius, limit in ((300.0, 4), (20000.0, 20), (4_000_000.0, 1200), (1e9, 2)):
         got = {}
         result = px.nearby_many(df, state_df(spark, rows), radius, limit)
         for r in result.orderBy("point_id", "rank").collect():
@@ -145,6 +145,19 @@ def test_nearby_many_equals_brute_force(spark, name):
             assert got.get(pid, []) == brute_near(spark, rows, lat, lon, radius, limit), (pid, radius)
 
 
+def test_points_beside_a_crowd_look_at_its_edge_only(spark):
+    rng = random.Random(3)
+    rows = [vessel(mmsi(i), 1.2 + rng.uniform(0, 2e-3), 103.7 + rng.uniform(0, 2e-3)) for i in range(4000)]
+    points = [(f"p{i}", 1.2 - 1e-4, 103.7 + i * 1e-4) for i in range(20)] + [("far", 1.0, 103.7), ("in", 1.201, 103.701)]
+    df = spark.createDataFrame(points, "point_id string, lat double, lon double")
+    reach = {r.point_id: r["_d"] for r in px.search_reach(df, state_df(spark, rows), 30_000.0, 5).collect()}
+    assert reach["far"] == 30_000.0 and reach["in"] < 100
+    assert all(reach[f"p{i}"] < 400 for i in range(20))
+    for pid, lat, lon in points[:3]:
+        within = brute_near(spark, rows, lat, lon, reach[pid], 10**6)
+        assert 5 <= len(within) < 2500  # what the join meets, of 4000
+
+
 def test_nearby_many_has_no_nested_loop(spark):
     points = spark.createDataFrame([("a", 1.0, 103.0)], "point_id string, lat double, lon double")
     df = px.nearby_many(points, state_df(spark, fleets()["uniform"]), 500.0)

@@ -30,6 +30,7 @@ LEVELS = 9
 LEVEL_FACTOR = 4
 SIDE = ["mmsi", "ship_name", "latitude", "longitude", "sog_knots", "status"]
 MILLIMETRE = 0.001
+HALF_WAY_ROUND_M = 20_037_509.0  # nothing is farther away
 
 
 def _by_distance(distance: str) -> Column:
@@ -83,7 +84,7 @@ def conflicts(state: DataFrame, radius_m: float = CONFLICT_RADIUS_M, limit: int
     pairs within ``radius_m`` metres, across the meridian too.
     """
     _check("radius_m", radius_m, 0, CONFLICT_MAX_RADIUS_M, open_low=True)
-    _check("limit", limit, 1, 900)
+    _check("limit", limit, 1, float("inf"))
     margin = radius_m / geo.METRES_PER_DEGREE
     if mode == "planar":
         reach, top_side = margin * geo.MAX_METRES_PER_DEGREE, margin / 2
@@ -175,32 +176,45 @@ def _longitude_reach(lat: float, dlat: float, radius_m: float) -> float:
     return 360.0 if ratio >= 1 else degrees(2 * asin(ratio)) * (1 + 1e-9)
 
 
+def search_reach(points: DataFrame, rows: DataFrame, radius_m: float, limit: int) -> DataFrame:
+    """``points`` with ``level`` and ``_d``: a distance within which ``limit`` vessels of ``rows`` certainly lie, or the radius.
+
+    A grid cell that holds ``limit`` vessels proves its diagonal to points inside it, and twice that to points in
+    the cells around it, so a point beside a crowd looks no farther than the crowd's edge. ``level`` numbers the distances.
+    """
+    top_side = radius_m / geo.MAX_METRES_PER_DEGREE / 2
+    crowded = (rows.select(_level_cells(top_side).alias("c")).groupBy("c")
+               .agg(F.count("*").alias("n")).filter(F.col("n") >= limit).select("c.*"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = crowded.withColumn("s", F.explode(steps))
+    own = (F.col("s.i") == 0) & (F.col("s.j") == 0)
+    marked = around.groupBy("level", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y")).agg(
+        F.min(F.when(own, 1).otherwise(2)).alias("times"))
+    cells = points.select("point_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).select(
+        "point_id", _level_cells(top_side).alias("c")).select("point_id", "c.*")
+    reach = F.col("times") * _diagonal_m(F.col("level"), top_side)
+    best = (cells.join(marked, ["level", "x", "y"]).groupBy("point_id")
+            .agg(F.min(F.struct(reach.alias("d"), (F.col("level") * 2 + F.col("times")).alias("level"))).alias("b")))
+    radius = F.lit(float(radius_m))
+    return (points.join(best, "point_id", "left")
+            .withColumn("level", F.when(F.col("b.d") < radius, F.col("b.level")).otherwise(0).cast("int"))
+            .withColumn("_d", F.when(F.col("level") > 0, F.col("b.d")).otherwise(radius)).drop("b"))
+
+
 def nearby_many(points: DataFrame, state: DataFrame, radius_m: float,
                 limit: int = NEARBY_LIMIT, method: str = "lambert") -> DataFrame:
     """``nearby`` for a table of points ``(point_id, lat, lon)``: a grid join, the closest ``limit`` each.
 
-    A point whose own grid cell holds ``limit`` vessels on some level needs to look no farther
-    than that cell's diagonal, so points inside a crowd search only their surroundings. Points
-    with the same search distance share a grid, which is why the level is part of the join key.
+    Points with the same search distance (``search_reach``) share a grid, which is why the level is
+    part of the join key.
     """
-    _check("radius_m", radius_m, 0, 1_000_000, open_low=True)
-    _check("limit", limit, 1, 900)
+    _check("radius_m", radius_m, 0, float("inf"), open_low=True)
+    _check("limit", limit, 1, float("inf"))
+    radius_m = min(float(radius_m), HALF_WAY_ROUND_M)
     placed = state.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(*SIDE)
     rows = _first_per_position(placed, limit)
-    top_side = radius_m / geo.MAX_METRES_PER_DEGREE / 2
-
-    crowded = (rows.select(_level_cells(top_side).alias("c")).groupBy("c")
-               .agg(F.count("*").alias("n")).filter(F.col("n") >= limit).select("c"))
-    asked = points.select("point_id", "lat", "lon")
-    own = asked.select("point_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
-    proven = (own.select("point_id", _level_cells(top_side).alias("c")).join(crowded, "c", "left_semi")
-              .groupBy("point_id").agg(F.max("c.level").alias("level")))
-    asked = (asked.join(proven, "point_id", "left")
-             .withColumn("level", F.coalesce("level", F.lit(-1)).cast("int")))
-
-    distance = F.when(F.col("level") < 0, F.lit(float(radius_m))).otherwise(
-        F.least(_diagonal_m(F.col("level"), top_side), F.lit(float(radius_m))))
-    asked = asked.withColumn("_d", distance).withColumn("_h", geo.lat_span_degrees(F.col("_d")))
+    asked = search_reach(points.select("point_id", "lat", "lon"), rows, radius_m, limit)
+    asked = asked.withColumn("_h", geo.lat_span_degrees(F.col("_d")))
     used = asked.agg(F.collect_set(F.struct("level", "_d", "_h"))).scalar()
 
     def cells(band: Column) -> Column:
