@@ -5,8 +5,8 @@ megabytes posts each distinct pre-token once, with the documents it occurs in an
 postings are shuffled by pre-token; there each distinct pre-token is segmented once, its number of
 pieces is joined to the frequencies posted under it, and the products are summed per document.
 
-A pre-token that occurs in more than a sixteenth of a block's documents is keyed by block as well, so
-frequent words are spread over all tasks at the price of a few more segmentations.
+A posting of more than ``CROWDED`` bytes is keyed by its block as well, so frequent words are spread over
+all tasks at the price of a few more segmentations.
 
 Defined cases: a null or empty text has no bytes and no tokens; special strings inside a text count
 as one token each, as the tokenizer library has it by default; a repeated row gets a row of its
@@ -32,17 +32,17 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import BASE, Hasher, blocks, codepoints, mixed, raw, strings
 
 LIMIT = 512
-BLOCK = 4 << 20
-HOT = 16  # a pre-token in more than 1 / HOT of a block's documents is keyed by block too
-FLUSH = 1 << 20
+BLOCK = 8 << 20
+FLUSH = 2 << 20
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 CERTAIN_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
-POSTINGS = pa.schema([("cell", pa.int64()), ("token", pa.string()), ("block", pa.int64()),
-                      ("idx", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())),
-                      ("doc_id", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
-POSTINGS_DDL = ("cell long, token string, block long, idx array<int>, n array<long>, "
-                "doc_id array<long>, n_bytes array<long>")
+POSTINGS_DDL = "token string, block long, posted binary"
+# Variable-width lists would be measured again for each row on their way to Python; packed bytes are not.
+PAIR = np.dtype([("doc", "<u2"), ("n", "u1")])
+DOCUMENT = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_bytes", "<i8"), ("special", "<i8")])
+BLOCK_ROWS = 1 << 16
+CROWDED = 4096  # bytes posted
 
 
 @functools.lru_cache(2)
@@ -125,13 +125,15 @@ def pieces_of(text: str, size: int) -> Iterator[str]:
     yield text
 
 
-def _list(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)),
-                                    pa.array(values, kind))
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Fixed-width records as one byte string per row, each row's ending at ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * values.dtype.itemsize
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())]
+    ).cast(pa.binary())
 
 
-def _postings(texts: list[str], docs: np.ndarray, n_docs: int, block: int,
-              path: str) -> pa.RecordBatch:
+def _postings(texts: list[str], docs: np.ndarray, n_docs: int, block: int, path: str) -> pa.RecordBatch:
     """One row per distinct pre-token of ``texts``; ``docs`` has the document of each text."""
     whole = "".join(texts)
     points, _ = codepoints(np.frombuffer(whole.encode(), np.uint8), np.zeros(1, np.int64))
@@ -142,15 +144,17 @@ def _postings(texts: list[str], docs: np.ndarray, n_docs: int, block: int,
     owner = docs[np.searchsorted(at, begin, side="right") - 1]
     distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     pair, count = np.unique(which * n_docs + owner, return_counts=True)
-    last = np.searchsorted(pair, np.arange(1, len(distinct) + 1) * n_docs)
-    spread = np.diff(last, prepend=0) > max(8, n_docs // HOT)
-    cell = np.where(spread, mixed(distinct + np.uint64(block + 1)), distinct).astype(np.int64)
+    times = (count + 254) // 255  # a count beyond a byte is posted in several records
+    place = np.repeat(pair, times)
+    left = np.concatenate([[0], np.cumsum(times)[:-1]])
+    rest = np.repeat(count, times) - 255 * (np.arange(len(place)) - np.repeat(left, times))
+    posted = np.empty(len(place), PAIR)
+    posted["doc"], posted["n"] = place % n_docs, np.minimum(rest, 255)
+    last = np.searchsorted(place, np.arange(1, len(distinct) + 1) * n_docs)
     tokens = [whole[b:e] for b, e in zip(begin[first], end[first])]
-    nothing = pa.nulls(len(tokens), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays(
-        [pa.array(cell), pa.array(tokens, pa.string()), pa.array(np.full(len(tokens), block)),
-         _list((pair % n_docs).astype(np.int32), last, pa.int32()), _list(count, last, pa.int64()),
-         nothing, nothing], schema=POSTINGS)
+        [pa.array(tokens, pa.string()), pa.array(np.full(len(tokens), block)), _packed(posted, last)],
+        names=["token", "block", "posted"])
 
 
 def _posting_task(path: str, special: list[str], id_col: str, text_col: str):
@@ -160,25 +164,23 @@ def _posting_task(path: str, special: list[str], id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 32
-        for part in blocks(batches, text_col, BLOCK):
+        small = (batch.slice(at, BLOCK_ROWS) for batch in batches for at in range(0, len(batch), BLOCK_ROWS))
+        for part in blocks(small, text_col, BLOCK):
             column = strings(part.column(text_col))
-            _, at = raw(column)
-            ids = part.column(id_col).cast(pa.int64())
             n = len(column)
-            extra = np.zeros(n, np.int64)
+            about = np.zeros(n, DOCUMENT)
+            ids = part.column(id_col)
+            about["doc_id"], about["known"] = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+            about["n_bytes"] = np.diff(raw(column)[1])
             texts, docs = [], []
             for i, text in enumerate(column.to_pylist()):
                 parts = split.split(text) if split else [text]
-                extra[i] = len(parts) - 1
+                about["special"][i] = len(parts) - 1
                 texts += parts
                 docs += [i] * len(parts)
-            whole = np.array([n], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(mixed(np.array([block], np.uint64)).astype(np.int64)[0])]),
-                 pa.nulls(1, pa.string()), pa.array([block]),
-                 _list(np.arange(n, dtype=np.int32), whole, pa.int32()), _list(extra, whole, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids),
-                 _list(np.diff(at), whole, pa.int64())], schema=POSTINGS)
+                [pa.nulls(1, pa.string()), pa.array([block]), _packed(about, np.array([n]))],
+                names=["token", "block", "posted"])
             if len(texts) == 1 and len(texts[0]) > BLOCK:
                 groups = [([piece], [0]) for piece in pieces_of(texts[0], BLOCK)]
             else:
@@ -193,11 +195,13 @@ def _posting_task(path: str, special: list[str], id_col: str, text_col: str):
     return run
 
 
-COUNTS_DDL = "block long, idx int, tokens long, doc_id long, n_bytes long"
+SUM = np.dtype([("doc", "<u2"), ("n", "<u4")])
+SUMS_DDL = "block long, about binary, sums binary"
+COUNTS_DDL = "doc_id long, n_bytes long, n_tokens long"
 
 
 def _counting_task(path: str):
-    """Rows sorted by cell: segment each distinct pre-token, multiply, sum per document."""
+    """Rows sorted by pre-token: segment each distinct one, multiply, sum per block and document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -213,21 +217,20 @@ def _counting_task(path: str):
             order = np.lexsort((idx, block))
             block, idx, tokens = block[order], idx[order], tokens[order]
             new = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(idx) != 0)]))
-            sums = np.add.reduceat(tokens, new)
-            empty = pa.nulls(len(new), pa.int64())
+            sums = np.empty(len(new), SUM)
+            sums["doc"], sums["n"] = idx[new], np.add.reduceat(tokens, new)
+            block = block[new]
+            last = np.append(np.flatnonzero(np.diff(block)) + 1, len(block))
             return pa.RecordBatch.from_arrays(
-                [pa.array(block[new]), pa.array(idx[new].astype(np.int32)), pa.array(sums), empty, empty],
-                names=["block", "idx", "tokens", "doc_id", "n_bytes"])
+                [pa.array(block[last - 1]), pa.nulls(len(last), pa.binary()), _packed(sums, last)],
+                names=["block", "about", "sums"])
 
         for batch in batches:
-            meta = batch.filter(pa.compute.is_null(batch.column("token")))
-            for row in range(len(meta)):
-                idx = meta.column("idx")[row].values
+            about = batch.filter(pa.compute.is_null(batch.column("token")))
+            if len(about):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(idx), meta.column("block")[row].as_py())), idx,
-                     meta.column("n")[row].values, meta.column("doc_id")[row].values,
-                     meta.column("n_bytes")[row].values],
-                    names=["block", "idx", "tokens", "doc_id", "n_bytes"])
+                    [about.column("block"), about.column("posted"), pa.nulls(len(about), pa.binary())],
+                    names=["block", "about", "sums"])
             batch = batch.filter(pa.compute.is_valid(batch.column("token")))
             if not len(batch):
                 continue
@@ -238,12 +241,12 @@ def _counting_task(path: str):
                 new, add_special_tokens=False))))
             number = np.array([known[t] for t in distinct], np.int64)[coded.indices.to_numpy()]
             last = {distinct[-1]: known[distinct[-1]]}
-            lists = batch.column("idx")
-            width = np.diff(lists.offsets.to_numpy())
-            n = batch.column("n").flatten().to_numpy()
-            waiting.append((np.repeat(batch.column("block").to_numpy(), width),
-                            lists.flatten().to_numpy(), n * np.repeat(number, width)))
-            held += len(n)
+            packed = batch.column("posted").cast(pa.large_binary())
+            data, at = raw(packed)
+            posted, width = np.frombuffer(data.tobytes(), PAIR), np.diff(at) // PAIR.itemsize
+            waiting.append((np.repeat(batch.column("block").to_numpy(), width), posted["doc"].astype(np.int32),
+                            posted["n"] * np.repeat(number, width)))
+            held += len(posted)
             if held > FLUSH:
                 yield flush()
                 waiting, held = [], 0
@@ -253,6 +256,17 @@ def _counting_task(path: str):
     return run
 
 
+def _totals(rows: pa.Table) -> pa.Table:
+    """All sums of one block added up, a row per document."""
+    about = np.frombuffer(rows.column("about").drop_null()[0].as_buffer(), DOCUMENT)
+    tokens = about["special"].copy()
+    for packed in rows.column("sums").drop_null():
+        sums = np.frombuffer(packed.as_buffer(), SUM)
+        tokens[sums["doc"]] += sums["n"]
+    return pa.table({"doc_id": pa.array(about["doc_id"].copy(), mask=about["known"] == 0),
+                     "n_bytes": about["n_bytes"].copy(), "n_tokens": tokens})
+
+
 def special_strings(path: str) -> list[str]:
     """Strings the tokenizer file sets apart inside texts."""
     with open(path, encoding="utf-8") as f:
@@ -267,9 +281,10 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     postings = rows.mapInArrow(_posting_task(tokenizer, special_strings(tokenizer), "doc_id", "text"), POSTINGS_DDL)
-    by_token = postings.repartition("cell").sortWithinPartitions("cell")
-    counts = by_token.mapInArrow(_counting_task(tokenizer), COUNTS_DDL)
-    return (counts.groupBy("block", "idx")
-            .agg(F.sum("tokens").alias("n_tokens"), F.max("doc_id").alias("doc_id"),
-                 F.max("n_bytes").alias("n_bytes"))
-            .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+    crowded = F.col("token").isNull() | (F.octet_length("posted") > CROWDED)
+    by_token = (postings.repartition(F.xxhash64("token"), F.when(crowded, F.col("block")))
+                .sortWithinPartitions("token"))
+    sums = by_token.mapInArrow(_counting_task(tokenizer), SUMS_DDL)
+    # A block has as many rows here as tasks that held its pre-tokens, each with a few bytes per document.
+    return (sums.groupBy("block").applyInArrow(_totals, COUNTS_DDL)
+            .withColumn("over_limit", F.col("n_tokens") > limit))
