@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewake import session
 from tidewake.llm import decontamination, forest, language, packing, pii
+from tidewake.llm.common import stored
 
 LEAST_LANGUAGE_SCORE = 0.25
 
@@ -26,7 +27,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return forest.among(docs, decontamination.leaks(docs, items).select("doc_id"), how="left_anti")
+    found = stored(decontamination.leaks(docs, items).select("doc_id"), "leaks")
+    return forest.among(docs, found, how="left_anti")
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,7 +112,10 @@ class Hasher:
     def __init__(self, values: np.ndarray):
         """``values``: a 64-bit value per symbol."""
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers(BASE, len(values)), out=self.sums[1:])
+        weighted = powers(BASE, len(values))
+        weighted *= values
+        np.cumsum(weighted, out=self.sums[1:])
+        del weighted
         self.scale = powers(INVERSE, len(values) + 1)
 
     def spans(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

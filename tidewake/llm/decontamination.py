@@ -40,7 +40,7 @@ LONGEST, SHORTEST = 128, 8
 ITEMS_PER_BLOCK = 4
 INDEX_WORDS = 4_000_000
 SHINGLE = 5
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                   0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # odd, one per place in a shingle

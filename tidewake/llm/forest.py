@@ -42,7 +42,7 @@ from tidewake.llm.common import LOWER, BYTE_VALUES, Hasher, blocks, mixed, raw,
 HASHES, TREES = 128, 32
 FIRST, DEEPER = 3, 5
 CROWD, NEAR = 16, 8
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 BROADCAST_IDS = 4_000_000  # ids of 8 bytes: 32 MB
 
 _rng = np.random.default_rng(7)

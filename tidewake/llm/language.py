@@ -36,7 +36,7 @@ TRAIN_CHARS = 20_000
 LANDMARKS = 200
 RIDGE = 0.05
 UNKNOWN = "und"
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 SIGNS = ALPHABET + 2  # boundary 0, the letters, and the rest
 ROWS = 256  # texts per matrix product
 

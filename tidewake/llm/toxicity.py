@@ -35,7 +35,7 @@ CONTEXTS = 3  # different contexts in toxic texts that a term needs at least
 RATIO = 12.0  # how much more common it is there
 ONE_EDIT, TWO_EDITS = 5, 10
 WINDOW = 6
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 # Quotation marks, words of reporting and of address in English, French, German and Spanish.
 QUOTES = "\"“”„«»‹›"
