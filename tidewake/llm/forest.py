@@ -15,7 +15,9 @@ deviations of a pair at the threshold allowed for), and is confirmed on the full
 
 Confirming moves whole sets, so it goes in three rounds that skip what is connected already: each
 set's best candidate, the best candidate between each two components, then all others between
-different components.
+different components. The last one also takes sets beside a component of more than ``CROWD`` sets, which may reach
+only the few members nearest to what its copies were made from: whatever has a candidate in such a component is held
+against the ``HUBS`` members that agree best with the component's most frequent MinHash values.
 
 The order is range-partitioned by label and set, so a crowded region is spread over tasks; the rows on both sides of
 each cut are paired in a second, small job. Components come from ``graph.components``.
@@ -43,7 +45,9 @@ HASHES, TREES = 128, 32
 FIRST, DEEPER = 3, 5
 CROWD, NEAR = 16, 8
 BLOCK = 1 << 20
+HUBS, HUB_SAMPLE = 64, 256
 BROADCAST_IDS = 4_000_000  # ids of 8 bytes: 32 MB
+BROADCAST_SIGNATURES = 50_000  # of 512 bytes: 25 MB
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -330,6 +334,55 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
                                         F.greatest("ca", "cb").alias("cb"))
 
 
+def _consensus(rows: pa.Table) -> pa.Table:
+    """The most frequent value at each place of a component's signatures; of a bounded sample of members."""
+    sign = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+    out = np.empty(HASHES, np.uint32)
+    for j in range(HASHES):
+        values, counts = np.unique(sign[:, j], return_counts=True)
+        out[j] = values[counts.argmax()]
+    return pa.table({"component": rows.column("component").slice(0, 1), "common": pa.array([out.tobytes()], pa.binary())})
+
+
+def _agreement_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES)
+                for c in ("signature", "common")]
+        agree = (both[0] == both[1]).sum(axis=1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(agree)],
+                                         names=["node", "component", "agree"])
+
+
+def hubs(reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """(component, hub): up to ``HUBS`` members of each crowded component nearest to its most frequent values."""
+    big = comps.groupBy("component").count().where(F.col("count") > CROWD).select("component")
+    members = stored(comps.join(big, "component").join(
+        reps.select(F.col("rep").alias("node"), "signature"), "node"), "members")
+    some = Window.partitionBy("component").orderBy(F.xxhash64("node"), "node")
+    sample = members.withColumn("place", F.row_number().over(some)).where(F.col("place") <= HUB_SAMPLE)
+    common = stored(sample.select("component", "signature").groupBy("component").applyInArrow(
+        _consensus, "component long, common binary"), "consensus")
+    small = common.count() <= BROADCAST_SIGNATURES
+    near = members.join(F.broadcast(common) if small else common, "component").select(
+        "node", "component", "signature", "common").mapInArrow(_agreement_task, "node long, component long, agree int")
+    best = Window.partitionBy("component").orderBy(F.desc("agree"), "node")
+    return (near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
+            .select("component", F.col("node").alias("hub")))
+
+
+def beside_crowds(reps: DataFrame, pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a set and the hubs of each crowded component in which it has a candidate but no link."""
+    apart = pairs
+    for end in ("a", "b"):
+        part = comps.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        apart = apart.join(part, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    apart = apart.where("ca <> cb")
+    asked = apart.select(F.col("a").alias("node"), F.col("cb").alias("component")).union(
+        apart.select(F.col("b").alias("node"), F.col("ca").alias("component"))).distinct()
+    return asked.join(hubs(reps, comps), "component").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def linked(reps: DataFrame, texts: DataFrame, percent: int, words_per_shingle: int) -> DataFrame:
     """(node, component) of the sets that are linked with another one."""
     pairs = stored(candidates(reps, percent), "pairs")
@@ -351,10 +404,9 @@ def linked(reps: DataFrame, texts: DataFrame, percent: int, words_per_shingle: i
     comps = stored(graph.components(links), "components")
 
     last = _apart(rest.join(second.select("a", "b"), ["a", "b"], "left_anti").drop("ca", "cb"), comps)
-    others = stored(confirmed(last, sets, percent), "links")
-    if others.isEmpty():
-        return comps
-    return graph.components(links.union(others))
+    wanted = last.select("a", "b").union(beside_crowds(reps, pairs, comps)).distinct()
+    others = stored(confirmed(wanted, sets, percent), "links")
+    return comps if others.isEmpty() else graph.components(links.union(others))
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80,

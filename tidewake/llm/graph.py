@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import stored
@@ -25,7 +25,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     out = moved.select(F.col("b").alias("a"), F.col("least").alias("b"))
     if not large:
         out = out.union(least.select("a", F.col("least").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _written(links: DataFrame) -> tuple[DataFrame, dict]:
+    """Distinct links, written, and what tells them from others: their number and a sum of hashes."""
+    seen = Observation()
+    out = stored(links.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(
+        F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "links")
+    return out, seen.get
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,14 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the two star operations until nothing changes: the rounds grow with the logarithm
     of the longest path. Every round is written to the shared folder.
     """
-    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = stored(ordered, "links"), None
-    while True:
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before:
-            break
+    now, sign = _written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    before = None
+    while sign != before:
         before = sign
-        now = stored(_star(_star(now, True), False), "links")
+        now, sign = _written(_star(_star(now, True), False))
     # every node now points at the least one of its component
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
