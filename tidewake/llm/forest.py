@@ -404,7 +404,8 @@ def linked(reps: DataFrame, texts: DataFrame, percent: int, words_per_shingle: i
     comps = stored(graph.components(links), "components")
 
     last = _apart(rest.join(second.select("a", "b"), ["a", "b"], "left_anti").drop("ca", "cb"), comps)
-    wanted = last.select("a", "b").union(beside_crowds(reps, pairs, comps)).distinct()
+    # pairs within a component of the first round stay within one
+    wanted = last.select("a", "b").union(beside_crowds(reps, rest.select("a", "b"), comps)).distinct()
     others = stored(confirmed(wanted, sets, percent), "links")
     return comps if others.isEmpty() else graph.components(links.union(others))
 
