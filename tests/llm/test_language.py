@@ -50,3 +50,23 @@ def test_sample_is_bounded_and_distinct(spark):
     assert language.training_sample(docs, "lang", F.lit(True)) == [("same text", "x")]
     docs = docs.withColumn("text", F.concat(F.lit("text "), F.col("doc_id")))
     assert len(language.training_sample(docs, "lang", F.lit(True), per_label=50)) == 50
+
+
+def test_strange_languages_and_gibberish_are_rejected(spark, documents):
+    """What was not learned goes; every clean held-out document stays."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    signs = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        " ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(60)),
+        "".join(rng.choice(signs, 600)),
+    ]
+    model = language.learned(documents)
+    rows = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert language.in_a_language(rows, model, 0.25).collect() == []
+    held = documents.where((language.remainder("doc_id", 4) == 2) & F.col("text").rlike(r"\p{L}"))
+    assert language.in_a_language(held, model, 0.25).count() == held.count()

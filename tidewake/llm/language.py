@@ -11,8 +11,15 @@ regression with one machine per label (1 for it, -1 for the rest) gives the weig
 presence vector, so the product of landmark matrix and weights is taken once, and a batch of texts is scored by
 one product: presence matrix times that.
 
+Ridge outputs are near 0 for a text that shares nothing with the landmarks, so the score cannot reject a strange language.
+That is left to the share of a text's distinct n-grams of full order that the landmarks have. Its limit per label comes
+from the labelled sample, in two folds: from the usual share of texts whose own label is left out, ``RISE`` of the way to the
+least share of held-out texts of the label (``CLEAN`` quantile), so that a label's texts on other matters stay. Texts of few
+n-grams get ``SLACK`` standard deviations.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without labelled texts all are; ties go to the
-label first in order; repeated rows each have a result; an empty table gives no rows; other columns are ignored.
+label first in order; a label with fewer than ``LEAST_TEXTS`` texts has no limit, one label alone has that of its own texts;
+repeated rows each have a result; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +42,7 @@ PER_LANGUAGE = 250
 TRAIN_CHARS = 20_000
 LANDMARKS = 200
 RIDGE = 0.05
+CLEAN, RISE, SLACK, LEAST_TEXTS = 0.01, 1 / 3, 2.0, 10
 UNKNOWN = "und"
 BLOCK = 1 << 20
 SIGNS = ALPHABET + 2  # boundary 0, the letters, and the rest
@@ -124,6 +132,7 @@ class Model:
     alphabet: tuple[int, ...]
     vocabulary: np.ndarray  # n-grams of the landmarks
     weights: np.ndarray  # vocabulary x labels: landmark presence, norms and ridge weights multiplied
+    least: np.ndarray  # per label the least share of known n-grams of full order
 
 
 def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
@@ -150,7 +159,48 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     z = every @ mark.T @ root
     target = np.array([[1.0 if own == label else -1.0 for label in labels] for _, own in found])
     beta = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ target)
-    return Model(labels, alphabet, vocabulary, (mark.T @ (root @ beta)).astype(np.float32))
+    return Model(labels, alphabet, vocabulary, (mark.T @ (root @ beta)).astype(np.float32),
+                 _least_shares(found, labels, share))
+
+
+def whole(grams: np.ndarray) -> np.ndarray:
+    """The n-grams of full order."""
+    return grams[grams >= sum(SIGNS ** n for n in range(1, ORDERS))]
+
+
+def telling(grams: np.ndarray) -> np.ndarray:
+    """Those of full order without the sign that all rare letters share, which tells nothing of them."""
+    grams = whole(grams)
+    code = grams - sum(SIGNS ** n for n in range(1, ORDERS))
+    rest = np.zeros(len(grams), bool)
+    for n in range(ORDERS):
+        rest |= code // SIGNS ** n % SIGNS == SIGNS - 1
+    return grams[~rest]
+
+
+def _least_shares(found: list[tuple[np.ndarray, str]], labels: list[str], share: int) -> np.ndarray:
+    """Per label the limit between its own texts and those of a language that was not learned."""
+    of = {label: [whole(g) for g, own in found if own == label] for label in labels}
+    own: dict[str, list[float]] = {label: [] for label in labels}
+    strange = []
+    for fold in (0, 1):
+        marks = {label: [telling(g) for g in of[label][fold::2][:share]] for label in labels}
+        known = {label: np.unique(np.concatenate([np.zeros(0, np.int64), *m])) for label, m in marks.items()}
+        every = np.unique(np.concatenate(list(known.values())))
+        for label in labels:
+            others = np.unique(np.concatenate([np.zeros(0, np.int64), *(v for k, v in known.items() if k != label)]))
+            for g in of[label][1 - fold::2]:
+                if len(g):
+                    own[label].append(float(np.isin(g, every).mean()))
+                    if len(labels) > 1:
+                        strange.append(float(np.isin(g, others).mean()))
+    usual = float(np.median(strange)) if strange else None
+    out = np.zeros(len(labels))
+    for i, label in enumerate(labels):
+        if len(own[label]) >= LEAST_TEXTS:
+            clean = float(np.quantile(own[label], CLEAN))
+            out[i] = clean if usual is None else min(clean, usual + RISE * (clean - usual))
+    return out
 
 
 def _presence(some: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
@@ -173,13 +223,16 @@ class Predictor:
         self.grams = Grams(model.alphabet)
         self.place = np.full(len(self.grams.seen), -1, np.int32)
         self.place[model.vocabulary] = np.arange(len(model.vocabulary))
+        self.familiar = np.zeros(len(self.grams.seen), bool)
+        self.familiar[telling(model.vocabulary)] = True
         self.presence = np.zeros((ROWS, len(model.vocabulary)), np.float32)
 
-    def __call__(self, texts: pa.LargeStringArray) -> tuple[list[str], np.ndarray]:
-        """The label and score of every text."""
+    def __call__(self, texts: pa.LargeStringArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The label and score of every text, and whether enough of its n-grams are known for that label."""
         points, at = codepoints(*raw(texts))
         n = len(at) - 1
         scores, has_letter = np.full((n, len(self.model.labels)), -1.0), np.zeros(n, bool)
+        full, shared = np.zeros(n), np.zeros(n)
         for first in range(0, n, ROWS):
             rows = range(first, min(first + ROWS, n))
             norm = np.ones(len(rows))
@@ -187,19 +240,23 @@ class Predictor:
             for i in rows:
                 own, has_letter[i] = self.grams.of(points[at[i]:at[i + 1]])
                 norm[i - first] = math.sqrt(max(1, len(own)))
+                ends = whole(own)
+                full[i], shared[i] = len(ends), np.count_nonzero(self.familiar[ends])
                 known = self.place[own]
                 self.presence[i - first, known[known >= 0]] = 1
             scores[rows] = self.presence[:len(rows)] @ self.model.weights / norm[:, None]
         best = scores.argmax(axis=1)
         score = np.where(has_letter, np.clip((1 + scores.max(axis=1)) / 2, 0, 1), 0.0)
-        return [self.model.labels[b] if ok else UNKNOWN for b, ok in zip(best, has_letter)], score
+        least = self.model.least[best]
+        fits = has_letter & (shared >= least * full - SLACK * np.sqrt(full * least * (1 - least)))
+        return [self.model.labels[b] if ok else UNKNOWN for b, ok in zip(best, has_letter)], score, fits
 
 
 def _predict_task(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Predictor(model)
         for part in blocks(batches, "text", BLOCK):
-            names, score = predict(strings(part.column("text")))
+            names, score, _ = predict(strings(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)],
                                              names=["doc_id", "lang_pred", "score"])
 
@@ -215,16 +272,15 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
 
 
 def in_a_language(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all their columns, whose text is in a known language with a score of ``least`` or more."""
+    """Rows of ``docs``, all their columns, whose text fits its language and has a score of ``least`` or more."""
     if model is None:
         return docs.limit(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Predictor(model)
         for part in blocks(batches, text_col, BLOCK):
-            names, score = predict(strings(part.column(text_col)))
-            keep = [name != UNKNOWN and s >= least for name, s in zip(names, score)]
-            yield part.filter(pa.array(keep, pa.bool_()))
+            _, score, fits = predict(strings(part.column(text_col)))
+            yield part.filter(pa.array(fits & (score >= least), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
