@@ -98,3 +98,34 @@ def test_odd_rows(spark, odd, none):
     got = sorted((r.doc_id, r.item_id) for r in dc.leaks(odd, tests).collect())
     assert got == [(1, 2), (6, 2), (6, 2)]
     assert dc.leaks(none, tests).collect() == [] and dc.leaks(odd, tests.limit(0)).collect() == []
+
+
+def test_one_word_edits_at_every_place(spark, sf):
+    """A changed, added or left out word anywhere, or a missing short last sentence, hides no item."""
+    rng = random.Random(9)
+    tests = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    noise = " ".join(f"n{rng.randrange(10**6)}" for _ in range(30))
+    docs, want = [], set()
+
+    def put(item, words):
+        want.add((len(docs), item))
+        docs.append((len(docs), f"{noise} {' '.join(words)} {noise}"))
+
+    for item, text in tests:
+        words = text.split()
+        for at in range(len(words)):
+            edited = [["changed"], ["added", words[at]], []][at % 3 if len(docs) % 2 else 0]
+            put(item, words[:at] + edited + words[at + 1:])
+        question, answer = dc.question_and_answer(text)
+        if len(answer.split()) < min(10, len(question.split())) and len(question.split()) >= 8:
+            put(item, question.split())
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4),
+                   spark.createDataFrame(tests, "item_id long, text string"))
+    assert want <= {(r.doc_id, r.item_id) for r in got.collect()} and len(want) > 1000
+
+
+def test_more_edits_are_another_text(spark):
+    item = [f"t{i}" for i in range(20)]
+    twice = item[:3] + ["x"] + item[4:8] + ["y"] + item[9:12] + ["z"] + item[13:17] + ["v"] + item[18:]
+    docs = spark.createDataFrame([(1, " ".join(twice)), (2, " ".join(item[::-1]))], "doc_id long, text string")
+    assert dc.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect() == []

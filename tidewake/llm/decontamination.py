@@ -11,7 +11,10 @@ whose maxima do not add up to ``retrieve`` in a block cannot hold an item of it
 searched document at a time with WAND over the postings, block by block.
 
 A retrieved item is verified on the words of the document around the passage: of the five-word shingles of the question
-and of the answer (the item's last sentence) at least ``overlap`` each have to be there.
+and of the answer (the item's last sentence) at least ``overlap`` each have to be there. One changed word takes away up
+to five shingles, all of a short part; so an item is there too if its words are, in order, with at most one in
+``WORDS_PER_EDIT`` replaced, added or left out. If the answer has fewer than ``SHORT_ANSWER`` words, and no more than the
+question, the same of a question of ``SHORTEST`` words or more is enough.
 
 Defined cases: null and empty texts hold nothing; items null, or of fewer than ``SHORTEST`` words, are left out, since
 such few words occur by chance; an item that is repeated counts under each id; a benchmark without items gives no rows;
@@ -37,6 +40,7 @@ from tidewake.llm.common import BASE
 K1, B = 1.2, 0.75
 RETRIEVE, OVERLAP = 0.5, 0.6
 LONGEST, SHORTEST = 128, 8
+WORDS_PER_EDIT, SHORT_ANSWER = 13, 10
 ITEMS_PER_BLOCK = 4
 INDEX_WORDS = 4_000_000
 SHINGLE = 5
@@ -107,13 +111,14 @@ class Index:
     """Inverted index of items with block maxima, in hashes of words."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.question, self.answer, pieces = [], [], [], []
+        self.ids, self.words, self.question, self.answer, pieces = [], [], [], [], []
         for item_id, text in sorted(items):
             h = hashes_of(text)
             if len(h) < SHORTEST:
                 continue
             question, answer = question_and_answer(text)
             self.ids.append(item_id)
+            self.words.append(h)
             self.question.append(hashes_of(question))
             self.answer.append(hashes_of(answer))
             count = math.ceil(len(h) / LONGEST)
@@ -241,6 +246,27 @@ def _share(part: np.ndarray, around: np.ndarray, k: int = SHINGLE) -> float:
     return float(np.isin(wanted, shingles(around, min(k, len(part)))).mean()) if len(wanted) else 1.0
 
 
+def _nearly(part: np.ndarray, around: np.ndarray) -> bool:
+    """Whether a run of ``around`` is ``part`` but for one word in ``WORDS_PER_EDIT`` replaced, added or left out."""
+    most = len(part) // WORDS_PER_EDIT
+    if np.count_nonzero(~np.isin(part, around)) > most:
+        return False
+    place = np.arange(len(around) + 1)
+    edits = np.zeros(len(around) + 1, np.int64)  # of the words so far against the best run that ends here
+    for word in part:
+        now = edits + 1
+        now[1:] = np.minimum(now[1:], edits[:-1] + (around != word))
+        edits = np.minimum.accumulate(now - place) + place
+    return bool(edits.min() <= most)
+
+
+def _altered(index: Index, item: int, around: np.ndarray) -> bool:
+    """Whether the item, or its question if the answer is short, is there but for single words."""
+    question, answer = index.question[item], len(index.answer[item])
+    return _nearly(index.words[item], around) or (
+        answer < SHORT_ANSWER and len(question) >= max(SHORTEST, answer) and _nearly(question, around))
+
+
 def _search_task(index: Index, retrieve: float, overlap: float):
     span = index.span
 
@@ -281,13 +307,16 @@ def _search_task(index: Index, retrieve: float, overlap: float):
                     else:
                         stretches.append([begin, end])
                 q = a = 0.0
+                altered = False
                 for begin, end in stretches:
                     low = max(int(first[doc]), begin - span)
                     high = min(end + span, int(first[doc + 1]) if doc + 1 < len(first) else len(h))
                     both = (_share(index.question[item], h[low:high]), _share(index.answer[item], h[low:high]))
                     if sum(both) > q + a:
                         q, a = both
-                if q >= overlap and a >= overlap:
+                    if min(both) < overlap and not altered:
+                        altered = _altered(index, item, h[low:high])
+                if altered or (q >= overlap and a >= overlap):
                     rows.append((part.column("doc_id")[doc].as_py(), index.ids[item], q, a))
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
