@@ -129,3 +129,23 @@ def test_more_edits_are_another_text(spark):
     twice = item[:3] + ["x"] + item[4:8] + ["y"] + item[9:12] + ["z"] + item[13:17] + ["v"] + item[18:]
     docs = spark.createDataFrame([(1, " ".join(twice)), (2, " ".join(item[::-1]))], "doc_id long, text string")
     assert dc.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect() == []
+
+
+def test_short_items_are_found_where_all_their_words_are(spark):
+    docs = [(1, "So who wrote it? Nobody knows."), (2, "They asked who"), (3, "wrote it down"), (4, "who never wrote it"),
+            (5, "WHO WROTE-IT"), (6, "a b c d e f g"), (7, "a b c d e f x"), (8, None), (9, "Paris")]
+    items = [(1, "Who wrote it?"), (2, "who wrote it"), (3, "a b c d e f g"), (4, "paris"), (5, "?!"), (6, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in dc.leaks(docs, items).collect())
+    assert got == [(1, 1), (1, 2), (5, 1), (5, 2), (6, 3), (9, 4)]
+
+
+def test_scripts_without_spaces(spark):
+    long, short = "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待", "月亮有多远"
+    thai = "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกัน"
+    docs = [(1, f"前面的话。{long}后面的话。"), (2, f"请问{short}呢"), (3, "月亮不远"), (4, f"ก่อน{thai}หลัง"),
+            (5, long[::-1]), (6, "人人生 而自由"), (7, f"mixed{short}text")]
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                   spark.createDataFrame([(1, long), (2, short), (3, thai)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 1), (2, 2), (4, 3), (7, 2)]

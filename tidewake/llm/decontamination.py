@@ -16,8 +16,10 @@ to five shingles, all of a short part; so an item is there too if its words are,
 ``WORDS_PER_EDIT`` replaced, added or left out. If the answer has fewer than ``SHORT_ANSWER`` words, and no more than the
 question, the same of a question of ``SHORTEST`` words or more is enough.
 
-Defined cases: null and empty texts hold nothing; items null, or of fewer than ``SHORTEST`` words, are left out, since
-such few words occur by chance; an item that is repeated counts under each id; a benchmark without items gives no rows;
+Words are runs of letters and digits; in scripts without spaces every character is one. An item of fewer than ``SHORTEST``
+words is there where all its words follow each other unchanged; such items are looked up by their length and hash.
+
+Defined cases: null and empty texts hold nothing; items null or without a word are left out; an item that is repeated counts under each id; a benchmark without items gives no rows;
 other columns are ignored. The index is broadcast: it is measured on the benchmark first, and beyond
 ``INDEX_WORDS`` words the items are dealt into several indexes, each with its own pass over the documents.
 """
@@ -46,8 +48,12 @@ INDEX_WORDS = 4_000_000
 SHINGLE = 5
 BLOCK = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
-_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
-                  0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # odd, one per place in a shingle
+_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
+                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)  # odd, one per place in a row of words
+# Thai and Lao, Myanmar, Khmer, kana, Han: first and last code points
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+             (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+_UNSPACED_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _UNSPACED) + "]"
 
 
 def _fold() -> np.ndarray:
@@ -65,7 +71,7 @@ _FOLD: list[np.ndarray] = []
 
 
 def word_hashes(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, lower-cased runs of letters and digits, and the text of each."""
+    """Hashes of all words, lower-cased runs of letters and digits or single unspaced ones, and the text of each."""
     if not _FOLD:
         _FOLD.append(_fold())
     folded = _FOLD[0][points]
@@ -73,6 +79,12 @@ def word_hashes(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     inside[1:-1] = folded != 0
     cut = np.zeros(len(points) + 1, bool)
     cut[at] = True
+    if len(points) and points.max() >= _UNSPACED[0][0]:
+        single = np.zeros(len(points), bool)
+        for low, high in _UNSPACED:
+            single |= (points >= low) & (points <= high)
+        cut[:-1] |= single
+        cut[1:] |= single
     change = inside[1:] != inside[:-1]
     begin = np.flatnonzero(inside[1:-1] & (change[:-1] | cut[:-1]))
     end = np.flatnonzero(inside[1:-1] & (change[1:] | cut[1:])) + 1
@@ -86,15 +98,19 @@ def hashes_of(text: str) -> np.ndarray:
     return word_hashes(points, at)[0]
 
 
+def rows_of(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every ``k`` words in a row, of which there are as many at least."""
+    sums = np.zeros(len(words) - k + 1, np.uint64)
+    for j in range(k):
+        sums += words[j:len(words) - k + 1 + j] * _STEP[j]
+    return mixed(sums)
+
+
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of ``k`` words in a row; fewer words are one shingle."""
     if not len(words):
         return np.zeros(0, np.uint64)
-    k = min(k, len(words))
-    sums = np.zeros(len(words) - k + 1, np.uint64)
-    for j in range(k):
-        sums += words[j:len(words) - k + 1 + j] * _STEP[j]
-    return np.unique(mixed(sums))
+    return np.unique(rows_of(words, min(k, len(words))))
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -112,9 +128,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words, self.question, self.answer, pieces = [], [], [], [], []
+        short: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in sorted(items):
             h = hashes_of(text)
+            if not len(h):
+                continue
             if len(h) < SHORTEST:
+                short[len(h)].append((int(rows_of(h, len(h))[0]), item_id))
                 continue
             question, answer = question_and_answer(text)
             self.ids.append(item_id)
@@ -124,6 +144,9 @@ class Index:
             count = math.ceil(len(h) / LONGEST)
             for part in np.array_split(h, count):
                 pieces.append((len(self.ids) - 1, part))
+        # Short items: per number of words the hashes, ascending, and the id of each.
+        self.short = {k: (np.array([h for h, _ in sorted(pairs)], np.uint64), [i for _, i in sorted(pairs)])
+                      for k, pairs in short.items()}
         # Pieces of like length share a block: the shares of their terms are alike, and the maxima tight.
         pieces.sort(key=lambda p: len(p[1]))
         self.item = np.array([p[0] for p in pieces], np.int64)
@@ -173,8 +196,25 @@ class Index:
         self.frequent = np.zeros(self.blocks)
         np.maximum.at(self.frequent, np.arange(pieces) // ITEMS_PER_BLOCK, frequent)
 
+    def exact(self, words: np.ndarray, owner: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item id) of the short items whose words follow each other in a text."""
+        out = []
+        for k, (wanted, ids) in self.short.items():
+            if len(words) < k:
+                continue
+            rows = rows_of(words, k)
+            at = np.searchsorted(wanted, rows)
+            at[at == len(wanted)] = 0
+            found = np.flatnonzero((wanted[at] == rows) & (owner[:len(rows)] == owner[k - 1:]))
+            for text, first in np.unique(np.stack([owner[found], at[found]], axis=1), axis=0).tolist():
+                last = np.searchsorted(wanted, wanted[first], side="right")
+                out += [(text, i) for i in ids[first:last]]
+        return out
+
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of terms, -1 for words that no item has."""
+        if not len(self.vocabulary):
+            return np.full(len(hashes), -1, np.int64)
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
         return np.where(self.vocabulary[at] == hashes, at, -1)
@@ -296,7 +336,7 @@ def _search_task(index: Index, retrieve: float, overlap: float):
                     end = int(min(begin + 2 * span, first[doc + 1] if doc + 1 < len(first) else len(h)))
                     for item in items:
                         hits[doc, item].append((begin, end))
-            rows = []
+            rows = [(part.column("doc_id")[doc].as_py(), i, 1.0, 1.0) for doc, i in index.exact(h, owner)]
             for (doc, item), found in hits.items():
                 # all words of the passages that retrieved the item, each stretch once
                 found.sort()
@@ -335,13 +375,14 @@ def leaks(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).where(
         "id is not null and text is not null")
-    size = tests.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    unspaced = F.length("text") - F.length(F.regexp_replace("text", _UNSPACED_CLASS, ""))
+    size = tests.agg(F.sum(F.size(F.split("text", r"\s+")) + unspaced)).first()[0] or 0
     parts = max(1, math.ceil(size / INDEX_WORDS))
     out = None
     for part in range(parts):
         own = tests.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part) if parts > 1 else tests
         index = Index([(r.id, r.text) for r in own.collect()])
-        if not index.ids:
+        if not index.ids and not index.short:
             continue
         found = texts.mapInArrow(_search_task(index, retrieve, overlap), HITS_DDL)
         out = found if out is None else out.union(found)
