@@ -149,3 +149,17 @@ def test_scripts_without_spaces(spark):
     got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
                    spark.createDataFrame([(1, long), (2, short), (3, thai)], "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 1), (2, 2), (4, 3), (7, 2)]
+
+
+def test_a_stretch_that_fails_does_not_hide_one_that_passes(spark):
+    rng = random.Random(6)
+    noise = lambda n: " ".join(f"n{rng.randrange(10**6)}" for _ in range(n))
+    question, answer = [f"q{i}" for i in range(44)], [f"a{i}" for i in range(24)]
+    item = f"{' '.join(question)}. {' '.join(answer)}."
+    fails = " ".join(question + answer[:14] + ["x", "y"])  # 1.0 and 10 of 20
+    passes = " ".join(question[:32] + ["x"] + question[33:34] + ["y"] * 10 + answer[:18])  # 28 of 40 and 14 of 20
+    for order in ([fails, passes], [passes, fails]):
+        docs = [(1, f" {noise(900)} ".join(order)), (2, fails), (3, passes)]
+        got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+        assert sorted((r.doc_id, r.question_overlap, r.answer_overlap) for r in got) == [(1, 0.7, 0.7), (3, 0.7, 0.7)]

@@ -346,18 +346,15 @@ def _search_task(index: Index, retrieve: float, overlap: float):
                         stretches[-1][1] = max(end, stretches[-1][1])
                     else:
                         stretches.append([begin, end])
-                q = a = 0.0
-                altered = False
+                best = (False, 0.0, 0.0, 0.0)  # of the stretches that pass, each for itself, the best
                 for begin, end in stretches:
                     low = max(int(first[doc]), begin - span)
                     high = min(end + span, int(first[doc + 1]) if doc + 1 < len(first) else len(h))
-                    both = (_share(index.question[item], h[low:high]), _share(index.answer[item], h[low:high]))
-                    if sum(both) > q + a:
-                        q, a = both
-                    if min(both) < overlap and not altered:
-                        altered = _altered(index, item, h[low:high])
-                if altered or (q >= overlap and a >= overlap):
-                    rows.append((part.column("doc_id")[doc].as_py(), index.ids[item], q, a))
+                    q, a = (_share(p[item], h[low:high]) for p in (index.question, index.answer))
+                    passes = (q >= overlap and a >= overlap) or (not best[0] and _altered(index, item, h[low:high]))
+                    best = max(best, (passes, min(q, a), q, a))
+                if best[0]:
+                    rows.append((part.column("doc_id")[doc].as_py(), index.ids[item], *best[2:]))
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
