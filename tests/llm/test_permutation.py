@@ -62,6 +62,22 @@ def test_a_vector_that_very_many_rows_repeat(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("distinct,seed", [(10, 0), (10, 1), (5, 2), (1, 3)])
+def test_few_distinct_vectors_repeated_very_often(spark, distinct, seed):
+    """All of them are pivots, and each query finds the first copies of itself."""
+    v = np.random.default_rng(seed).normal(size=(distinct, 8))
+    rows = [(i, v[i * distinct // 20_000].tolist(), None, None) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, score string")
+    assert len(permutation.pivots(permutation.usable(df, "vec_id", "embedding"))) == distinct
+    got = permutation.nearest(df, F.col("id") % 500 == 7, block_rows=5000).collect()
+    own = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        own.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(7, 20_000, 500):
+        first = q * distinct // 20_000 * (20_000 // distinct)
+        assert own[q] == [i for i in range(first, first + 6) if i != q][:5]
+
+
 def test_gain_is_what_the_footrule_is_short_of():
     rng = np.random.default_rng(0)
     a, b = (rng.permutation(20)[:8].tolist() for _ in range(2))

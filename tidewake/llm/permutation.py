@@ -24,8 +24,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import sample_below
-
 PIVOTS = 128
 ORDERED = 48
 SHARE = 0.25
@@ -42,11 +40,11 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                      & F.exists("v", lambda x: x != 0))
 
 
-def pivots(vectors: DataFrame, rows: int, count: int = PIVOTS) -> np.ndarray:
-    """Up to ``count`` distinct vectors by hash; a bounded sample."""
+def pivots(vectors: DataFrame, count: int = PIVOTS) -> np.ndarray:
+    """The ``count`` distinct vectors of least hash, or all if there are fewer; copies count once."""
     hashed = vectors.withColumn("h", F.xxhash64("v"))
-    picked = (hashed.where(sample_below("h", 8 * count / max(rows, 1))).groupBy("h")
-              .agg(F.first("v").alias("v")).orderBy("h").limit(count).collect())
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(count).collect()]
+    picked = hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").collect()
     p = np.array([r.v for r in picked], np.float64)
     return p / np.linalg.norm(p, axis=1, keepdims=True)
 
@@ -97,7 +95,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = every.where(F.size("v") == sizes.d)
-    pivot = pivots(every, sizes["count"])
+    pivot = pivots(every)
     blocks = math.ceil(sizes["count"] / block_rows)
     queries = every.where(is_query)
     chunks = max(1, math.ceil(queries.count() / block_rows))
