@@ -52,6 +52,18 @@ def test_sample_is_bounded_and_distinct(spark):
     assert len(language.training_sample(docs, "lang", F.lit(True), per_label=50)) == 50
 
 
+def test_sample_is_whole_beside_copies_nulls_and_long_texts(spark):
+    """A label of which most rows cannot be learned from still gives as many texts as it has."""
+    rows = spark.range(30_000)
+    text = (F.when(F.col("id") < 300, F.concat(F.lit("text "), "id")).when(F.col("id") < 10_000, F.lit("a copy"))
+            .when(F.col("id") < 29_000, F.lit(None)).otherwise(F.repeat(F.concat(F.lit("x"), "id"), 30)))
+    docs = rows.select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("x").alias("lang"))
+    got = language.training_sample(docs, "lang", F.lit(True), per_label=250, longest=100)
+    assert len(got) == len(set(got)) == 250
+    few = language.training_sample(docs.where("doc_id < 9 or doc_id >= 300"), "lang", F.lit(True), longest=100)
+    assert sorted(few) == [("a copy", "x")] + [(f"text {i}", "x") for i in range(9)]
+
+
 def test_strange_languages_and_gibberish_are_rejected(spark, documents):
     """What was not learned goes; every clean held-out document stays."""
     rng = np.random.default_rng(5)

@@ -53,16 +53,16 @@ def training_sample(docs: DataFrame, label: str, may_learn: Column, per_label: i
                     longest: int = TRAIN_CHARS) -> list[tuple[str, str]]:
     """Up to ``per_label`` distinct (text, label) for each label, by hash of the text.
 
-    Copies of a text are one before they are gathered; the fraction follows from the counts of labels.
+    Copies of a text are one before they are gathered; the fraction follows from how many distinct texts of
+    allowed length a label has.
     """
     own = docs.where(may_learn & F.col(label).isNotNull()).select("text", F.col(label).alias("label"))
-    counts = {r.label: r["count"] for r in own.groupBy("label").count().collect()}
-    hashed = own.withColumn("h", F.xxhash64("text"))
+    hashed = own.where(F.col("text").isNotNull() & (F.length("text") <= longest)).withColumn("h", F.xxhash64("text"))
+    counts = {r.label: r["count"] for r in hashed.select("label", "h").distinct().groupBy("label").count().collect()}
     picked = F.lit(False)
     for value, n in counts.items():
         picked = picked | ((F.col("label") == value) & sample_below("h", 3 * per_label / n))
-    rows = (hashed.where(F.col("text").isNotNull() & (F.length("text") <= longest) & picked)
-            .groupBy("label", "h").agg(F.min("text").alias("text")).collect())
+    rows = (hashed.where(picked).groupBy("label", "h").agg(F.min("text").alias("text")).collect())
     taken: Counter[str] = Counter()
     out = []
     for r in sorted(rows, key=lambda r: (r.label, r.h)):
