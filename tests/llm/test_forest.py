@@ -72,6 +72,22 @@ def test_crowded_regions_and_seams(spark, monkeypatch, crowd, near):
     assert result(forest.near_duplicates(docs, 4)) == components(texts, 4)
 
 
+def family(rng, n, close, words=100, kept=80):
+    """Sets of 80 words of one template of 100, few of them linked, and ``close`` partners with 8 other words: 0.818."""
+    template = [f"t{i}" for i in range(words)]
+    out = [rng.sample(template, kept) for _ in range(n)]
+    for one in out[:close]:
+        out.append(one[8:] + rng.sample(sorted(set(template) - set(one)), 8))
+    return [" ".join(x) for x in out]
+
+
+def test_pairs_within_a_template_family(spark):
+    """A crowd of sets that are not linked hides no link between two of them."""
+    texts = dict(enumerate(family(random.Random(8), 400, 60)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert result(forest.near_duplicates(docs, 1)) == components(texts, 1)
+
+
 def test_odd_rows(odd, none):
     got = forest.near_duplicates(odd, 4).collect()
     assert len(got) == 13

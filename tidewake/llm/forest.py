@@ -8,16 +8,16 @@ Labels are sorted; sets with a common prefix of ``FIRST`` values form a region.
 ``FIRST + DEEPER``, and what is still crowded there (nearly equal signatures) is linked along the order,
 ``NEAR`` neighbours each way. Next neighbours of a region are candidates at any depth.
 
-A pair with similarity 0.8 shares 3 values in one tree of 32 but for one case in 10 ** 10, 8 values
-but for 3 in 1000; it is that deep only where very many sets share those values, and such sets are connected
-by many pairs. A candidate must then agree in enough 2-bit remainders of the values (five standard
-deviations of a pair at the threshold allowed for), and is confirmed on the full sets.
+A pair with similarity 0.8 shares 3 values in one tree of 32 but for one case in 10 ** 10. Where such a region is crowded, what
+is found along its order only joins most of it; the rest is decided exactly below. A candidate must agree in enough 2-bit
+remainders of the values (five standard deviations of a pair at the threshold allowed for), and is confirmed on the full sets.
 
-Confirming moves whole sets, so it goes in three rounds that skip what is connected already: each
-set's best candidate, the best candidate between each two components, then all others between
-different components. The last one also takes sets beside a component of more than ``CROWD`` sets, which may reach
-only the few members nearest to what its copies were made from: whatever has a candidate in such a component is held
-against the ``HUBS`` members that agree best with the component's most frequent MinHash values.
+Confirming moves whole sets, so it goes in rounds that skip what is connected already: each set's best candidate,
+the best candidate between each two components, then all others between different components. With these the
+crowded regions (more than ``CROWD`` sets with ``FIRST`` values in common) are gone through whole: all pairs of sets in different
+components, of each region those outside its largest component against all, in blocks of ``SIDE`` by ``SIDE`` sets that are spread
+over tasks. A pair is taken in the first tree that it shares a region of, and each block confirms its pairs on the full
+sets it holds once. This grows with the square of a region only where its sets are not connected.
 
 The order is range-partitioned by label and set, so a crowded region is spread over tasks; the rows on both sides of
 each cut are paired in a second, small job. Components come from ``graph.components``.
@@ -45,9 +45,9 @@ HASHES, TREES = 128, 32
 FIRST, DEEPER = 3, 5
 CROWD, NEAR = 16, 8
 BLOCK = 1 << 20
-HUBS, HUB_SAMPLE = 64, 256
+SIDE = 256  # sets on either side of a block
 BROADCAST_IDS = 4_000_000  # ids of 8 bytes: 32 MB
-BROADCAST_SIGNATURES = 50_000  # of 512 bytes: 25 MB
+BROADCAST_CELLS = 500_000  # of 40 bytes: 20 MB
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,6 +126,24 @@ def sketches(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     return docs.mapInArrow(_sketch_task(words_per_shingle), SKETCH_DDL)
 
 
+def _cells(sign: np.ndarray) -> np.ndarray:
+    """Per set and tree a hash of the tree and its first values."""
+    out = np.empty((len(sign), TREES), np.int64)
+    for tree in range(TREES):
+        head = sign[:, (tree * (HASHES // TREES) + np.arange(FIRST)) % HASHES].astype(np.uint64)
+        cell = np.full(len(sign), tree + 1, np.uint64)
+        for j in range(FIRST):
+            cell = mixed(cell * _WORD[0] + head[:, j])
+        out[:, tree] = cell.view(np.int64)
+    return out
+
+
+def _packed_bits(sign: np.ndarray) -> np.ndarray:
+    """The 2-bit remainders of the values, four a byte."""
+    low = (sign & 3).astype(np.uint8).reshape(len(sign), -1, 4)
+    return (low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6).astype(np.uint8)
+
+
 TREE_DDL = "cell long, label binary, rep long, n int, bits binary"
 
 
@@ -137,19 +155,13 @@ def _tree_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
         rep = batch.column("rep").to_numpy()
         n = batch.column("n_shingles").to_numpy().astype(np.int32)
-        low = (sign & 3).astype(np.uint8).reshape(len(sign), -1, 4)
-        bits = (low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6).astype(np.uint8)
-        packed = pa.array([row.tobytes() for row in bits], pa.binary())
+        packed, cells = pa.array([row.tobytes() for row in _packed_bits(sign)], pa.binary()), _cells(sign)
         for tree in range(TREES):
             order = (tree * (HASHES // TREES) + np.arange(FIRST + DEEPER)) % HASHES
-            head = sign[:, order[:FIRST]].astype(np.uint64)
-            cell = np.full(len(sign), tree + 1, np.uint64)
-            for j in range(FIRST):
-                cell = mixed(cell * _WORD[0] + head[:, j])
             tail = (sign[:, order[FIRST:]] >> 16).astype(">u2")
             labels = pa.array([row.tobytes() for row in tail], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.view(np.int64)), labels, pa.array(rep), pa.array(n), packed],
+                [pa.array(cells[:, tree].copy()), labels, pa.array(rep), pa.array(n), packed],
                 names=["cell", "label", "rep", "n", "bits"])
 
 
@@ -232,6 +244,18 @@ def _edge_out(rows: pa.Table, cut: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["a", "b", "agree", "cut", *_ROW])
 
 
+def _counts_out(cell: np.ndarray) -> pa.RecordBatch:
+    """Sizes of the crowded cells of a slice, and of the first and last, which may go on elsewhere."""
+    cells, counts = np.unique(cell, return_counts=True)
+    take = counts > CROWD
+    take[[0, -1]] = True
+    n = int(take.sum())
+    empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+    return pa.RecordBatch.from_arrays(
+        [*empty, pa.array(cells[take]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()),
+         pa.array(counts[take].astype(np.int32)), pa.nulls(n, pa.binary())], names=["a", "b", "agree", "cut", *_ROW])
+
+
 def _candidate_task(percent: int, chunk: int = 50_000):
     """Walk a sorted partition in chunks of whole cells (a larger cell overlaps by ``CROWD`` rows)."""
 
@@ -252,19 +276,22 @@ def _candidate_task(percent: int, chunk: int = 50_000):
             whole = int(np.searchsorted(cell, cell[-1]))  # cells ascend
             if whole:
                 yield _pairs_out(*region_pairs(*_arrays(held.slice(0, whole)), percent))
+                yield _counts_out(cell[:whole])
                 held = held.slice(whole).combine_chunks()
             if len(held) > chunk:
                 yield _pairs_out(*region_pairs(*_arrays(held), percent))
+                yield _counts_out(held.column("cell").to_numpy())
                 held = held.slice(len(held) - CROWD).combine_chunks()
         if held is not None and len(held):
             yield _pairs_out(*region_pairs(*_arrays(held), percent))
+            yield _counts_out(held.column("cell").to_numpy())
             yield _edge_out(tail, here + 1)
 
     return run
 
 
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b, agree) of (rep, n_shingles, signature)."""
+def candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b, agree) of (rep, n_shingles, signature), and the crowded cells."""
     spark = reps.sparkSession
     trees = reps.select("rep", "n_shingles", "signature").mapInArrow(_tree_task, TREE_DDL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -279,8 +306,10 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
     # CROWD rows on either side of each cut between partitions
     seams = (found.where("cut is not null").select("cut", *_ROW).groupBy("cut")
              .applyInArrow(across, "a long, b long, agree int"))
-    pairs = found.where("cut is null").select("a", "b", "agree").union(seams)
-    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    pairs = found.where("a is not null").select("a", "b", "agree").union(seams)
+    crowded = (found.where("a is null and cut is null").groupBy("cell").agg(F.sum("n").alias("n"))
+               .where(F.col("n") > CROWD).select("cell"))
+    return pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), crowded
 
 
 def among(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
@@ -334,58 +363,122 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
                                         F.greatest("ca", "cb").alias("cb"))
 
 
-def _consensus(rows: pa.Table) -> pa.Table:
-    """The most frequent value at each place of a component's signatures; of a bounded sample of members."""
+def _cell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if len(batch):
+            sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_cells(sign).ravel()), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sign))),
+                 pa.array(np.repeat(batch.column("rep").to_numpy(), TREES))], names=["cell", "tree", "rep"])
+
+
+def block_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) in different components, one of each side of a block, that may reach the threshold and share no earlier cell."""
     sign = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-    out = np.empty(HASHES, np.uint32)
-    for j in range(HASHES):
-        values, counts = np.unique(sign[:, j], return_counts=True)
-        out[j] = values[counts.argmax()]
-    return pa.table({"component": rows.column("component").slice(0, 1), "common": pa.array([out.tobytes()], pa.binary())})
+    side, rep, component = (rows.column(c).to_numpy() for c in ("side", "rep", "component"))
+    n, main, tree = rows.column("n_shingles").to_numpy(), rows.column("main")[0].as_py(), rows.column("tree")[0].as_py()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    bits, cells, least = _packed_bits(sign), _cells(sign), enough(percent / 100)
+    a, b = [], []
+    for x in left:
+        y = right[(component[right] != component[x]) & ((component[right] == main) | (rep[right] > rep[x]))
+                  & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+        y = y[_agreeing(bits[y], bits[x]) >= least]
+        y = y[~(cells[y, :tree] == cells[x, :tree]).any(axis=1)]
+        a.append(np.full(len(y), rep[x]))
+        b.append(rep[y])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _block_task(percent: int):
+    """Blocks of a partition sorted by block; each lies in one partition."""
+
+    def out(rows: pa.Table) -> pa.RecordBatch:
+        a, b = block_pairs(rows, percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rows.column("block")[0].as_py(), np.int64)),
+                                           pa.array(a), pa.array(b)], names=["block", "a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            block = held.column("block").to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
+            for first, last in zip(starts[:-1], starts[1:]):
+                yield out(held.slice(first, last - first))
+            held = held.slice(starts[-1]).combine_chunks()
+        if held is not None:
+            yield out(held)
 
-def _agreement_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES)
-                for c in ("signature", "common")]
-        agree = (both[0] == both[1]).sum(axis=1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(agree)],
-                                         names=["node", "component", "agree"])
-
-
-def hubs(reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """(component, hub): up to ``HUBS`` members of each crowded component nearest to its most frequent values."""
-    big = comps.groupBy("component").count().where(F.col("count") > CROWD).select("component")
-    members = stored(comps.join(big, "component").join(
-        reps.select(F.col("rep").alias("node"), "signature"), "node"), "members")
-    some = Window.partitionBy("component").orderBy(F.xxhash64("node"), "node")
-    sample = members.withColumn("place", F.row_number().over(some)).where(F.col("place") <= HUB_SAMPLE)
-    common = stored(sample.select("component", "signature").groupBy("component").applyInArrow(
-        _consensus, "component long, common binary"), "consensus")
-    small = common.count() <= BROADCAST_SIGNATURES
-    near = members.join(F.broadcast(common) if small else common, "component").select(
-        "node", "component", "signature", "common").mapInArrow(_agreement_task, "node long, component long, agree int")
-    best = Window.partitionBy("component").orderBy(F.desc("agree"), "node")
-    return (near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS)
-            .select("component", F.col("node").alias("hub")))
-
-
-def beside_crowds(reps: DataFrame, pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a set and the hubs of each crowded component in which it has a candidate but no link."""
-    apart = pairs
-    for end in ("a", "b"):
-        part = comps.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        apart = apart.join(part, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    apart = apart.where("ca <> cb")
-    asked = apart.select(F.col("a").alias("node"), F.col("cb").alias("component")).union(
-        apart.select(F.col("b").alias("node"), F.col("ca").alias("component"))).distinct()
-    return asked.join(hubs(reps, comps), "component").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return run
+
+
+def links_of_block(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
+    """The pairs (a, b) that hold on the full sets (id, full) of their block."""
+    ids = sets.column("id").to_numpy()
+    order = np.argsort(ids)
+    full = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("full").combine_chunks()]
+    size = np.array([len(x) for x in full], np.int64)
+    end = np.cumsum(size)
+    shingle = np.unique(np.concatenate(full), return_inverse=True)[1]
+    place = lambda c: order[np.searchsorted(ids[order], pairs.column(c).to_numpy())]
+    a, b = place("a"), place("b")
+    mark = np.zeros(len(shingle) + 1, bool)
+    keep = np.zeros(len(a), bool)
+    by_a = np.argsort(a, kind="stable")
+    for same in np.split(by_a, np.flatnonzero(np.diff(a[by_a])) + 1):
+        x = a[same[0]]
+        own = shingle[end[x] - size[x]:end[x]]
+        mark[own] = True
+        common = np.concatenate([[0], np.cumsum(mark[shingle])])
+        y = b[same]
+        both = common[end[y]] - common[end[y] - size[y]]
+        keep[same] = 100 * both >= percent * (size[x] + size[y] - both)
+        mark[own] = False
+    return pairs.select(["a", "b"]).filter(pa.array(keep))
+
+
+def across_crowds(reps: DataFrame, texts: DataFrame, crowded: DataFrame, comps: DataFrame, percent: int,
+                  words_per_shingle: int) -> DataFrame | None:
+    """The links (a, b) of sets in different components that share a crowded cell; None without such cells."""
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_CELLS else df
+    members = stored(
+        reps.select("rep", "signature").mapInArrow(_cell_task, "cell long, tree int, rep long").join(small(crowded), "cell")
+        .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        .withColumn("component", F.coalesce("component", "rep")), "members")
+    cells = stored(
+        members.groupBy("cell", "component").count().groupBy("cell")
+        .agg(F.sum("count").alias("m"), F.max("count").alias("most"),
+             F.max_by("component", F.struct("count", "component")).alias("main"))
+        .where("most < m").select("cell", "main", F.ceil((F.col("m") - F.col("most")) / SIDE).cast("int").alias("high"),
+                                  F.ceil(F.col("m") / SIDE).cast("int").alias("wide")), "cells")
+    if cells.isEmpty():
+        return None
+    rows = members.join(small(cells), "cell").join(reps.select("rep", "n_shingles", "signature"), "rep")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    others = rows.where("component <> main").withColumn("j", every("wide")).withColumn("side", F.lit(0)).withColumn(
+        "i", F.pmod(F.xxhash64("rep"), F.col("high")).cast("int"))
+    whole = rows.withColumn("i", every("high")).withColumn("side", F.lit(1)).withColumn(
+        "j", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("wide")).cast("int"))
+    blocks_ = others.unionByName(whole).select(
+        F.xxhash64("cell", "i", "j").alias("block"), "side", "tree", "rep", "component", "main", "n_shingles", "signature")
+    pairs = stored(blocks_.repartition("block").sortWithinPartitions("block")
+                   .mapInArrow(_block_task(percent), "block long, a long, b long"), "pairs")
+    ends = stored(pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    sets = stored(among(texts, ends.select("id")).dropDuplicates(["doc_id"]).mapInArrow(
+        _set_task(words_per_shingle), "id long, full binary"), "sets")
+    return pairs.groupBy("block").cogroup(ends.join(sets, "id").groupBy("block")).applyInArrow(
+        lambda left, right: links_of_block(left, right, percent), "a long, b long")
 
 
 def linked(reps: DataFrame, texts: DataFrame, percent: int, words_per_shingle: int) -> DataFrame:
     """(node, component) of the sets that are linked with another one."""
-    pairs = stored(candidates(reps, percent), "pairs")
+    pairs, crowded = candidates(reps, percent)
+    pairs = stored(pairs, "pairs")
     ends = pairs.select("a").union(pairs.select("b"))
     needed = among(texts, ends).dropDuplicates(["doc_id"])
     sets = stored(needed.mapInArrow(_set_task(words_per_shingle), "id long, full binary"), "sets")
@@ -405,8 +498,9 @@ def linked(reps: DataFrame, texts: DataFrame, percent: int, words_per_shingle: i
 
     last = _apart(rest.join(second.select("a", "b"), ["a", "b"], "left_anti").drop("ca", "cb"), comps)
     # pairs within a component of the first round stay within one
-    wanted = last.select("a", "b").union(beside_crowds(reps, rest.select("a", "b"), comps)).distinct()
-    others = stored(confirmed(wanted, sets, percent), "links")
+    others = confirmed(last, sets, percent)
+    found = across_crowds(reps, texts, crowded, comps, percent, words_per_shingle)
+    others = stored(others if found is None else others.union(found), "links")
     return comps if others.isEmpty() else graph.components(links.union(others))
 
 
