@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake import session
-from tidewake.llm import decontamination, forest, language, packing, permutation, pii, secret_scan, sharding, tokens, toxicity
+from tidewake.llm import (
+    decontamination, divergence, forest, language, maxscore, merkle, packing, permutation, pii, secret_scan, sharding, tokens,
+    toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-# None of the ten can be stated in SQL over whole tables; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {}
+# The first ten cannot be stated in SQL over whole tables; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op11_slot_pivot_manifest": merkle.oracle(), "op12_maxscore": maxscore.ORACLE, "op13_cube_divergence": divergence.ORACLE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -88,3 +91,18 @@ def op9_combined_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=4, percent=80)
+
+
+@query
+def op11_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op13_cube_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
