@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tidewake.llm import forest, graph
+from tidewake.llm import crowds, forest, graph
 from tidewake.llm.queries import QUERIES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -88,6 +88,50 @@ def test_pairs_within_a_template_family(spark):
     assert result(forest.near_duplicates(docs, 1)) == components(texts, 1)
 
 
+def exact_links(sets, component, percent):
+    ids = sorted(sets)
+    return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1:] if component[a] != component[b]
+            and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("most", [20_000, 7])
+def test_prefixes_lose_no_link(spark, monkeypatch, most):
+    """Sets of many sizes around the threshold, in lists of one and of several parts."""
+    rng = random.Random(4)
+    sets, component = {}, {}
+    for i in range(150):
+        old = sets[rng.randrange(i)] if i and rng.random() < 0.7 else set(rng.sample(range(400), rng.randrange(1, 60)))
+        lost = rng.sample(sorted(old), rng.randrange(1 + len(old) // 5))
+        sets[i] = (old - set(lost)) | set(rng.sample(range(400), rng.randrange(1 + len(old) // 6)))
+        component[i] = rng.randrange(60)
+    monkeypatch.setattr(crowds, "LIST", most)
+    monkeypatch.setattr(crowds, "COMMON", 2)
+    rows = [(i, component[i], np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()]
+    df = spark.createDataFrame([(i, c, bytearray(f)) for i, c, f in rows], "id long, component long, full binary").repartition(3)
+    got = {tuple(r) for r in crowds.candidates(df, 80).collect()}
+    want = exact_links(sets, component, 80)
+    assert want and want <= got and len(got) < 150 * 149 / 8
+
+
+def test_a_family_of_thousands_makes_few_pairs(spark, monkeypatch):
+    """2000 sets of one template at a similarity of 0.66 and 300 at 0.9: no operator gives out rows by the square."""
+    rng = random.Random(1)
+    template = [f"t{i}" for i in range(150)]
+    texts = {}
+    for i in range(2300):
+        one = list(template)
+        for at in rng.sample(range(150), 4 if i < 300 else 30):
+            one[at] = f"x{rng.randrange(10**9)}"
+        texts[i] = " ".join(one)
+    seen = []
+    monkeypatch.setattr(forest.crowds, "candidates", lambda df, percent, f=forest.crowds.candidates: (
+        lambda out: seen.append(out.count()) or out)(f(df, percent)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in forest.near_duplicates(docs, 1).collect()}
+    assert [found[i] for i in range(300)] == [0] * 300 and all(found[i] == i for i in range(300, 2300))
+    assert seen[0] < 5_000
+
+
 def test_odd_rows(odd, none):
     got = forest.near_duplicates(odd, 4).collect()
     assert len(got) == 13

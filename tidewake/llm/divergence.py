@@ -38,7 +38,7 @@ SMOOTH = 5
 GROUPS = 16
 TERMS = 2048
 PIECE = 1 << 20
-HELD = 200_000
+HELD = 500_000
 RESULT = "lang string, source string, part string, item string, value long, rank int"
 
 # Every byte that is no part of a term becomes a space; A-Z become lower case.

@@ -12,12 +12,10 @@ A pair with similarity 0.8 shares 3 values in one tree of 32 but for one case in
 is found along its order only joins most of it; the rest is decided exactly below. A candidate must agree in enough 2-bit
 remainders of the values (five standard deviations of a pair at the threshold allowed for), and is confirmed on the full sets.
 
-Confirming moves whole sets, so it goes in rounds that skip what is connected already: each set's best candidate,
-the best candidate between each two components, then all others between different components. With these the
-crowded regions (more than ``CROWD`` sets with ``FIRST`` values in common) are gone through whole: all pairs of sets in different
-components, of each region those outside its largest component against all, in blocks of ``SIDE`` by ``SIDE`` sets that are spread
-over tasks. A pair is taken in the first tree that it shares a region of, and each block confirms its pairs on the full
-sets it holds once. This grows with the square of a region only where its sets are not connected.
+Confirming moves whole sets, so it goes in two rounds: each set's best candidate and its smallest likely one, which joins most of
+a large group, then what is still in different components, which are contracted to one node each. In the second round the crowded regions (more than ``CROWD`` sets with ``FIRST``
+values in common) are gone through whole: ``crowds.candidates`` finds all their pairs that may reach the threshold by
+prefixes of rare shingles, so a family on one template costs what its sets have in common beside the template.
 
 The order is range-partitioned by label and set, so a crowded region is spread over tasks; the rows on both sides of
 each cut are paired in a second, small job. Components come from ``graph.components``.
@@ -35,17 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm import graph
+from tidewake.llm import crowds, graph
 from tidewake.llm.common import LOWER, BYTE_VALUES, Hasher, blocks, mixed, raw, stored, strings, words
 
 HASHES, TREES = 128, 32
 FIRST, DEEPER = 3, 5
-CROWD, NEAR = 16, 8
+CROWD, NEAR = 16, 2
 BLOCK = 1 << 20
-SIDE = 256  # sets on either side of a block
 BROADCAST_IDS = 4_000_000  # ids of 8 bytes: 32 MB
 BROADCAST_CELLS = 500_000  # of 40 bytes: 20 MB
 
@@ -171,6 +168,11 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return HASHES - np.bitwise_count((differ | (differ >> 1)) & 0x55).sum(axis=1, dtype=np.int64)
 
 
+def expected(similarity: float) -> int:
+    """The expected agreement in 2-bit remainders of a pair with this similarity."""
+    return math.floor(HASHES * (similarity + (1 - similarity) / 4))
+
+
 def enough(similarity: float) -> int:
     """The least agreement in 2-bit remainders, five standard deviations below the expected one."""
     p = similarity + (1 - similarity) / 4
@@ -340,17 +342,17 @@ def _confirm_task(percent: int):
                 a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on the full sets (id, full)."""
-    return (pairs.select("a", "b")
+    """The pairs (a, b, ca, cb) that hold on the full sets (id, full)."""
+    return (pairs.select("a", "b", "ca", "cb")
             .join(sets.select(F.col("id").alias("a"), F.col("full").alias("full_a")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("full").alias("full_b")), "b")
-            .mapInArrow(_confirm_task(percent), "a long, b long"))
+            .mapInArrow(_confirm_task(percent), "a long, b long, ca long, cb long"))
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -359,8 +361,7 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         part = comps.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
         out = out.drop(f"c{end}").join(part, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return out.where("ca <> cb").select("a", "b", "agree", F.least("ca", "cb").alias("ca"),
-                                        F.greatest("ca", "cb").alias("cb"))
+    return out.where("ca <> cb").select("a", "b", "ca", "cb")
 
 
 def _cell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,136 +373,43 @@ def _cell_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.repeat(batch.column("rep").to_numpy(), TREES))], names=["cell", "tree", "rep"])
 
 
-def block_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) in different components, one of each side of a block, that may reach the threshold and share no earlier cell."""
-    sign = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
-    side, rep, component = (rows.column(c).to_numpy() for c in ("side", "rep", "component"))
-    n, main, tree = rows.column("n_shingles").to_numpy(), rows.column("main")[0].as_py(), rows.column("tree")[0].as_py()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    bits, cells, least = _packed_bits(sign), _cells(sign), enough(percent / 100)
-    a, b = [], []
-    for x in left:
-        y = right[(component[right] != component[x]) & ((component[right] == main) | (rep[right] > rep[x]))
-                  & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-        y = y[_agreeing(bits[y], bits[x]) >= least]
-        y = y[~(cells[y, :tree] == cells[x, :tree]).any(axis=1)]
-        a.append(np.full(len(y), rep[x]))
-        b.append(rep[y])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
-
-
-def _block_task(percent: int):
-    """Blocks of a partition sorted by block; each lies in one partition."""
-
-    def out(rows: pa.Table) -> pa.RecordBatch:
-        a, b = block_pairs(rows, percent)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rows.column("block")[0].as_py(), np.int64)),
-                                           pa.array(a), pa.array(b)], names=["block", "a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            block = held.column("block").to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
-            for first, last in zip(starts[:-1], starts[1:]):
-                yield out(held.slice(first, last - first))
-            held = held.slice(starts[-1]).combine_chunks()
-        if held is not None:
-            yield out(held)
-
-    return run
-
-
-def links_of_block(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
-    """The pairs (a, b) that hold on the full sets (id, full) of their block."""
-    ids = sets.column("id").to_numpy()
-    order = np.argsort(ids)
-    full = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.column("full").combine_chunks()]
-    size = np.array([len(x) for x in full], np.int64)
-    end = np.cumsum(size)
-    shingle = np.unique(np.concatenate(full), return_inverse=True)[1]
-    place = lambda c: order[np.searchsorted(ids[order], pairs.column(c).to_numpy())]
-    a, b = place("a"), place("b")
-    mark = np.zeros(len(shingle) + 1, bool)
-    keep = np.zeros(len(a), bool)
-    by_a = np.argsort(a, kind="stable")
-    for same in np.split(by_a, np.flatnonzero(np.diff(a[by_a])) + 1):
-        x = a[same[0]]
-        own = shingle[end[x] - size[x]:end[x]]
-        mark[own] = True
-        common = np.concatenate([[0], np.cumsum(mark[shingle])])
-        y = b[same]
-        both = common[end[y]] - common[end[y] - size[y]]
-        keep[same] = 100 * both >= percent * (size[x] + size[y] - both)
-        mark[own] = False
-    return pairs.select(["a", "b"]).filter(pa.array(keep))
-
-
-def across_crowds(reps: DataFrame, texts: DataFrame, crowded: DataFrame, comps: DataFrame, percent: int,
-                  words_per_shingle: int) -> DataFrame | None:
-    """The links (a, b) of sets in different components that share a crowded cell; None without such cells."""
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_CELLS else df
-    members = stored(
-        reps.select("rep", "signature").mapInArrow(_cell_task, "cell long, tree int, rep long").join(small(crowded), "cell")
-        .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep")), "members")
-    cells = stored(
-        members.groupBy("cell", "component").count().groupBy("cell")
-        .agg(F.sum("count").alias("m"), F.max("count").alias("most"),
-             F.max_by("component", F.struct("count", "component")).alias("main"))
-        .where("most < m").select("cell", "main", F.ceil((F.col("m") - F.col("most")) / SIDE).cast("int").alias("high"),
-                                  F.ceil(F.col("m") / SIDE).cast("int").alias("wide")), "cells")
-    if cells.isEmpty():
-        return None
-    rows = members.join(small(cells), "cell").join(reps.select("rep", "n_shingles", "signature"), "rep")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    others = rows.where("component <> main").withColumn("j", every("wide")).withColumn("side", F.lit(0)).withColumn(
-        "i", F.pmod(F.xxhash64("rep"), F.col("high")).cast("int"))
-    whole = rows.withColumn("i", every("high")).withColumn("side", F.lit(1)).withColumn(
-        "j", F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("wide")).cast("int"))
-    blocks_ = others.unionByName(whole).select(
-        F.xxhash64("cell", "i", "j").alias("block"), "side", "tree", "rep", "component", "main", "n_shingles", "signature")
-    pairs = stored(blocks_.repartition("block").sortWithinPartitions("block")
-                   .mapInArrow(_block_task(percent), "block long, a long, b long"), "pairs")
-    ends = stored(pairs.select("block", F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    sets = stored(among(texts, ends.select("id")).dropDuplicates(["doc_id"]).mapInArrow(
-        _set_task(words_per_shingle), "id long, full binary"), "sets")
-    return pairs.groupBy("block").cogroup(ends.join(sets, "id").groupBy("block")).applyInArrow(
-        lambda left, right: links_of_block(left, right, percent), "a long, b long")
+def in_live_cells(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, component) of the members (cell, rep) of cells with more than one component."""
+    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "cell", "rep", F.coalesce("component", "rep").alias("component"))
+    live = (placed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .where("low < high").select("cell"))
+    return placed.join(live, "cell").select(F.col("rep").alias("id"), "component").distinct()
 
 
 def linked(reps: DataFrame, texts: DataFrame, percent: int, words_per_shingle: int) -> DataFrame:
     """(node, component) of the sets that are linked with another one."""
     pairs, crowded = candidates(reps, percent)
     pairs = stored(pairs, "pairs")
-    ends = pairs.select("a").union(pairs.select("b"))
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded
+    members = stored(reps.select("rep", "signature").mapInArrow(_cell_task, "cell long, tree int, rep long")
+                     .select("cell", "rep").join(crowded, "cell"), "members")
+    ends = pairs.select("a").union(pairs.select("b")).union(members.select("rep"))
     needed = among(texts, ends).dropDuplicates(["doc_id"])
     sets = stored(needed.mapInArrow(_set_task(words_per_shingle), "id long, full binary"), "sets")
 
-    best = Window.partitionBy("end").orderBy(F.desc("agree"), "a", "b")
-    first = (pairs.withColumn("end", F.explode(F.array("a", "b")))
-             .withColumn("place", F.row_number().over(best)).where("place = 1").select("a", "b").distinct())
-    links = stored(confirmed(first, sets, percent), "links")
-    comps = stored(graph.components(links), "components")
-
-    rest = stored(_apart(pairs, comps), "rest")
-    between = Window.partitionBy("ca", "cb").orderBy(F.desc("agree"), "a", "b")
-    second = rest.withColumn("place", F.row_number().over(between)).where("place = 1")
-    more = stored(confirmed(second, sets, percent), "links")
-    links = links.union(more)
-    comps = stored(graph.components(links), "components")
-
-    last = _apart(rest.join(second.select("a", "b"), ["a", "b"], "left_anti").drop("ca", "cb"), comps)
-    # pairs within a component of the first round stay within one
-    others = confirmed(last, sets, percent)
-    found = across_crowds(reps, texts, crowded, comps, percent, words_per_shingle)
-    others = stored(others if found is None else others.union(found), "links")
-    return comps if others.isEmpty() else graph.components(links.union(others))
+    end = F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("b").alias("other")),
+                            F.struct(F.col("b").alias("end"), F.col("a").alias("other"))))
+    likely = F.when(F.col("agree") >= expected(percent / 100), F.col("e.other"))
+    picked = pairs.select(end.alias("e"), "agree").groupBy("e.end").agg(
+        F.max_by("e.other", F.struct("agree", -F.col("e.other"))).alias("best"), F.min(likely).alias("low"))
+    first = (picked.select("end", F.explode(F.array("best", "low")).alias("other")).where("other is not null")
+             .select(F.least("end", "other").alias("a"), F.greatest("end", "other").alias("b")).distinct()
+             .select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    comps = stored(graph.components(confirmed(first, sets, percent).select("a", "b")), "components")
+
+    crowd = stored(sets.join(in_live_cells(members, comps), "id"), "crowd")
+    rest = pairs.select("a", "b").union(crowds.candidates(crowd, percent)).distinct()
+    links = confirmed(stored(_apart(rest, comps), "rest"), sets, percent)
+    joined = stored(graph.components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "joined")
+    onward = joined.select(F.col("node").alias("component"), F.col("component").alias("last"))
+    return (comps.join(onward, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+            .union(joined.join(comps, "node", "left_anti").select("node", "component")))
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80,
