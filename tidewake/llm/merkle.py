@@ -141,7 +141,8 @@ def manifest(docs: DataFrame) -> DataFrame:
         F.when(F.col("lang").isNull(), "0").otherwise(F.concat(F.lit("1"), "lang")).alias("g"),
         leaf(F.col("text")).alias("h"), F.when(hit, leaf(lower_ascii("text"))).alias("tampered"),
         F.monotonically_increasing_id().alias("tie"))  # splits runs of equal rows over range partitions
-    leaves = placed(leaves, "g", "doc_id", "h", "tie").drop("tie").withColumn("tampered", F.coalesce("tampered", "h"))
+    # written first: the range partitioning samples its input, and the texts are to be read once
+    leaves = placed(stored(leaves, "leaves"), "g", "doc_id", "h", "tie").drop("tie").withColumn("tampered", F.coalesce("tampered", "h"))
     most = leaves.agg(F.max("n")).first()[0]
     if most is None:
         return docs.sparkSession.createDataFrame([], RESULT)
