@@ -167,9 +167,12 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, group_block: int = GROU
     # ids ascend with the UTF-8 bytes of terms and sources, so ties are settled by id
     kept = numbered(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("all"))
                     .where(F.col("docs") >= least_docs).select("lang", "term", "all"), "term_id", "lang", "term")
-    langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("all").alias("lang_total"))
-    found = stored(counts.select("lang", "source", "term", "count").join(kept, ["lang", "term"])
-                   .select("lang", "source", "term_id", "count", "all"), "found")
+    langs = stored(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("all").alias("lang_total"))
+                   .withColumn("deep", F.ceil(F.col("kept") / term_block).cast("int")), "langs")
+    # every language has as many term blocks as its own terms fill
+    dealt = kept.join(langs.select("lang", "deep"), "lang").withColumn("t", F.pmod(F.xxhash64("term_id"), F.col("deep")).cast("int"))
+    found = stored(counts.select("lang", "source", "term", "count").join(dealt.drop("deep"), ["lang", "term"])
+                   .select("lang", "source", "term_id", "count", "all", "t"), "found")
     groups = (docs.select("lang", "source").distinct()
               .join(found.groupBy("lang", "source").agg(F.sum("count").alias("total")), ["lang", "source"], "left")
               .withColumn("total", F.coalesce("total", F.lit(0))))
@@ -178,7 +181,6 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, group_block: int = GROU
     if most is None:
         return docs.sparkSession.createDataFrame([], RESULT)
     wide = math.ceil(most / group_block)
-    deep = max(1, math.ceil((langs.agg(F.max("kept")).first()[0] or 0) / term_block))
 
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -195,11 +197,14 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, group_block: int = GROU
         return out.select("lang", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"), "t",
                           side.alias("side"), *[c for c in out.columns if c not in ("lang", "i", "t", "other")])
 
-    sizes = kept.groupBy("lang", block("term_id", deep).alias("t")).count().join(langs, "lang").withColumn("i", every(wide))
-    names = groups.withColumn("i", block("source_id", wide)).withColumn("t", every(deep))
+    sizes = dealt.groupBy("lang", "t").count().join(langs, "lang").withColumn("i", every(wide))
+    # a language without terms still has one layer of cells
+    depth = F.greatest(F.coalesce("deep", F.lit(1)), F.lit(1))
+    names = groups.join(langs.select("lang", "deep"), "lang", "left").withColumn("i", block("source_id", wide)).withColumn(
+        "t", F.explode(F.sequence(F.lit(0), depth - 1)))
     # the slices carry a source by its number; their join is on (lang, source)
     slices = found.join(groups.select("lang", "source", "source_id"), ["lang", "source"]).withColumn(
-        "i", block("source_id", wide)).withColumn("t", block("term_id", deep))
+        "i", block("source_id", wide))
     cells = rows(sizes, 0, count="count", kept="kept", all_="lang_total").where("side = 0").union(
         rows(names, 1, source="source_id", total="total")).union(
         rows(slices, 2, source="source_id", term="term_id", count="count", all_="all"))
