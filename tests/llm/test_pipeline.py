@@ -46,3 +46,12 @@ def test_odd_and_empty_documents(spark, sf, odd, none):
             if name != "packing":
                 assert docs.columns == columns
         assert docs.count() >= least
+
+
+def test_a_corpus_without_any_label_keeps_its_texts(spark, sf, documents):
+    """Nothing can be learned, so nothing is rejected but texts without letters."""
+    docs = documents.withColumn("lang", F.lit(None).cast("string")).union(
+        spark.createDataFrame([(-1, "123 !", None, "s", 5), (-2, None, None, "s", 0), (-3, "слово", None, "s", 5)], documents.schema))
+    got = {r.doc_id for r in corpus_pipeline.identify(spark, docs, sf).select("doc_id").collect()}
+    want = {r.doc_id for r in docs.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
+    assert got == want and -3 in got

@@ -272,9 +272,12 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
 
 
 def in_a_language(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all their columns, whose text fits its language and has a score of ``least`` or more."""
+    """Rows of ``docs``, all their columns, whose text fits its language and has a score of ``least`` or more.
+
+    Without a model, as no row had a label to learn from, every text with a letter stays.
+    """
     if model is None:
-        return docs.limit(0)
+        return docs.where(F.rlike(F.col(text_col), F.lit(r"\p{L}")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Predictor(model)
