@@ -1,5 +1,5 @@
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,7 +146,7 @@ def stored(spark, home):
     state, track = f"{home}/state", f"{home}/track"
     vessels = [vessel("a", seen=T0), vessel("b", seen=T0 - minutes(50)), vessel("c", seen=T0 - minutes(60 * 30)),
                vessel("d", seen=T0 - minutes(50), status="STALE")]
-    tables.write_state_delta(state_df(spark, vessels), state, "r", 0)
+    tables.append_state(state_df(spark, vessels), state)
     rows = [event(event_id=str(i), event_time=feed_time(T0 - minutes(20 * i))) for i in range(90)]
     tables.append_track_rows(st.build_track_rows(events_df(spark, rows), T0), track)
     return state, track
@@ -167,49 +167,77 @@ def test_retention_cycle(spark, tmp_path):
     assert again == {"dry_run": False, "track_deleted": 0, "stale_marked": 0}
 
 
-def test_state_versions(spark, tmp_path):
+def arrived(spark, number, *rows):
+    """States that arrived one after the other, from ``number`` on."""
+    df = state_df(spark, rows)
+    place = {r[0]: number + i for i, r in enumerate(rows)}
+    at = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])[F.col("mmsi")].cast("double")
+    return df.withColumn("_arrival", F.struct(at.alias("ingested_at"), F.col("mmsi").alias("event_id")))
+
+
+def speeds(spark, path):
+    return {r.mmsi: r.sog_knots for r in tables.read_state(spark, path).collect()}
+
+
+def test_appended_states(spark, tmp_path):
     path = str(tmp_path / "state")
     assert tables.read_state(spark, path).count() == 0
-
-    def put(run, batch, *rows):
-        return tables.write_state_delta(state_df(spark, rows), path, run, batch)
-
-    def now():
-        return {r.mmsi: r.sog_knots for r in tables.read_state(spark, path).collect()}
-
-    def clean_up(change=lambda df: df):
-        frame, upto = tables.state_snapshot(spark, path)
-        tables.write_state_base(spark, path, change(frame), upto)
-
-    assert put("r", 0, vessel("a", sog=1.0), vessel("b", sog=1.0))
-    assert put("r", 1, vessel("a", sog=2.0))
-    assert now() == {"a": 2.0, "b": 1.0}
-    assert not put("r", 1, vessel("a", sog=2.0))  # a replayed batch is not stored twice
-    frame, upto = tables.state_snapshot(spark, path)
-    put("r", 2, vessel("b", sog=9.0))  # arrives while the clean-up is running
-    tables.write_state_base(spark, path, frame.filter("mmsi <> 'a'"), upto)
-    assert now() == {"b": 9.0}
-    clean_up()
-    clean_up()
-    # A new checkpoint begins with batch 0 again; the table goes on.
-    assert put("s", 0, vessel("c", sog=3.0)) and put("s", 1, vessel("b", sog=4.0))
-    assert now() == {"b": 4.0, "c": 3.0}
-    clean_up()
-    assert put("t", 0, vessel("d", sog=5.0))
-    assert now() == {"b": 4.0, "c": 3.0, "d": 5.0}
-    assert len([f for f in paths.folders(spark, path) if f.startswith("base")]) == 2
+    for number, rows in ((1, [vessel("a", sog=1.0), vessel("b", sog=1.0)]), (3, [vessel("a", sog=2.0)])):
+        tables.append_state(arrived(spark, number, *rows), path)
+    assert speeds(spark, path) == {"a": 2.0, "b": 1.0}
+    for number, rows in ((3, [vessel("a", sog=2.0)]), (1, [vessel("a", sog=1.0)])):  # replays, in any order
+        tables.append_state(arrived(spark, number, *rows), path)
+    assert speeds(spark, path) == {"a": 2.0, "b": 1.0}
     with pytest.raises(ValueError):
-        tables.write_state_delta(state_df(spark, []), path, "t", 1, "event_time")
+        tables.append_state(state_df(spark, []), path, "event_time")
+
+
+def test_a_purged_vessel_stays_away_until_it_reports_again(spark, tmp_path):
+    path, track = str(tmp_path / "state"), str(tmp_path / "track")
+    old = vessel("a", sog=1.0, seen=T0 - minutes(60 * 30))
+    tables.append_state(arrived(spark, 1, old, vessel("b", sog=1.0, seen=T0)), path)
+    tables.append_state(arrived(spark, 5, vessel("c", sog=5.0, seen=T0)), path)
+    assert retention.run_retention(spark, path, track, T0, purge_hours=24)["stale_purged"] == 1
+    tables.append_state(arrived(spark, 1, old), path)  # a replay of what was purged
+    assert speeds(spark, path) == {"b": 1.0, "c": 5.0}
+    assert retention.run_retention(spark, path, track, T0, purge_hours=24)["stale_purged"] == 0
+    tables.append_state(arrived(spark, 9, vessel("a", sog=9.0, seen=T0)), path)
+    assert speeds(spark, path) == {"a": 9.0, "b": 1.0, "c": 5.0}
+
+
+def test_old_hours_are_carried_and_dropped(spark, tmp_path):
+    path = str(tmp_path / "state")
+    now = datetime.now(timezone.utc)
+    late = vessel("p", sog=1.0, seen=T0 - minutes(60 * 30))
+    hours = [now - timedelta(hours=h) for h in (300, 7, 6, 1)]
+    tables.append_state(arrived(spark, 1, vessel("a", sog=1.0), vessel("b", sog=1.0), late), path, now=hours[0])
+    tables.append_state(arrived(spark, 5, vessel("a", sog=5.0)), path, now=hours[1])
+    marked = retention.aged_states(tables.state_snapshot(spark, path), T0, purge_hours=24)
+    assert {r["mmsi"]: r["_mark"] for r in marked.collect()} == {"p": tables.PURGED}
+    tables.append_state(marked, path, now=hours[2])
+    tables.append_state(arrived(spark, 7, vessel("c", sog=7.0)), path, now=hours[3])
+    want = {"a": 5.0, "b": 1.0, "c": 7.0}
+    assert speeds(spark, path) == want
+    assert len(tables.carry_state(spark, path, now)) == 3
+    assert speeds(spark, path) == want and len(paths.folders(spark, f"{path}/order=arrival")) == 2
+    tables.append_state(arrived(spark, 3, late), path, now=now)  # replayed within the days of its mark
+    assert speeds(spark, path) == want
+    # a clean-up that stopped before it dropped the old hours: its rows are there twice
+    tables.append_state(tables.state_snapshot(spark, path, purged=True), path, now=now)
+    assert speeds(spark, path) == want
+    assert tables.carry_state(spark, path, now) == [] and tables.carry_state(spark, path, now + timedelta(days=9))
+    assert speeds(spark, path) == want
+    assert spark.read.parquet(path).count() == 3  # the mark is gone too
 
 
 def test_clean_up_keeps_the_order_by_event_time(spark, tmp_path):
     path, track = str(tmp_path / "state"), str(tmp_path / "track")
-    for batch, (seen, sog) in enumerate([(T0, 30.0), (T0 - minutes(9), 1.0)]):
-        tables.write_state_delta(state_df(spark, [vessel("a", seen=seen, sog=sog)]), path, "r", batch, "event_time")
+    for seen, sog in ((T0, 30.0), (T0 - minutes(9), 1.0)):
+        tables.append_state(state_df(spark, [vessel("a", seen=seen, sog=sog)]), path, "event_time")
     assert tables.read_state(spark, path).first().sog_knots == 30.0
     retention.run_retention(spark, path, track, T0 + minutes(5))
     assert tables.read_state(spark, path).first().sog_knots == 30.0
-    tables.write_state_delta(state_df(spark, [vessel("a", seen=T0 - minutes(1), sog=2.0)]), path, "s", 0, "event_time")
+    tables.append_state(state_df(spark, [vessel("a", seen=T0 - minutes(1), sog=2.0)]), path, "event_time")
     assert tables.read_state(spark, path).first().sog_knots == 30.0
 
 
@@ -217,8 +245,7 @@ def test_arrival_decides_whatever_the_batches(spark, tmp_path):
     path = str(tmp_path / "state")
     rows = [event(event_id=f"e{i}", ingested_at=ARRIVED + i, sog_knots=float(i)) for i in range(4)]
     for batch, i in enumerate((2, 3, 0, 1)):
-        delta = st.current_state(events_df(spark, [rows[i]]), T0, with_arrival=True)
-        tables.write_state_delta(delta, path, "r", batch)
+        tables.append_state(st.current_state(events_df(spark, [rows[i]]), T0, with_arrival=True), path)
         if batch == 1:
             retention.run_retention(spark, path, str(tmp_path / "track"), T0)
     assert tables.read_state(spark, path).first().sog_knots == 3.0

@@ -2,6 +2,7 @@ import math
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,35 @@ def test_display_text(spark):
     assert one(spark, vessel.icon_rotation(F.lit(None).cast("double"), F.lit(3.0))) == 3.0
 
 
+def vincenty(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Vincenty's inverse formula on arrays: what the closed form is checked against."""
+    a, f = geo.WGS84_A, geo.WGS84_F
+    b = a * (1 - f)
+    u1 = np.arctan((1 - f) * np.tan(np.radians(lat1)))
+    u2 = np.arctan((1 - f) * np.tan(np.radians(lat2)))
+    ell = np.radians(lon2 - lon1)
+    lam = ell.copy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(40):
+            sin_s = np.hypot(np.cos(u2) * np.sin(lam),
+                             np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
+            cos_s = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
+            sigma = np.arctan2(sin_s, cos_s)
+            sin_al = np.where(sin_s == 0, 0.0, np.cos(u1) * np.cos(u2) * np.sin(lam) / sin_s)
+            cos2_al = 1 - sin_al**2
+            cos_2m = np.where(cos2_al == 0, 0.0, cos_s - 2 * np.sin(u1) * np.sin(u2) / cos2_al)
+            c = f / 16 * cos2_al * (4 + f * (4 - 3 * cos2_al))
+            lam = ell + (1 - c) * f * sin_al * (
+                sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m**2 - 1)))
+        k2 = cos2_al * (a**2 - b**2) / b**2
+        big_a = 1 + k2 / 16384 * (4096 + k2 * (-768 + k2 * (320 - 175 * k2)))
+        big_b = k2 / 1024 * (256 + k2 * (-128 + k2 * (74 - 47 * k2)))
+        delta = big_b * sin_s * (cos_2m + big_b / 4 * (
+            cos_s * (2 * cos_2m**2 - 1)
+            - big_b / 6 * cos_2m * (4 * sin_s**2 - 3) * (4 * cos_2m**2 - 3)))
+    return np.where(sin_s == 0, 0.0, b * big_a * (sigma - delta))
+
+
 def test_distances_against_vincenty(spark):
     rng = random.Random(5)
     rows = [(1.0, 2.0, 1.0, 2.0)]
@@ -173,11 +203,11 @@ def test_distances_against_vincenty(spark):
         rows.append((lat, lon, max(-85, min(85, lat + rng.uniform(-k, k))), lon + rng.uniform(-k, k)))
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
     df = geo.with_geodesic(df, "staged", "a", "b", "c", "d")
-    df = df.select("staged", *[geo.geodesic_m("a", "b", "c", "d", m).alias(m)
-                               for m in ("lambert", "haversine", "vincenty")])
+    df = df.select("staged", *[geo.geodesic_m("a", "b", "c", "d", m).alias(m) for m in ("lambert", "haversine")], "a", "b", "c", "d")
     rows = df.collect()
-    assert tuple(rows[0]) == (0.0, 0.0, 0.0, 0.0)
-    for r in rows[1:]:
-        assert abs(r["lambert"] - r["vincenty"]) <= 2e-6 * r["vincenty"] + 1e-6
-        assert abs(r["haversine"] - r["vincenty"]) <= 6e-3 * r["vincenty"] + 1e-6
+    assert tuple(rows[0])[:3] == (0.0, 0.0, 0.0)
+    exact = vincenty(*np.array([[r[c] for r in rows] for c in "abcd"]))
+    for r, metres in list(zip(rows, exact))[1:]:
+        assert abs(r["lambert"] - metres) <= 2e-6 * metres + 1e-6
+        assert abs(r["haversine"] - metres) <= 6e-3 * metres + 1e-6
         assert abs(r["staged"] - r["lambert"]) < 1e-9 * (1 + r["lambert"])

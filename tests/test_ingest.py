@@ -1,9 +1,11 @@
 import json
+import random
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from tests.helpers import ABSENT, ARRIVED, T0, VESSEL, event, events_df, feed_time, frame, frames_df, meta, position
+from tidewake.functions import frames as fr
 from tidewake.functions import times
 from tidewake.operators import ingest as ing
 from tidewake.sources import frames as fs
@@ -173,3 +175,30 @@ def test_subscription_boxes(spark):
     assert fs.filter_subscription(df).count() == 2
     boxes = [[[0.0, 100.0], [2.0, 104.0]], [[60.0, 0.0], [55.0, 1.0]]]
     assert [r.latitude for r in fs.filter_subscription(df, boxes).collect()] == [1.0]
+
+
+def test_typed_reading_equals_variant_reading(spark, monkeypatch):
+    """Whatever the kinds of a frame's values, both tiers give the same fields and errors."""
+    rng = random.Random(12)
+    odd = [None, True, False, 0, 1, 7, -1, 2.5, "3", "x", "true", "12 knots", "", [1], {"a": 1}, 1e300, "NaN", ABSENT, "[x", 91, 181.5]
+    frames = []
+    for _ in range(700):
+        report = position(lat=rng.uniform(-95, 95), lon=rng.uniform(-185, 185), turn=rng.choice([-128, 20, 0]))
+        about = meta(mmsi=rng.choice([211000009, "211000009", 2.5, "007", VESSEL]))
+        for part in (report, about):
+            for key in rng.sample(sorted(part), rng.choice([0, 0, 1, 2])):
+                value = rng.choice(odd)
+                part.pop(key) if value is ABSENT else part.update({key: value})
+        f = frame(kind=rng.choice(["PositionReport"] * 9 + ["VoyageData", None, 5]), about=about, report=report)
+        text = json.dumps(f)
+        frames.append(rng.choice([text] * 12 + [text.replace('"', "'"), text + " x", text[:-1], f"[{text}]", text.replace(": ", " :\n")]))
+    df = frames_df(spark, frames)
+
+    def both():
+        fields = fr.with_errors(fr.with_fields(df)).drop("frame", "_typed", "_certain")
+        return [str(r) for r in fields.orderBy("n").collect()]
+
+    certain = fr.with_fields(df).where("frame is null and _is_frame").count()
+    typed = both()
+    monkeypatch.setattr(fr, "_plain", lambda report, about: F.lit(False))
+    assert both() == typed and 50 < certain < 600

@@ -47,6 +47,58 @@ def test_nothing_to_rank(spark):
     assert rk.interpolated(df, "latency", 0.5).first()[0] is None
 
 
+def test_ordered_bits_are_those_of_the_format(spark):
+    import struct
+
+    rng = random.Random(9)
+    values = [0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), 1.0,
+              0.9999999999999999, 2.0, 1.9999999999999998]
+    values += [2.0**e for e in range(-1074, 1024)] + [2.0**e * (2 - 2**-52) for e in range(-1022, 1023)]
+    values += [struct.unpack("d", struct.pack("q", rng.getrandbits(63)))[0] for _ in range(5000)]
+    values = [v for v in values if v == v]
+    df = spark.createDataFrame([(v,) for x in values for v in (x, -x)], "v double")
+    for r in rk.with_ordered_bits(df, "v").collect():
+        bits = struct.unpack("q", struct.pack("d", abs(r.v)))[0]
+        assert r.bits == (-bits if r.v < 0 else bits), r
+    nan = rk.with_ordered_bits(spark.createDataFrame([(float("nan"),)], "v double"), "v").first().bits
+    assert nan > struct.unpack("q", struct.pack("d", float("inf")))[0]
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_negative_and_infinite_values(spark, monkeypatch, many):
+    if many:  # settle a digit more
+        seen = type("Seen", (), {"get": {"n": 1 << 30}})
+        monkeypatch.setattr(rk, "counted", lambda df: (df, seen))
+    rng = random.Random(3)
+    values = [rng.uniform(-5, 5) for _ in range(300)] + [float("-inf"), float("inf"), -0.0, 0.0, 1e300, -1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    ranks = {str(k): F.lit(k) for k in (0, 1, 2, 150, 151, 152, 303, 304, 305)}
+    got = {r.k: r.value for r in rk.rank_select(df, "v", ranks).collect()}
+    assert got == {int(k): sorted(values)[int(k)] for k in ranks}
+
+
+def test_the_input_is_scanned_twice(spark, tmp_path):
+    """Two scans in all, whatever the values; the rest works on the slots that hold a rank."""
+    df = spark.range(50_000).select((F.rand(3) * 1000).alias("latency"))
+    df.write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    seen = []
+    original = type(stored).collect
+
+    def spy(self):
+        seen.append(self._jdf.queryExecution().executedPlan().toString())
+        return original(self)
+
+    type(stored).collect = spy
+    try:
+        got = {r.rank_name: r.value for r in latency_ranks(stored).collect()}
+    finally:
+        type(stored).collect = original
+    values = sorted(r.latency for r in stored.collect())
+    assert got == {"p50": values[25_000], "p95": values[47_500]}
+    assert sum(str(tmp_path) in plan for plan in seen) == 1  # and once more in the write of the slots
+
+
 def test_plan_is_flat(spark):
     df = spark.createDataFrame([(float(i),) for i in range(100)], "latency double")
     plan = latency_ranks(df)._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,4 @@
 import json
-from datetime import datetime, timedelta, timezone
-
 import pytest
 
 from tests.helpers import ARRIVED, T0, feed_time, frame, meta, minutes, position
@@ -131,18 +129,6 @@ def test_state_goes_on_after_clean_up_and_new_checkpoint(spark, pipeline):
     assert got == {**want, "299999999": 100.0}
 
 
-def test_log_topics_are_kept_for_their_own_time(spark, pipeline):
-    home, _, _ = pipeline
-    path = str(home / "log")
-    before = log.read_records(spark, path).groupBy("topic").count().collect()
-    now = datetime.now(timezone.utc)
-    assert len(before) == 2 and log.expire_log(spark, path, now + timedelta(hours=71)) == []
-    gone = log.expire_log(spark, path, now + timedelta(hours=73))
-    assert gone and all(g.startswith("topic=ais.raw/") for g in gone)
-    assert [r.topic for r in log.read_records(spark, path).select("topic").distinct().collect()] == ["ais.dlq"]
-    assert log.expire_log(spark, path, now + timedelta(hours=169))
-
-
 def memory(query_df, name, mode, checkpoint):
     q = (query_df.writeStream.format("memory").queryName(name).outputMode(mode)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

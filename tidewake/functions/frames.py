@@ -1,9 +1,9 @@
-"""Reading raw position frames as VARIANT: key presence, JSON kinds and the validation rules."""
+"""Reading raw position frames, typed or as VARIANT: key presence, JSON kinds and the validation rules."""
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,16 +77,48 @@ META, POSITION = "$.MetaData", "$.Message.PositionReport"
 NUMBER_LIMITS = {"Latitude": (-90.0, 90.0), "Longitude": (-180.0, 180.0), "Sog": (0.0, None)}
 
 
+# What a typed read of a position report asks for; flags as text, since the feed sends numbers as well as booleans.
+_NUMBERS = POSITION_KEYS + ["TrueHeading", "RateOfTurn"]
+TYPED = ("MessageType string, MetaData struct<MMSI: string, ShipName: string, time_utc: string>, "
+         "Message struct<PositionReport: struct<NavigationalStatus: int, PositionAccuracy: string, Raim: string, "
+         + ", ".join(f"{k}: double" for k in _NUMBERS) + ">>")
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+# Text that a typed read also gives for JSON values that are no strings.
+_NO_STRING = r"^\s*(-?[0-9]|\[|\{|true\s*$|false\s*$)"
+_QUOTED_FLAG = r'"(PositionAccuracy|Raim)"\s*:\s*"'
+
+
+def _plain(report: Column, meta: Column) -> Column:
+    """A valid position report whose typed fields are certain: no required value is null and no kind is in doubt."""
+    def finite(key: str) -> Column:
+        return F.abs(report[key]) < float("inf")
+
+    def flag(key: str) -> Column:
+        return F.coalesce(report[key].isin("true", "false", "0", "1"), F.lit(True))
+
+    limits = [report[k] >= low if high is None else report[k].between(low, high) for k, (low, high) in NUMBER_LIMITS.items()]
+    certain = [F.col("_typed.MessageType") == POSITION_REPORT, meta["MMSI"].rlike("^[0-9]{1,18}$"), F.col("_typed_ts").isNotNull(),
+               *limits, *[finite(k) for k in ("Sog", "Cog", "TrueHeading", "RateOfTurn")], report["NavigationalStatus"].isNotNull(),
+               meta["ShipName"].isNull() | ~meta["ShipName"].rlike(_NO_STRING), flag("PositionAccuracy"), flag("Raim"),
+               ~F.col("value").rlike(_QUOTED_FLAG)]
+    return F.coalesce(reduce(and_, certain), F.lit(False))
+
+
 def with_fields(frames: DataFrame) -> DataFrame:
     """Adds the parsed frame's fields as plain scalars.
 
-    The text is parsed once per row (a projection of its own that the next one refers to), and
-    only scalars travel on: a VARIANT leaf would carry the key dictionary of the whole frame.
-    ``_has_K`` tells presence, which a typed read cannot; ``_plain_K`` tells that a number is not
+    Two tiers: a typed read gives the fields of plain position reports, nearly all frames. Only where a required value is
+    missing, out of its limits or of a doubtful kind, the text is parsed as VARIANT (``frame``, else NULL unless it was there
+    already), and all fields come from that. Only scalars travel on: a VARIANT leaf would carry the key dictionary of
+    the whole frame. ``_has_K`` tells presence, which a typed read cannot; ``_plain_K`` tells that a number is not
     a quoted one.
     """
+    typed, report, meta = F.col("_typed"), F.col("_typed.Message.PositionReport"), F.col("_typed.MetaData")
+    staged = (frames.withColumn("_typed", F.from_json("value", TYPED, STRICT))
+              .withColumn("_typed_text", cleaned_time(meta["time_utc"])).withColumn("_typed_ts", parse_clean_time("_typed_text"))
+              .withColumn("_certain", _plain(report, meta)))
     if "frame" not in frames.columns:
-        frames = frames.withColumn("frame", frame_variant("value"))
+        staged = staged.withColumn("frame", F.when(~F.col("_certain"), frame_variant("value")))
     f = F.col("frame")
 
     def at(parent: str, key: str) -> Column:
@@ -98,26 +130,40 @@ def with_fields(frames: DataFrame) -> DataFrame:
     def text(parent: str, key: str) -> Column:
         return F.try_variant_get(f, f"{parent}.{key}", "string")
 
+    def flag(key: str) -> Column:
+        return report[key].isin("true", "1")
+
+    yes = F.lit(True)
     kind_of_type = kind(field(f, "$.MessageType"))
-    scalars = {
-        "message_type": F.when(kind_of_type == "STRING", text("$", "MessageType")),
-        "_is_frame": kind_of_type.isNotNull(),
-        "_mmsi": text(META, "MMSI"),
-        "_name": as_string_only(at(META, "ShipName")),
-        "_time": text(META, "time_utc"),
-        "_time_null": F.is_variant_null(at(META, "time_utc")),
-        **{f"_{k}": double(k) for k in POSITION_KEYS + ["TrueHeading", "RateOfTurn"]},
-        "_nav": F.try_variant_get(f, f"{POSITION}.NavigationalStatus", "int"),
-        "_accuracy": truth(at(POSITION, "PositionAccuracy")),
-        "_raim": truth(at(POSITION, "Raim")),
-        **{f"_has_{k}": field(f, f"$.{k}").isNotNull() for k in TOP_LEVEL_KEYS},
-        **{f"_has_{k}": at(META, k).isNotNull() for k in METADATA_KEYS},
-        **{f"_has_{k}": at(POSITION, k).isNotNull() for k in POSITION_KEYS},
-        **{f"_plain_{k}": F.coalesce(kind(at(POSITION, k)) != "STRING", F.lit(False))
-           for k in NUMBER_LIMITS},
+    scalars = {  # name: (of a plain report, of any other frame)
+        "message_type": (typed["MessageType"], F.when(kind_of_type == "STRING", text("$", "MessageType"))),
+        "_is_frame": (yes, kind_of_type.isNotNull()),
+        "_mmsi": (meta["MMSI"], text(META, "MMSI")),
+        "_name": (meta["ShipName"], as_string_only(at(META, "ShipName"))),
+        "_time": (meta["time_utc"], text(META, "time_utc")),
+        "_time_null": (F.lit(False), F.is_variant_null(at(META, "time_utc"))),
+        **{f"_{k}": (report[k], double(k)) for k in _NUMBERS},
+        "_nav": (report["NavigationalStatus"], F.try_variant_get(f, f"{POSITION}.NavigationalStatus", "int")),
+        "_accuracy": (flag("PositionAccuracy"), truth(at(POSITION, "PositionAccuracy"))),
+        "_raim": (flag("Raim"), truth(at(POSITION, "Raim"))),
+        **{f"_has_{k}": (yes, field(f, f"$.{k}").isNotNull()) for k in TOP_LEVEL_KEYS},
+        **{f"_has_{k}": (yes, at(META, k).isNotNull()) for k in METADATA_KEYS},
+        **{f"_has_{k}": (yes, at(POSITION, k).isNotNull()) for k in POSITION_KEYS},
+        **{f"_plain_{k}": (yes, F.coalesce(kind(at(POSITION, k)) != "STRING", F.lit(False))) for k in NUMBER_LIMITS},
     }
-    return (frames.withColumns(scalars).withColumn("_time_text", cleaned_time("_time"))
-            .withColumn("_event_ts", parse_clean_time("_time_text")))
+    fields = F.when(F.col("_certain"), F.struct(*[fast.alias(n) for n, (fast, _) in scalars.items()])).otherwise(
+        F.struct(*[slow.alias(n) for n, (_, slow) in scalars.items()]))
+    out = staged.withColumn("_fields", fields).select(
+        *frames.columns, *[c for c in ("frame",) if c not in frames.columns], "_certain", "_typed_text", "_typed_ts",
+        *[F.col(f"_fields.{n}").alias(n) for n in scalars])
+    out = out.withColumn("_time_text", F.when(F.col("_certain"), F.col("_typed_text")).otherwise(cleaned_time("_time")))
+    return out.withColumn("_event_ts", F.when(F.col("_certain"), F.col("_typed_ts")).otherwise(
+        parse_clean_time("_time_text"))).drop("_typed_text", "_typed_ts", "_certain")
+
+
+def whole_frame() -> Column:
+    """The frame as VARIANT over the columns of ``with_fields``."""
+    return F.coalesce(F.col("frame"), frame_variant("value"))
 
 
 def _object(parent: str, keys: list[str]) -> Column:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewake.functions.times import as_column
 
@@ -57,42 +54,11 @@ def lambert_m(u1: Column, u2: Column, h: Column) -> Column:
     return F.when(h <= 0, F.lit(0.0)).when(h >= 1, F.lit(WGS84_A) * arc).otherwise(bent)
 
 
-@F.pandas_udf(T.DoubleType())
-def _vincenty(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    """Vincenty's inverse formula on whole Arrow batches; used to check the closed form."""
-    a, f = WGS84_A, WGS84_F
-    b = a * (1 - f)
-    u1 = np.arctan((1 - f) * np.tan(np.radians(lat1.to_numpy(float))))
-    u2 = np.arctan((1 - f) * np.tan(np.radians(lat2.to_numpy(float))))
-    ell = np.radians(lon2.to_numpy(float) - lon1.to_numpy(float))
-    lam = ell.copy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for _ in range(40):
-            sin_s = np.hypot(np.cos(u2) * np.sin(lam),
-                             np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
-            cos_s = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
-            sigma = np.arctan2(sin_s, cos_s)
-            sin_al = np.where(sin_s == 0, 0.0, np.cos(u1) * np.cos(u2) * np.sin(lam) / sin_s)
-            cos2_al = 1 - sin_al**2
-            cos_2m = np.where(cos2_al == 0, 0.0, cos_s - 2 * np.sin(u1) * np.sin(u2) / cos2_al)
-            c = f / 16 * cos2_al * (4 + f * (4 - 3 * cos2_al))
-            lam = ell + (1 - c) * f * sin_al * (
-                sigma + c * sin_s * (cos_2m + c * cos_s * (2 * cos_2m**2 - 1)))
-        k2 = cos2_al * (a**2 - b**2) / b**2
-        big_a = 1 + k2 / 16384 * (4096 + k2 * (-768 + k2 * (320 - 175 * k2)))
-        big_b = k2 / 1024 * (256 + k2 * (-128 + k2 * (74 - 47 * k2)))
-        delta = big_b * sin_s * (cos_2m + big_b / 4 * (
-            cos_s * (2 * cos_2m**2 - 1)
-            - big_b / 6 * cos_2m * (4 * sin_s**2 - 3) * (4 * cos_2m**2 - 3)))
-    out = np.where(sin_s == 0, 0.0, b * big_a * (sigma - delta))
-    return pd.Series(out)
-
-
 def geodesic_m(lat1, lon1, lat2, lon2, method: str = "lambert") -> Column:
     """Metres between two points.
 
     ``lambert`` (default) is closed-form and stays in generated code; ``haversine`` uses the mean
-    sphere (up to 0.56 % off); ``vincenty`` is an Arrow function for checking.
+    sphere (up to 0.56 % off).
     """
     lat1, lon1, lat2, lon2 = (as_column(c) for c in (lat1, lon1, lat2, lon2))
     dlon = F.radians(lon2 - lon1)
@@ -102,8 +68,6 @@ def geodesic_m(lat1, lon1, lat2, lon2, method: str = "lambert") -> Column:
     if method == "haversine":
         h = _half_square(F.radians(lat1), F.radians(lat2), dlon)
         return F.lit(2 * MEAN_RADIUS_M) * F.asin(F.sqrt(h))
-    if method == "vincenty":
-        return _vincenty(lat1, lon1, lat2, lon2)
     raise ValueError(f"unknown method {method!r}")
 
 

@@ -54,9 +54,9 @@ def event_id(frame="frame", received_at=None) -> Column:
 
 
 def canonical_columns() -> list[Column]:
-    """The 18 canonical fields, over the columns of ``with_fields``."""
+    """The 18 canonical fields, over the columns of ``with_fields`` and ``_whole``, the frame as VARIANT."""
     columns = {
-        "event_id": event_id("frame", "received_at"),
+        "event_id": event_id("_whole", "received_at"),
         "schema_version": F.lit(SCHEMA_VERSION),
         "message_type": F.col("message_type"),
         "mmsi": F.coalesce("_mmsi", F.lit("None")),
@@ -80,7 +80,7 @@ def canonical_columns() -> list[Column]:
 
 def normalize(frames: DataFrame) -> DataFrame:
     """Frames to the canonical 18 columns."""
-    return fr.with_fields(frames).select(*canonical_columns())
+    return fr.with_fields(frames).withColumn("_whole", fr.whole_frame()).select(*canonical_columns())
 
 
 def ingest(frames: DataFrame, future_s: float = times.FUTURE_TOLERANCE_S,
@@ -90,7 +90,8 @@ def ingest(frames: DataFrame, future_s: float = times.FUTURE_TOLERANCE_S,
     ``_route`` is ``skip`` (other message types), ``dlq`` or ``publish``. An absent or null time
     is quarantined as unparseable. One pass, no shuffle.
     """
-    checked = fr.with_errors(fr.with_fields(frames)).select(*canonical_columns(), "_errors", "_event_ts")
+    checked = fr.with_errors(fr.with_fields(frames)).withColumn("_whole", fr.whole_frame()).select(
+        *canonical_columns(), "_errors", "_event_ts")
     is_report = F.coalesce(F.col("message_type") == fr.POSITION_REPORT, F.lit(False))
     reason = (F.when(~is_report, F.lit(None))
               .when(F.size("_errors") > 0, F.lit(VALIDATION_FAILED))

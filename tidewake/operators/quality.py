@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewake.functions import times
-from tidewake.functions.frames import evaluated_once
 from tidewake.operators.ranking import rank_select
+from tidewake.session import stored
 from tidewake.sources.archive import cutoff_of
 
 # ---- Fixed values -------------------------------------------------------------------------
@@ -16,6 +16,11 @@ MAX_WINDOW_HOURS = 168
 # -------------------------------------------------------------------------------------------
 
 
+QUALITY = ("window_hours int, events_processed long, parquet_files long, latency struct<avg_s: double, p50_s: double, "
+           "p95_s: double, max_s: double, events_negative_latency: long>, missing_position long, missing_sog long, "
+           "missing_cog long, invalid_coordinates long")
+
+
 def _check(window_hours: int) -> None:
     if not 0 < window_hours <= MAX_WINDOW_HOURS:
         raise ValueError(f"window_hours must be within 1 and {MAX_WINDOW_HOURS}, got {window_hours}")
@@ -46,26 +51,36 @@ def latency_ranks(latencies: DataFrame, column: str = "latency") -> DataFrame:
     })
 
 
+def _seen_once(rows: DataFrame, label: str, *counters: Column) -> tuple[DataFrame, dict]:
+    """The non-negative values of ``latency`` as a stored column, and the counters, of one pass over ``rows``."""
+    seen = Observation()
+    kept = rows.observe(seen, *counters).select(F.when(F.col("latency") >= 0, F.col("latency")).alias("latency"))
+    return stored(kept, label), seen.get
+
+
+def _latency_counters() -> list[Column]:
+    known = F.when(F.col("latency") >= 0, F.col("latency"))
+    return [F.bround(F.avg(known), 1).alias("avg_s"), F.max(known).alias("max_s"),
+            F.count_if(F.col("latency") < 0).alias("events_negative_latency")]
+
+
+def _percentiles(latencies: DataFrame) -> dict:
+    return {r.rank_name: r.value for r in latency_ranks(latencies).collect()}
+
+
 def latency_stats(archive: DataFrame, as_of=None,
                   window_hours: int = DEFAULT_WINDOW_HOURS) -> DataFrame:
-    """One row: avg (1 decimal), p50, p95, max of the non-negative latencies, and the negative ones."""
-    _check(window_hours)
-    rows = evaluated_once(arrived_in_window(archive, as_of, window_hours).select(
-        source_latency().alias("latency")))
-    counted = rows.agg(
-        F.bround(F.avg(F.when(F.col("latency") >= 0, F.col("latency"))), 1).alias("avg_s"),
-        F.max(F.when(F.col("latency") >= 0, F.col("latency"))).alias("max_s"),
-        F.count_if(F.col("latency") < 0).alias("events_negative_latency"))
-    p50, p95 = _percentiles(rows)
-    return counted.select("avg_s", p50.alias("p50_s"), p95.alias("p95_s"), "max_s",
-                          "events_negative_latency")
+    """One row: avg (1 decimal), p50, p95, max of the non-negative latencies, and the negative ones.
 
-
-def _percentiles(rows: DataFrame) -> tuple[Column, Column]:
-    ranks = latency_ranks(rows.select(F.when(F.col("latency") >= 0, F.col("latency")).alias("latency")))
-    both = ranks.agg(F.struct(*[F.max(F.when(F.col("rank_name") == r, F.col("value"))).alias(r)
-                                for r in ("p50", "p95")]).alias("r")).scalar()
-    return both["p50"], both["p95"]
+    The archive is read once, when this is called: it leaves the latencies as one stored column, which the ranks are read from.
+    """
+    _check(window_hours)
+    rows = arrived_in_window(archive, as_of, window_hours).select(source_latency().alias("latency"))
+    latencies, seen = _seen_once(rows, "latency", *_latency_counters())
+    ranks = _percentiles(latencies)
+    return archive.sparkSession.createDataFrame(
+        [(seen["avg_s"], ranks.get("p50"), ranks.get("p95"), seen["max_s"], seen["events_negative_latency"])],
+        "avg_s double, p50_s double, p95_s double, max_s double, events_negative_latency long")
 
 
 def files_scanned(archive: DataFrame, as_of=None, window_hours: int = DEFAULT_WINDOW_HOURS,
@@ -81,7 +96,7 @@ def data_quality(archive: DataFrame, as_of=None, window_hours: int = DEFAULT_WIN
 
     Without a ``file`` column in the archive the number of files is NULL.
 
-    The counters are one aggregation over seven columns of the pruned hours.
+    The counters and the latencies come from one pass over seven columns of the pruned hours, when this is called.
     """
     _check(window_hours)
     window = arrived_in_window(archive, as_of, window_hours)
@@ -89,24 +104,19 @@ def data_quality(archive: DataFrame, as_of=None, window_hours: int = DEFAULT_WIN
                          source_latency().alias("latency"))
     no_position = F.col("latitude").isNull() | F.col("longitude").isNull()
     inside = F.col("latitude").between(-90.0, 90.0) & F.col("longitude").between(-180.0, 180.0)
-    counted = rows.agg(
-        F.count("*").alias("events_processed"),
+    latencies, seen = _seen_once(
+        rows, "quality",
+        F.count(F.lit(1)).alias("events_processed"),
         F.count_if(no_position).alias("missing_position"),
         F.count_if(F.col("sog_knots").isNull()).alias("missing_sog"),
         F.count_if(F.col("cog_degrees").isNull()).alias("missing_cog"),
-        F.count_if(~no_position & ~inside).alias("invalid_coordinates"),
-        F.bround(F.avg(F.when(F.col("latency") >= 0, F.col("latency"))), 1).alias("avg_s"),
-        F.max(F.when(F.col("latency") >= 0, F.col("latency"))).alias("max_s"),
-        F.count_if(F.col("latency") < 0).alias("events_negative_latency"))
-    p50, p95 = _percentiles(evaluated_once(window.select(source_latency().alias("latency"))))
-    files = (files_scanned(archive, as_of, window_hours, file).scalar() if file in archive.columns
-             else F.lit(None).cast("long"))
-    return counted.select(
-        F.lit(int(window_hours)).alias("window_hours"), "events_processed",
-        files.alias("parquet_files"),
-        F.struct("avg_s", p50.alias("p50_s"), p95.alias("p95_s"), "max_s",
-                 "events_negative_latency").alias("latency"),
-        "missing_position", "missing_sog", "missing_cog", "invalid_coordinates")
+        F.count_if(~no_position & ~inside).alias("invalid_coordinates"), *_latency_counters())
+    ranks = _percentiles(latencies)
+    files = files_scanned(archive, as_of, window_hours, file).first()[0] if file in archive.columns else None
+    latency = (seen["avg_s"], ranks.get("p50"), ranks.get("p95"), seen["max_s"], seen["events_negative_latency"])
+    counts = [seen[c] for c in ("missing_position", "missing_sog", "missing_cog", "invalid_coordinates")]
+    return archive.sparkSession.createDataFrame(
+        [(int(window_hours), seen["events_processed"], files, latency, *counts)], QUALITY)
 
 
 def missing_motion(report: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ STATE_COLUMNS = ["mmsi", "ship_name", "latitude", "longitude", "sog_knots", "cog
 ARRIVAL = ("ingested_at", "event_id")
 
 
-def _placed(events: DataFrame) -> DataFrame:
+def placed(events: DataFrame) -> DataFrame:
     """Events with a position and a vessel; the others are dropped silently."""
     return events.filter("latitude IS NOT NULL AND longitude IS NOT NULL AND mmsi <> ''")
 
@@ -29,7 +29,7 @@ def build_state_rows(events: DataFrame, now=None, arrival: Sequence[str] = ARRIV
         "last_seen_at": times.effective_time("event_time", "ingested_at", now),
         "updated_at": now,
     }
-    return _placed(events).select(
+    return placed(events).select(
         *[extra.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in STATE_SCHEMA],
         F.struct(*arrival).alias("_arrival"))
 
@@ -38,7 +38,7 @@ def build_track_rows(events: DataFrame, now=None, arrival: Sequence[str] = ARRIV
     at = times.effective_time("event_time", "ingested_at", times.as_of_column(now))
     extra = {"position": geo.point(), "event_time": F.col("_at"),
              "partition_hour": F.date_trunc("hour", "_at")}
-    return _placed(events).withColumn("_at", at).select(
+    return placed(events).withColumn("_at", at).select(
         *[extra.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in TRACK_SCHEMA],
         F.struct(*arrival).alias("_arrival"))
 
@@ -79,7 +79,7 @@ def latest_events(events: DataFrame, arrival: Sequence[str] = ARRIVAL) -> DataFr
     columns = sorted({"mmsi", "ship_name", "latitude", "longitude", "sog_knots", "cog_degrees",
                       "true_heading", "rate_of_turn", "nav_status", "event_time", "ingested_at",
                       *arrival})
-    return latest_by(_placed(events), ["mmsi"], rank, columns)
+    return latest_by(placed(events), ["mmsi"], rank, columns)
 
 
 def current_state(events: DataFrame, now=None, order: str = "arrival",

@@ -447,3 +447,35 @@ add("stream_dlq", f"""SELECT reason, service, count(*) AS records FROM (
     SELECT 'parquet_serialization_failed' AS reason, 'raw_sink' AS service FROM damaged WHERE n IN (1, 2, 6)
     UNION ALL SELECT {_STATE_POISON}, unnest(['stream_processor', 'track_writer']) FROM damaged
     WHERE n IN (1, 2, 4, 6)) GROUP BY ALL""", POSITIONS, _DAMAGED)
+add("archive_compaction", f"""SELECT sum(n)::BIGINT AS events, sum(n)::BIGINT AS ids,
+    count(*) FILTER (WHERE closed) AS closed_hours, 1 AS most_files FROM (
+    SELECT date_trunc('hour', ts) AS h, count(*) AS n,
+    date_trunc('hour', ts) + INTERVAL 1 HOUR <= {AS_OF} - INTERVAL 21660 SECOND AS closed FROM events GROUP BY ALL)""")
+add("stream_stale", """SELECT mmsi, round(max(arrived), 3) AS silent_since, round(max(arrived) + 2700, 3) AS stale_at, count(*) AS reports
+    FROM (SELECT *, sum(begins) OVER (PARTITION BY mmsi ORDER BY arrived) AS session FROM (
+      SELECT mmsi, ingested_at AS arrived, CASE WHEN ingested_at - lag(ingested_at) OVER (PARTITION BY mmsi ORDER BY ingested_at)
+        <= 2700 THEN 0 ELSE 1 END AS begins FROM positions))
+    GROUP BY mmsi, session HAVING max(arrived) + 2700 <= (SELECT max(ingested_at)
+      - ceil((max(ingested_at) - min(ingested_at)) / 4) FROM positions)""", POSITIONS)
+add("stream_hourly", """SELECT date_trunc('hour', ts) AS partition_hour, count(*) AS events FROM published GROUP BY 1""",
+    *_INGEST, _PUBLISHED)
+add("stream_counters", """SELECT job, count(*) FILTER (WHERE n <> 7) AS rows, count(*) FILTER (WHERE n IN (1, 2, 6)) AS poisoned,
+    CASE job WHEN 'archive' THEN count(*) FILTER (WHERE n NOT IN (1, 2, 6, 7))
+             WHEN 'track' THEN count(*) FILTER (WHERE n NOT IN (1, 2, 4, 5, 6, 7)) END AS written,
+    true AS stored, true AS all_vessels
+    FROM (SELECT seq % 29 AS n, unnest(['archive', 'state', 'track']) AS job FROM positions) GROUP BY job""", POSITIONS)
+
+# ---- The same as SQL ----------------------------------------------------------------------
+
+add("sql_rules", f"""SELECT event_id, {_STATUS} AS status,
+    CASE WHEN abs(rate_of_turn) < 127 THEN round(4.733 * sqrt(abs(rate_of_turn)), 1) END AS rot_deg_min,
+    CASE WHEN abs(rate_of_turn) >= 127 THEN CASE WHEN rate_of_turn > 0 THEN 'port' ELSE 'starboard' END
+         WHEN rate_of_turn > 0 THEN 'starboard' WHEN rate_of_turn IS NOT NULL THEN 'port' END AS direction,
+    {_NAV} AS label, {VALID} AS valid, ts AS event_ts,
+    CASE WHEN epoch_us(ts) / CAST(1000000 AS DOUBLE) - (ingested_at - 40) > 60 THEN 'future_timestamp'
+         WHEN epoch_us(ts) / CAST(1000000 AS DOUBLE) - (ingested_at - 40) < -21600 THEN 'stale_timestamp' END AS reason,
+    round(d, 4) AS lambert_m
+    FROM {lambert('''(SELECT *, CAST(1.25 AS DOUBLE) AS lat0, CAST(103.65 AS DOUBLE) AS lon0
+        FROM positions)''', 'latitude', 'longitude', 'lat0', 'lon0')}""", POSITIONS)
+add("sql_nearby", ORACLES["nearby"])
+add("sql_vessel_track", ORACLES["vessel_track"])

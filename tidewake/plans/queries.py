@@ -6,6 +6,8 @@ All of them work on whole tables: positions, frames or a fleet derived from ``ev
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewake import session
 from tidewake.functions import frames as fr
-from tidewake.functions import geo, times, vessel
+from tidewake.functions import geo, sql, times, vessel
 from tidewake.operators import fleet as fl
 from tidewake.operators import ingest as ing
 from tidewake.operators import presentation as pr
@@ -608,6 +610,21 @@ def archive_expiry(t: Tables) -> DataFrame:
         F.min("dt").alias("first_day"))
 
 
+@query
+def archive_compaction(t: Tables) -> DataFrame:
+    """An archive of three appends to every hour, compacted: the same rows, and one file in each hour that is closed."""
+    path = session.scratch(t.spark, "archive")
+    for part in range(3):
+        ar.write_archive(t.positions.where(F.col("seq") % 3 == part), path, t.as_of)
+    ar.compact_archive(t.spark, path, t.last)
+    hours = ar.read_archive(t.spark, path, files=True).groupBy("dt", "HH").agg(
+        F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"), F.count_distinct("file").alias("files"))
+    ended = F.to_timestamp(F.concat_ws(" ", "dt", "HH"), "yyyy-MM-dd HH") + F.expr("INTERVAL 1 HOUR")
+    closed = ended <= t.as_of - F.make_interval(secs=F.lit(times.STALE_TOLERANCE_S + times.FUTURE_TOLERANCE_S))
+    return hours.agg(F.sum("events").alias("events"), F.sum("ids").alias("ids"), F.count_if(closed).alias("closed_hours"),
+                     F.max(F.when(closed, F.col("files"))).alias("most_files"))
+
+
 @query
 def sample_frames(t: Tables) -> DataFrame:
     """A capture of frames that are JSON, read back: each is one of them, with its own arrival."""
@@ -707,3 +724,81 @@ def stream_dlq(t: Tables) -> DataFrame:
         _consumed(t, start, home, f"{home}/log", name)
     return log.read_dlq(t.spark, f"{home}/log").groupBy(
         F.col("_dlq_reason").alias("reason"), F.col("_dlq_source").alias("service")).agg(F.count("*").alias("records"))
+
+
+@query
+def stream_stale(t: Tables) -> DataFrame:
+    """Vessels that fell silent, found while the log grows by a quarter of the time at a time, with a restart after each."""
+    home = session.scratch(t.spark, "stream")
+    first, last = t.positions.agg(F.min("ingested_at"), F.max("ingested_at")).first()
+    width = (last - first) / 4
+    for part in range(4):
+        arrived = F.floor((F.col("ingested_at") - first) / width)
+        log.write_records(log.to_log_records(t.positions.where(F.least(arrived, F.lit(3)) == part)), f"{home}/log")
+        jobs.run_to_end(jobs.start_stale(jobs.consume(t.spark, f"{home}/log"), f"{home}/stale", f"{home}/ck", None,
+                                         delay=f"{math.ceil(width)} seconds"))
+    found = t.spark.read.parquet(f"{home}/stale")
+    return found.select("mmsi", F.round(times.epoch_seconds(F.col("silent_since")), 3).alias("silent_since"),
+                        F.round(times.epoch_seconds(F.col("stale_at")), 3).alias("stale_at"), "reports")
+
+
+@query
+def stream_hourly(t: Tables) -> DataFrame:
+    """Positions per event hour, counted while the log is read in several batches."""
+    home, path = _stream_log(t)
+    for _ in range(2):  # the second time there is nothing new
+        jobs.run_to_end(jobs.start_hourly(jobs.consume(t.spark, path, max_files=4), f"{home}/hourly", f"{home}/ck-hourly", None))
+    return jobs.read_hourly(t.spark, f"{home}/hourly")
+
+
+@query
+def stream_counters(t: Tables) -> DataFrame:
+    """What each consumer of a damaged log read, refused and stored, added up over its batches."""
+    home = session.scratch(t.spark, "stream")
+    log.write_records(_damaged_log(t).withColumn("topic", F.lit(log.RAW_TOPIC)), f"{home}/log")
+    for start, name in ((jobs.start_archive, "archive"), (jobs.start_state, "state"), (jobs.start_track, "track")):
+        counted = functools.partial(start, metrics=f"{home}/metrics")
+        _consumed(t, counted, home, f"{home}/log", name)
+    # of the vessels a batch changes SQL knows no number, but that each is written once at least
+    vessels = tables.read_state(t.spark, f"{home}/state").agg(F.count("*")).scalar()
+    written = F.sum("written")
+    return jobs.read_metrics(t.spark, f"{home}/metrics").groupBy("job").agg(
+        F.sum("rows").alias("rows"), F.sum("poisoned").alias("poisoned"), written.alias("written"),
+        ((F.sum("files") > 0) & (F.sum("bytes") > 0)).alias("stored")).select(
+        "job", "rows", "poisoned", F.when(F.col("job") != "state", F.col("written")).alias("written"), "stored",
+        ((F.col("job") != "state") | (F.col("written") >= vessels)).alias("all_vessels"))
+
+
+# ---- The same as SQL -----------------------------------------------------------------------
+
+def _views(t: Tables) -> dict[str, str]:
+    """Views of the stored state and track."""
+    names = {"state": "tidewake_state", "track": "tidewake_track"}
+    stored(t.state).createOrReplaceTempView(names["state"])
+    stored(t.track).createOrReplaceTempView(names["track"])
+    return names
+
+
+@query
+def sql_rules(t: Tables) -> DataFrame:
+    """The rules by their SQL names, over every report."""
+    sql.register(t.spark)
+    t.positions.createOrReplaceTempView("tidewake_positions")
+    return t.spark.sql(f"""SELECT event_id, vessel_status(nav_status, sog_knots) AS status,
+        decode_turn(rate_of_turn).rot_deg_min AS rot_deg_min, decode_turn(rate_of_turn).direction AS direction,
+        nav_label(nav_status) AS label, valid_mmsi(mmsi) AS valid, event_instant(event_time) AS event_ts,
+        skew_reason(event_instant(event_time), ingested_at - 40) AS reason,
+        round(distance_metres(latitude, longitude, {HARBOUR[0]}D, {HARBOUR[1]}D), 4) AS lambert_m FROM tidewake_positions""")
+
+
+@query
+def sql_nearby(t: Tables) -> DataFrame:
+    sql.register(t.spark, **_views(t))
+    return t.spark.sql(f"SELECT * FROM vessels_nearby({HARBOUR[0]}D, {HARBOUR[1]}D, 3000D)").withColumn(
+        "distance_m", F.round("distance_m", 3))
+
+
+@query
+def sql_vessel_track(t: Tables) -> DataFrame:
+    sql.register(t.spark, **_views(t))
+    return t.spark.sql(f"SELECT * FROM vessel_track('{VESSEL}', TIMESTAMP '{t.last:%Y-%m-%d %H:%M:%S.%f}', {WINDOW_HOURS})")

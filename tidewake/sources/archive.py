@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import times
 from tidewake.schemas import ARCHIVE_SCHEMA, EVENT_SCHEMA
+from tidewake.session import counted, scratch
 from tidewake.sources import paths
 
 # ---- Fixed values -------------------------------------------------------------------------
@@ -18,6 +20,9 @@ FLUSH_MAX_SECONDS = 900
 FLUSH_MIN_ROWS = 100
 # -------------------------------------------------------------------------------------------
 
+MOST_HOURS = 2000  # hour folders that a filter lists by name
+FILE_BYTES = 128 << 20
+
 
 def to_archive_row(events: DataFrame) -> DataFrame:
     """Coerce to the archive's column types: flags default to false, version to 1.0."""
@@ -46,37 +51,110 @@ def _content() -> Column:
     return F.md5(F.to_json(F.struct(*EVENT_SCHEMA.names), {"ignoreNullFields": "false"}))
 
 
-def _unseen(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """The first row per (hour, key) that the archive does not hold yet."""
-    one = Window.partitionBy("dt", "HH", key).orderBy("ingested_at", "raw")
+def _unseen(rows: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
+    """The first row per key that the archive does not hold yet."""
+    one = Window.partitionBy(*key).orderBy("ingested_at", "raw")
     first = rows.withColumn("_place", F.row_number().over(one)).filter("_place = 1").drop("_place")
-    return first.join(stored.select("dt", "HH", key), ["dt", "HH", key], "left_anti")
+    return first.join(stored.select(*key), list(key), "left_anti")
+
 
+def within(stored: DataFrame, hours: DataFrame, columns: list[str], most: int = MOST_HOURS) -> DataFrame:
+    """Rows of ``stored`` in the hour folders that ``hours`` names; up to ``most`` are listed, so that folders are pruned."""
+    named = hours.select(*columns).distinct()
+    listed = named.limit(most + 1).collect()
+    if len(listed) > most:
+        return stored.join(named, columns, "left_semi")
+    if len(columns) == 1:
+        return stored.filter(F.col(columns[0]).isin([r[0] for r in listed]))
+    return stored.filter(F.concat_ws("/", *columns).isin(["/".join(r) for r in listed]))
 
-def write_archive(events: DataFrame, path: str, now=None) -> None:
-    """Append events below ``dt=/HH=``; what the archive holds already is left out.
+
+def write_archive(events: DataFrame, path: str, now=None) -> int:
+    """Append events below ``dt=/HH=``; what the archive holds already is left out. Returns the number of new rows.
 
     An event is known by its id, one without id by its content. It is looked up in the hours the
     events fall into, so a replay adds nothing, whatever the borders of its batches, and no call
-    replaces what another one wrote. One writer at a time. The rebalance hint lets the adaptive
+    replaces what another one wrote. An event with neither a readable time nor an arrival lies in the hour it was first stored
+    in; it is looked up among all such events. One writer at a time. The rebalance hint lets the adaptive
     plan merge small hours into one file and split an hour that holds most of the rows over many tasks.
     """
     spark = events.sparkSession
-    rows = archive_rows(events, now)
-    hour = F.concat_ws("/", "dt", "HH")
-    first, last, nameless = rows.agg(F.min(hour), F.max(hour), F.count_if(F.col("event_id").isNull())).first()
-    if first is None:
-        return
-    stored = empty_archive(spark)
-    if paths.folders(spark, path):
-        stored = read_archive(spark, path).filter(
-            F.col("dt").between(first[:10], last[:10]) & hour.between(first, last))
-    new = _unseen(rows.filter("event_id IS NOT NULL"), stored.filter("event_id IS NOT NULL"), "event_id")
-    if nameless:
-        by_content = [df.filter("event_id IS NULL").withColumn("_content", _content()) for df in (rows, stored)]
-        new = new.unionByName(_unseen(*by_content, "_content").drop("_content"))
-    (new.select(*ARCHIVE_SCHEMA.names).hint("rebalance", "dt", "HH").sortWithinPartitions("dt", "HH", "mmsi")
-     .write.mode("append").option("compression", "snappy").partitionBy("dt", "HH").parquet(path))
+    timeless = (times.parse_event_time("event_time").isNull()
+                & F.nullif("ingested_at", F.lit(0.0)).isNull()).alias("_timeless")
+    rows = archive_rows(events, now).select("*", timeless)
+    count, nameless, untimed = rows.agg(F.count(F.lit(1)), F.count_if(F.col("event_id").isNull()), F.count_if("_timeless")).first()
+    if not count:
+        return 0
+    there = bool(paths.folders(spark, path))
+    stored = within(read_archive(spark, path), rows, ["dt", "HH"]) if there else empty_archive(spark)
+    kinds = [("NOT _timeless", stored, ("dt", "HH"))]
+    if untimed:
+        among = read_archive(spark, path).filter("ingested_at IS NULL OR ingested_at = 0") if there else stored
+        kinds.append(("_timeless", among, ()))
+    new = []
+    for which, among, hour in kinds:
+        mine = rows.filter(which).drop("_timeless")
+        new.append(_unseen(mine.filter("event_id IS NOT NULL"), among.filter("event_id IS NOT NULL"), *hour, "event_id"))
+        if nameless:
+            by_content = [df.filter("event_id IS NULL").withColumn("_content", _content()) for df in (mine, among)]
+            new.append(_unseen(*by_content, *hour, "_content").drop("_content"))
+    out = reduce(DataFrame.unionByName, new).select(*ARCHIVE_SCHEMA.names)
+    out, seen = counted(out.hint("rebalance", "dt", "HH").sortWithinPartitions("dt", "HH", "mmsi"))
+    (out.write.mode("append").option("compression", "snappy").options(**bloom("event_id"))
+     .partitionBy("dt", "HH").parquet(path))
+    return seen.get["n"]
+
+
+def bloom(column: str) -> dict[str, str]:
+    """Writer options: Bloom filters of the size it takes, so that a look-up by ``column`` opens few row groups."""
+    return {f"parquet.bloom.filter.enabled#{column}": "true", "parquet.bloom.filter.adaptive.enabled": "true",
+            "parquet.bloom.filter.max.bytes": str(1 << 20)}
+
+
+# ---- Small files ----------------------------------------------------------------------------
+
+def _files(spark: SparkSession, path: str, before: datetime) -> dict[tuple[str, str], list[int]]:
+    """File sizes of the hours that ended at ``before`` or earlier, from the listing."""
+    found = {}
+    for day in paths.folders(spark, path):
+        for hour in paths.folders(spark, f"{path}/{day}"):
+            try:
+                start = datetime.strptime(f"{day} {hour}", "dt=%Y-%m-%d HH=%H")
+            except ValueError:
+                continue
+            if start + timedelta(hours=1) <= before:
+                found[day[3:], hour[3:]] = paths.file_sizes(spark, f"{path}/{day}/{hour}")
+    return found
+
+
+def compact_archive(spark: SparkSession, path: str, as_of: datetime, target_bytes: int = FILE_BYTES,
+                    dry_run: bool = False) -> list[tuple[str, str]]:
+    """Rewrite hours of many small files as files of about ``target_bytes``; returns the hours (dt, HH).
+
+    Only hours that no append can reach any more: the skew gate lets nothing in that is later than its tolerance. An hour is
+    worth it if packing its files saves one. The rows are copied to the shared folder first and put in place of the hour's old files by
+    one dynamic overwrite, so a stop before its commit changes nothing. A reader that listed the old files before is to be run again.
+    """
+    as_of = as_of if as_of.tzinfo is None else as_of.astimezone(timezone.utc).replace(tzinfo=None)
+    closed = _files(spark, path, as_of - timedelta(seconds=times.STALE_TOLERANCE_S + times.FUTURE_TOLERANCE_S))
+    bins = {hour: max(1, -(-sum(sizes) // target_bytes)) for hour, sizes in closed.items()}
+    wanted = sorted(hour for hour, sizes in closed.items() if len(sizes) > bins[hour])
+    if dry_run or not wanted:
+        return wanted
+    for first in range(0, len(wanted), MOST_HOURS):
+        part = wanted[first:first + MOST_HOURS]
+        hours = spark.createDataFrame([(*hour, bins[hour]) for hour in part], "dt string, HH string, _bins long")
+        rows = within(read_archive(spark, path), hours, ["dt", "HH"]).join(F.broadcast(hours), ["dt", "HH"])
+        copy = scratch(spark, "compaction")
+        rows.write.parquet(copy)
+        back = spark.read.parquet(copy)
+        # an hour's rows in as many parts as files are due; vessels stay together, so that statistics prune
+        place = F.pmod(F.xxhash64("mmsi"), F.col("_bins"))
+        (back.repartition("dt", "HH", place).sortWithinPartitions("dt", "HH", "mmsi", "event_id").select(*ARCHIVE_SCHEMA.names)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
+         .options(**bloom("event_id")).partitionBy("dt", "HH").parquet(path))
+        paths.delete(spark, copy)
+    return wanted
 
 
 def empty_archive(spark: SparkSession) -> DataFrame:

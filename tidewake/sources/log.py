@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timedelta, timezone
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import frames as fr
 from tidewake.functions.times import as_of_column, epoch_seconds
 from tidewake.schemas import DLQ_SCHEMA, EVENT_SCHEMA, RECORD_SCHEMA
-from tidewake.sources import paths
 
 # ---- Fixed values -------------------------------------------------------------------------
 RAW_TOPIC = "ais.raw"
 DLQ_TOPIC = "ais.dlq"
-RETENTION_HOURS = {RAW_TOPIC: 72, DLQ_TOPIC: 168}
 # -------------------------------------------------------------------------------------------
 
 # What one micro-batch reads at most, unless the caller says otherwise.
@@ -148,20 +144,3 @@ def publish(records: DataFrame, sink: str | dict, run: str, batch: int) -> None:
     (records.withColumns({"run": F.lit(run), "batch": F.lit(int(batch)).cast("long")})
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("topic", "run", "batch").parquet(sink))
-
-
-def expire_log(spark: SparkSession, path: str, as_of: datetime,
-               hours: dict[str, int] | None = None) -> list[str]:
-    """Drop the folder log's batches older than their topic is kept; returns their folders."""
-    if as_of.tzinfo is None:
-        as_of = as_of.replace(tzinfo=timezone.utc)
-    gone = []
-    for topic, kept in (hours or RETENTION_HOURS).items():
-        limit = (as_of - timedelta(hours=kept)).timestamp() * 1000
-        top = f"{path}/topic={topic}"
-        for run in paths.folders(spark, top):
-            for batch, changed in sorted(paths.ages(spark, f"{top}/{run}").items()):
-                if changed < limit:
-                    gone.append(f"topic={topic}/{run}/{batch}")
-                    paths.delete(spark, f"{path}/{gone[-1]}")
-    return gone

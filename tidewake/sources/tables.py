@@ -1,13 +1,10 @@
-"""The stored state and track tables, as plain Parquet folders.
+"""The stored state and track tables: plain Parquet folders that are appended to.
 
-State: each micro-batch writes only its own changed vessels to ``delta-<version>-<order>-<run>-<batch>``; a reader takes
-the newest base and the deltas after it and keeps the last row per vessel, by the arrival stored with each row, so neither
-the borders nor the order of batches matter. The version is one more than
-the highest stored, so a job with a new checkpoint goes on where the table is; run and batch tell a replayed batch, which
-is not stored twice. Clean-up writes the next ``base-<first version not in it>-<order>-<serial>``. The order by
-which a vessel's last row is told is part of the names: all jobs on a table share it. A folder counts once its ``_SUCCESS``
-marker is there, and no folder is overwritten while it is being read. One writer and one clean-up at a time. With a table
-format that has MERGE, ``operators.state.upsert_state`` is the merge source instead.
+State: every row is a vessel's state with its place in the order of arrival, in a folder of the hour it was written in. A reader keeps
+the last row per vessel, so neither the borders nor the order of batches matter, and rows stored twice by a replay
+change nothing. Clean-up appends too: a row marked STALE or purged ranks just above the report it ages. It also carries what is
+still current out of old hours into the present one and then drops those hours; if it stops half-way, rows are stored twice.
+With a table format that has MERGE, ``operators.state.upsert_state`` is the merge source instead.
 
 Track: append-only, one folder per event hour, so windows prune and expiry drops whole folders.
 """
@@ -24,28 +21,32 @@ from tidewake.functions import times
 from tidewake.operators.state import latest_by
 from tidewake.operators.track import expire_track as kept_rows
 from tidewake.schemas import STATE_SCHEMA, TRACK_SCHEMA, empty_track
-from tidewake.session import scratch
+from tidewake.session import counted, scratch
 from tidewake.sources import paths
+from tidewake.sources.archive import bloom
 
-# Beside the state: the row's place in the order of arrival (time and id, or the log's offset), and the version.
-_EXTRA = T.StructType([T.StructField("_at", T.DoubleType()), T.StructField("_id", T.StringType()),
-                       T.StructField("_version", T.LongType())])
-_VERSIONED = T.StructType(STATE_SCHEMA.fields + _EXTRA.fields)
+REPORTED, AGED, PURGED = 0, 1, 2
+# The place in the order of arrival: time and id, or the log's offset; then what clean-up made of the report.
+_PLACE = T.StructType([T.StructField("_at", T.DoubleType()), T.StructField("_id", T.StringType()),
+                       T.StructField("_mark", T.IntegerType())])
+_PLACED = T.StructType(STATE_SCHEMA.fields + _PLACE.fields)
+_STORED = T.StructType([*_PLACED.fields, T.StructField("order", T.StringType()), T.StructField("written", T.StringType())])
+# Hours that may still be written to, and days for which a purged vessel's mark keeps its replayed reports out.
+OPEN_HOURS = 2
+PURGED_DAYS = 4
 
 
-def _committed(spark: SparkSession, path: str, kind: str) -> list[str]:
-    """Committed folders of a kind, oldest first."""
-    return [n for n in paths.folders(spark, path) if n.startswith(kind + "-")
-            and paths.exists(spark, f"{path}/{n}/_SUCCESS")]
+def _hour(at: datetime) -> str:
+    return (at if at.tzinfo is None else at.astimezone(timezone.utc)).strftime("%Y%m%d%H")
 
 
-def _number(folder: str) -> int:
-    return int(folder.split("-")[1])
+def _now() -> datetime:
+    return datetime.now(timezone.utc)
 
 
 def stored_order(spark: SparkSession, path: str) -> str | None:
-    """The order of the table's folders; None for an empty table."""
-    orders = {n.split("-")[2] for kind in ("base", "delta") for n in _committed(spark, path, kind)}
+    """The order by which a vessel's last row is told; all jobs on a table share it. None for an empty table."""
+    orders = {n.split("=", 1)[1] for n in paths.folders(spark, path) if n.startswith("order=")}
     if len(orders) > 1:
         raise ValueError(f"{path} holds rows of several orders: {sorted(orders)}")
     return orders.pop() if orders else None
@@ -58,70 +59,64 @@ def _checked_order(spark: SparkSession, path: str, order: str | None) -> str:
     return order or stored or "arrival"
 
 
-def write_state_delta(rows: DataFrame, path: str, run: str, batch: int, order: str = "arrival") -> bool:
-    """Store one micro-batch's changed vessels, one row each; False if this batch is stored already."""
-    spark = rows.sparkSession
-    order = _checked_order(spark, path, order)
-    run = "".join(c for c in run if c.isalnum())
-    deltas, bases = _committed(spark, path, "delta"), _committed(spark, path, "base")
-    if any(n.split("-")[3:] == [run, str(int(batch))] for n in deltas):
-        return False
-    version = max([_number(n) + 1 for n in deltas] + [_number(n) for n in bases], default=0)
-    arrival = rows.schema["_arrival"].dataType.names if "_arrival" in rows.columns else []
-    place = [F.col("_arrival")[n] for n in arrival] + [F.lit(None)] * 2
-    (rows.select(*STATE_SCHEMA.names, place[0].cast("double").alias("_at"), place[1].cast("string").alias("_id"),
-                 F.lit(version).cast("long").alias("_version"))
-     .write.mode("overwrite").parquet(f"{path}/delta-{version:012d}-{order}-{run}-{int(batch)}"))
-    return True
-
-
-def state_snapshot(spark: SparkSession, path: str, order: str | None = None) -> tuple[DataFrame, int]:
-    """The current state, with each row's place in the order of arrival, and the first version it lacks."""
+def append_state(rows: DataFrame, path: str, order: str | None = None, now: datetime | None = None) -> int:
+    """Store states in the present hour and return their number, each with ``_arrival`` (as ``operators.state`` gives it) or with its place already."""
+    order = _checked_order(rows.sparkSession, path, order)
+    if "_mark" not in rows.columns:
+        arrival = rows.schema["_arrival"].dataType.names if "_arrival" in rows.columns else []
+        place = [F.col("_arrival")[n] for n in arrival] + [F.lit(None)] * 2
+        rows = rows.select(*STATE_SCHEMA.names, place[0].cast("double").alias("_at"), place[1].cast("string").alias("_id"),
+                           F.lit(REPORTED).alias("_mark"))
+    rows = rows.select(*_PLACED.names, F.lit(order).alias("order"), F.lit(_hour(now or _now())).alias("written"))
+    rows, seen = counted(rows.hint("rebalance"))
+    rows.write.mode("append").partitionBy("order", "written").parquet(path)
+    return seen.get["n"]
+
+
+def state_snapshot(spark: SparkSession, path: str, order: str | None = None, purged: bool = False) -> DataFrame:
+    """The last row of every vessel with its place; vessels that were purged only on request."""
     order = _checked_order(spark, path, order)
-    bases = _committed(spark, path, "base")
-    start = _number(bases[-1]) if bases else 0
-    deltas = [n for n in _committed(spark, path, "delta") if _number(n) >= start]
-    upto = _number(deltas[-1]) + 1 if deltas else start
-    folders = [f"{path}/{n}" for n in bases[-1:] + deltas]
-    if not folders:
-        return spark.createDataFrame([], _VERSIONED).drop("_version"), upto
-    rows = spark.read.schema(_VERSIONED).parquet(*folders)
-    if len(folders) == 1:
-        return rows.drop("_version"), upto
+    if not paths.folders(spark, path):
+        return spark.createDataFrame([], _PLACED)
     seen = [] if order == "arrival" else ["last_seen_at"]
-    rank = F.struct(*seen, *_EXTRA.names)
-    return latest_by(rows, ["mmsi"], rank, [n for n in _VERSIONED.names if n != "_version"]), upto
+    rows = spark.read.schema(_STORED).parquet(path)
+    last = latest_by(rows, ["mmsi"], F.struct(*seen, *_PLACE.names), _PLACED.names)
+    return last if purged else last.where(F.col("_mark") != PURGED)
 
 
 def read_state(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
-    """The current state: last version per vessel, or by ``event_time`` its latest report."""
-    return state_snapshot(spark, path, order)[0].select(*STATE_SCHEMA.names)
+    """The current state: the last to arrive of every vessel, or by ``event_time`` its latest report."""
+    return state_snapshot(spark, path, order).select(*STATE_SCHEMA.names)
 
 
-def write_state_base(spark: SparkSession, path: str, state: DataFrame, upto: int) -> str:
-    """Write ``state``, a changed snapshot, as the base for versions below ``upto`` and drop what it replaces.
+def carry_state(spark: SparkSession, path: str, now: datetime | None = None, open_hours: int = OPEN_HOURS) -> list[str]:
+    """Append what is current in hours that nobody writes to any more to the present hour, then drop them; returns them.
 
-    The base before it and its deltas stay until the next time, for readers still on them.
+    Needed now and then, so that a reader finds little more than a row per vessel. One clean-up at a time; a reader
+    that still lists a dropped hour fails and is to be run again.
     """
-    order = _checked_order(spark, path, None)
-    bases = _committed(spark, path, "base")
-    serial = int(bases[-1].split("-")[3]) + 1 if bases else 0
-    name = f"base-{upto:012d}-{order}-{serial:012d}"
-    (state.select(*STATE_SCHEMA.names, "_at", "_id", F.lit(int(upto) - 1).cast("long").alias("_version"))
-     .write.mode("overwrite").parquet(f"{path}/{name}"))
-    for old in bases[:-1]:
-        paths.delete(spark, f"{path}/{old}")
-    if bases:
-        for old in _committed(spark, path, "delta"):
-            if _number(old) < _number(bases[-1]):
-                paths.delete(spark, f"{path}/{old}")
-    return name
-
-
-def append_track_rows(rows: DataFrame, path: str) -> None:
-    (rows.select(*TRACK_SCHEMA.names).hint("rebalance", "partition_hour")
-     .sortWithinPartitions("partition_hour", "mmsi", "event_time")
-     .write.mode("append").partitionBy("partition_hour").parquet(path))
+    order, now = stored_order(spark, path), now or _now()
+    if order is None:
+        return []
+    limit = "written=" + _hour(now - timedelta(hours=open_hours))
+    closed = [n for n in paths.folders(spark, f"{path}/order={order}") if n < limit]
+    if closed:
+        old = spark.read.schema(_STORED).parquet(path).where(F.col("written").isin([n.split("=", 1)[1] for n in closed]))
+        current = state_snapshot(spark, path, purged=True)
+        keep = (F.col("_mark") != PURGED) | (F.col("updated_at") > F.lit(now - timedelta(days=PURGED_DAYS)))
+        carried = current.where(keep).join(old.select("mmsi").distinct(), "mmsi", "left_semi")
+        append_state(carried, path, order, now)
+    for name in closed:
+        paths.delete(spark, f"{path}/order={order}/{name}")
+    return closed
+
+
+def append_track_rows(rows: DataFrame, path: str) -> int:
+    """Append track rows and return their number."""
+    rows, seen = counted(rows.select(*TRACK_SCHEMA.names).hint("rebalance", "partition_hour")
+                         .sortWithinPartitions("partition_hour", "mmsi", "event_time"))
+    (rows.write.mode("append").options(**bloom("mmsi")).partitionBy("partition_hour").parquet(path))
+    return seen.get["n"]
 
 
 def read_track(spark: SparkSession, path: str, since=None) -> DataFrame:

@@ -3,7 +3,7 @@
 Each job has its own checkpoint and its own sink, like separate consumer groups on one log. Micro-batches
 are bounded by the readers (``log.read_records``). A replayed batch repeats nothing in a folder, also under a new
 checkpoint with other batch borders: log records have their place by job and batch, archive and track rows are looked
-up by id, state deltas by job and batch. A failing sink fails the micro-batch, which is replayed from the checkpoint.
+up by id, and of a vessel's stored states the last to arrive counts. A failing sink fails the micro-batch, which is replayed from the checkpoint.
 Rows that can never be stored go to the log's quarantine topic, so one bad row neither holds up the others nor is lost.
 """
 
@@ -16,17 +16,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewake.functions import times
+from tidewake.functions.vessel import FRESH_MINUTES
 from tidewake.operators import ingest as ing
 from tidewake.operators import state as st
 from tidewake.operators import track as tr
 from tidewake.schemas import STATE_SCHEMA
-from tidewake.sources import archive, log, tables
+from tidewake.sources import archive, log, paths, tables
 
 # ---- Fixed values -------------------------------------------------------------------------
 STATE_FLUSH_ROWS = 500
 STATE_FLUSH_SECONDS = 5
+STALE_SECONDS = 300
 # -------------------------------------------------------------------------------------------
 
+SILENCE_DELAY = "10 minutes"
+
 
 def _trigger(seconds: float | None) -> dict:
     """Every ``seconds``, or with None everything available and then stop."""
@@ -59,10 +63,10 @@ def start_ingest(frames: DataFrame, sink: str | dict, checkpoint: str,
     """Frames to the log: canonical events on one topic, quarantined ones on the other.
 
     Both topics leave in one pass with the topic as a column: to a folder of files (path) or
-    Kafka (a dict of its options). ``spread`` deals frames out to so many tasks first; for sources of few splits,
-    since decoding is far dearer than moving the text.
+    Kafka (a dict of its options). ``spread`` deals frames out to so many tasks first, by their time of arrival, so that
+    records of one time lie together; for sources of few splits, since decoding is far dearer than moving the text.
     """
-    routed = ing.ingest(frames.repartition(spread) if spread else frames, future_s, stale_s).observe(
+    routed = ing.ingest(frames.repartitionByRange(spread, "received_at") if spread else frames, future_s, stale_s).observe(
         name, F.count("*").alias("frames"),
         F.count_if(F.col("_route") == "publish").alias("published"),
         F.count_if(F.col("_route") == "dlq").alias("quarantined"),
@@ -85,19 +89,53 @@ def _stored_part(batch: DataFrame, target: str, dlq: str | dict, run: str, batch
 
 def start_archive(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
                   seconds: float | None = archive.FLUSH_MAX_SECONDS,
-                  name: str = "archive") -> StreamingQuery:
+                  name: str = "archive", metrics: str | None = None) -> StreamingQuery:
     """Decoded log events to the hour-partitioned archive; known events are not stored again."""
+    def store(batch: DataFrame, run: str, batch_id: int) -> int:
+        return archive.write_archive(_stored_part(batch, "archive", dlq, run, batch_id), path)
+
+    return _start_sink(events, store, path, checkpoint, name, seconds, metrics)
+
+
+def _start_sink(events: DataFrame, store, path: str, checkpoint: str, name: str, seconds: float | None,
+                metrics: str | None) -> StreamingQuery:
+    """A consumer of the log: ``store(batch, run, batch_id)`` writes below ``path`` and returns the number of rows.
+
+    With ``metrics``, a folder, every batch leaves a row of counters there (``read_metrics``).
+    """
     def flush(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            run = run_of(batch.sparkSession, checkpoint)
-            archive.write_archive(_stored_part(batch, "archive", dlq, run, batch_id), path)
+            spark, run = batch.sparkSession, run_of(batch.sparkSession, checkpoint)
+            if metrics is None:
+                store(batch, run, batch_id)
+                return
+            before = paths.total(spark, path)
+            written = store(batch, run, batch_id)
+            files, size = (now - then for now, then in zip(paths.total(spark, path), before))
+            rows, poisoned = batch.agg(F.count(F.lit(1)), F.count_if(F.size("_bad") > 0)).first()
+            spark.createDataFrame([(name, run, batch_id, rows, poisoned, written, files, size)], METRICS).withColumn(
+                "at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(metrics)
         finally:
             batch.unpersist()
 
     return _for_each(_observed(events, name), flush, checkpoint, name, seconds)
 
 
+METRICS = "job string, run string, batch long, rows long, poisoned long, written long, files long, bytes long"
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """One row per job and batch: rows read, poisoned and written, new files and their bytes.
+
+    ``written`` counts archive rows, changed vessels or track points, by job. Of a batch that was replayed the greatest figures
+    count: what it had stored already is not written again.
+    """
+    rows = spark.read.schema(METRICS + ", at timestamp").parquet(path)
+    most = [F.max(c).alias(c) for c in ("rows", "poisoned", "written", "files", "bytes")]
+    return rows.groupBy("job", "run", "batch").agg(*most, F.max("at").alias("at"))
+
+
 def _observed(events: DataFrame, name: str) -> DataFrame:
     """Counts rows and poisoned rows into the query's progress."""
     return events.observe(name, F.count("*").alias("rows"),
@@ -105,8 +143,8 @@ def _observed(events: DataFrame, name: str) -> DataFrame:
 
 
 def _for_each(events: DataFrame, flush, checkpoint: str, name: str,
-              seconds: float | None) -> StreamingQuery:
-    return (events.writeStream.queryName(name).option("checkpointLocation", checkpoint)
+              seconds: float | None, mode: str = "append") -> StreamingQuery:
+    return (events.writeStream.queryName(name).option("checkpointLocation", checkpoint).outputMode(mode)
             .trigger(**_trigger(seconds)).foreachBatch(flush).start())
 
 
@@ -117,29 +155,24 @@ def _arrival(events: DataFrame) -> tuple[str, ...]:
 
 def start_state(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
                 seconds: float | None = STATE_FLUSH_SECONDS, order: str = "arrival",
-                name: str = "state") -> StreamingQuery:
-    """Latest state per vessel: each batch is reduced to its last row per vessel and stored as the
-    table's next delta. What is written grows with the batch, not with the table.
+                name: str = "state", metrics: str | None = None) -> StreamingQuery:
+    """Latest state per vessel: each batch is reduced to its last row per vessel, and these are appended. What is
+    written grows with the batch, not with the table; a batch stored twice changes nothing.
 
     A vessel's records share one Kafka partition, so the offset orders them.
     """
     arrival = _arrival(events)
 
-    def flush(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            run = run_of(batch.sparkSession, checkpoint)
-            good = _stored_part(batch, "state", dlq, run, batch_id)
-            rows = st.current_state(good, None, order, arrival, with_arrival=True)
-            tables.write_state_delta(rows, path, run, batch_id, order)
-        finally:
-            batch.unpersist()
+    def store(batch: DataFrame, run: str, batch_id: int) -> int:
+        good = _stored_part(batch, "state", dlq, run, batch_id)
+        return tables.append_state(st.current_state(good, None, order, arrival, with_arrival=True), path, order)
 
-    return _for_each(_observed(events, name), flush, checkpoint, name, seconds)
+    return _start_sink(events, store, path, checkpoint, name, seconds, metrics)
 
 
 def start_track(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
-                seconds: float | None = STATE_FLUSH_SECONDS, name: str = "track") -> StreamingQuery:
+                seconds: float | None = STATE_FLUSH_SECONDS, name: str = "track",
+                metrics: str | None = None) -> StreamingQuery:
     """Track rows, first (vessel, event id) wins.
 
     Keys are looked up in the batch's own event hours: an event id digests the whole frame, time
@@ -147,22 +180,57 @@ def start_track(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
     """
     arrival = _arrival(events)
 
+    def store(batch: DataFrame, run: str, batch_id: int) -> int:
+        good = _stored_part(batch, "state", dlq, run, batch_id, ing.TRACK_SERVICE)
+        rows = st.build_track_rows(good, arrival=arrival)
+        stored = archive.within(tables.read_track(batch.sparkSession, path), rows, ["partition_hour"])
+        return tables.append_track_rows(tr.append_small_batch(stored, rows), path)
+
+    return _start_sink(events, store, path, checkpoint, name, seconds, metrics)
+
+
+# ---- Stateful streams over the decoded log ---------------------------------------------------
+
+def stale_transitions(events: DataFrame, minutes: int = FRESH_MINUTES, delay: str = SILENCE_DELAY) -> DataFrame:
+    """The moments at which vessels fell silent: (mmsi, silent_since, stale_at, reports).
+
+    A vessel's reports with at most ``minutes`` between their arrivals are one session; the session that the watermark has
+    passed is a vessel that went STALE at its end. A later report begins another one. ``delay`` is how far arrivals may be out of
+    order in the log. State is a row per open session. Reports without position, vessel or arrival are left out.
+    """
+    arrived = (st.placed(events).select("mmsi", F.timestamp_seconds("ingested_at").alias("arrived")).where("arrived is not null")
+               .withWatermark("arrived", delay))
+    sessions = arrived.groupBy("mmsi", F.session_window("arrived", f"{int(minutes)} minutes").alias("open")).agg(
+        F.max("arrived").alias("silent_since"), F.count(F.lit(1)).alias("reports"))
+    return sessions.select("mmsi", "silent_since", F.col("open.end").alias("stale_at"), "reports")
+
+
+def start_stale(events: DataFrame, path: str, checkpoint: str, seconds: float | None = STALE_SECONDS,
+                minutes: int = FRESH_MINUTES, delay: str = SILENCE_DELAY, name: str = "stale") -> StreamingQuery:
+    """STALE transitions, each written once, to a folder of Parquet files."""
+    return (stale_transitions(events, minutes, delay).writeStream.queryName(name).format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(**_trigger(seconds)).start())
+
+
+def start_hourly(events: DataFrame, path: str, checkpoint: str, seconds: float | None = STATE_FLUSH_SECONDS,
+                 name: str = "hourly") -> StreamingQuery:
+    """Running counts of positions per event hour, as the log delivers them, late ones included.
+
+    State is one counter per hour. Each batch appends the new totals of the hours it changed, so a replayed batch appends the
+    same again and nothing is counted twice; ``read_hourly`` takes the greatest.
+    """
+    placed = st.build_track_rows(events).groupBy(F.window("event_time", "1 hour").alias("hour")).agg(F.count(F.lit(1)).alias("events"))
+
     def flush(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            run = run_of(batch.sparkSession, checkpoint)
-            good = _stored_part(batch, "state", dlq, run, batch_id, ing.TRACK_SERVICE)
-            rows = st.build_track_rows(good, arrival=arrival)
-            first, last = rows.agg(F.min("partition_hour"), F.max("partition_hour")).first()
-            if first is None:
-                return
-            stored = tables.read_track(batch.sparkSession, path).filter(
-                F.col("partition_hour").between(F.lit(first), F.lit(last)))
-            tables.append_track_rows(tr.append_small_batch(stored, rows), path)
-        finally:
-            batch.unpersist()
+        batch.select(F.col("hour.start").alias("partition_hour"), "events").hint("rebalance").write.mode("append").parquet(path)
 
-    return _for_each(_observed(events, name), flush, checkpoint, name, seconds)
+    return _for_each(placed, flush, checkpoint, name, seconds, "update")
+
+
+def read_hourly(spark: SparkSession, path: str) -> DataFrame:
+    """Positions per event hour. One checkpoint per folder."""
+    rows = spark.read.schema("partition_hour timestamp, events long").parquet(path)
+    return rows.groupBy("partition_hour").agg(F.max("events").alias("events"))
 
 
 # ---- The latest state as a stateful stream, for sinks that take updates --------------------
