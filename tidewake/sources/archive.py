@@ -113,8 +113,8 @@ def bloom(column: str) -> dict[str, str]:
 
 # ---- Small files ----------------------------------------------------------------------------
 
-def _files(spark: SparkSession, path: str, before: datetime) -> dict[tuple[str, str], list[int]]:
-    """File sizes of the hours that ended at ``before`` or earlier, from the listing."""
+def _closed(spark: SparkSession, path: str, before: datetime) -> dict[tuple[str, str], tuple[int, int]]:
+    """Files and bytes of the hours that ended at ``before`` or earlier, from the listing."""
     found = {}
     for day in paths.folders(spark, path):
         for hour in paths.folders(spark, f"{path}/{day}"):
@@ -123,7 +123,7 @@ def _files(spark: SparkSession, path: str, before: datetime) -> dict[tuple[str,
             except ValueError:
                 continue
             if start + timedelta(hours=1) <= before:
-                found[day[3:], hour[3:]] = paths.file_sizes(spark, f"{path}/{day}/{hour}")
+                found[day[3:], hour[3:]] = paths.total(spark, f"{path}/{day}/{hour}")
     return found
 
 
@@ -136,9 +136,9 @@ def compact_archive(spark: SparkSession, path: str, as_of: datetime, target_byte
     one dynamic overwrite, so a stop before its commit changes nothing. A reader that listed the old files before is to be run again.
     """
     as_of = as_of if as_of.tzinfo is None else as_of.astimezone(timezone.utc).replace(tzinfo=None)
-    closed = _files(spark, path, as_of - timedelta(seconds=times.STALE_TOLERANCE_S + times.FUTURE_TOLERANCE_S))
-    bins = {hour: max(1, -(-sum(sizes) // target_bytes)) for hour, sizes in closed.items()}
-    wanted = sorted(hour for hour, sizes in closed.items() if len(sizes) > bins[hour])
+    closed = _closed(spark, path, as_of - timedelta(seconds=times.STALE_TOLERANCE_S + times.FUTURE_TOLERANCE_S))
+    bins = {hour: max(1, -(-size // target_bytes)) for hour, (_, size) in closed.items()}
+    wanted = sorted(hour for hour, (files, _) in closed.items() if files > bins[hour])
     if dry_run or not wanted:
         return wanted
     for first in range(0, len(wanted), MOST_HOURS):

@@ -28,14 +28,6 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
-def file_sizes(spark: SparkSession, path: str) -> list[int]:
-    """Bytes of each data file directly in a folder."""
-    fs, p = _open(spark, path)
-    if not fs.exists(p):
-        return []
-    return [s.getLen() for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
-
-
 def total(spark: SparkSession, path: str) -> tuple[int, int]:
     """Files and bytes below a folder."""
     fs, p = _open(spark, path)
