@@ -57,11 +57,13 @@ def labelled(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str
     marks = marks.withColumn("pick", F.xxhash64("id")).where(keep).select("id", "toxic")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # At most 2 * (TOXIC + CLEAN) labels, whatever the input.
-    found = (texts.join(F.broadcast(marks), "id").where("text is not null")
-             .groupBy("toxic", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")))
+    found = stored(texts.join(F.broadcast(marks), "id").where("text is not null")
+                   .groupBy("toxic", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")), "labelled")
+    # Only label and hash are put in order; the texts stay where they are, spread by hash.
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    return found.withColumn("place", rank).where(
-        F.col("place") <= F.when(F.col("toxic") == 1, TOXIC).otherwise(CLEAN)).select("text", "toxic")
+    picked = found.select("toxic", "h").withColumn("place", rank).where(
+        F.col("place") <= F.when(F.col("toxic") == 1, TOXIC).otherwise(CLEAN)).select("toxic", "h")
+    return found.join(F.broadcast(picked), ["toxic", "h"], "left_semi").select("text", "toxic")
 
 
 _LETTERS: list[np.ndarray] = []
