@@ -78,6 +78,31 @@ def test_few_distinct_vectors_repeated_very_often(spark, distinct, seed):
         assert own[q] == [i for i in range(first, first + 6) if i != q][:5]
 
 
+def test_repeated_rows_and_ids_count_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(40)]
+    rows += rows + [(0, rng.normal(size=6).tolist()), (7, rows[0][1]), (7, rng.normal(size=6).tolist())]
+    got = permutation.nearest(spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA), F.col("id") % 20 == 0)
+    unit = {}
+    for i, v in rows:
+        v = np.array(v, np.float32).astype(float)
+        unit.setdefault(i, []).append(v / np.linalg.norm(v))
+    for q in (0, 20):
+        best = {i: max(a @ b for a in unit[q] for b in unit[i]) for i in unit if i != q}
+        mine = sorted((r for r in got.collect() if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in mine] == sorted(best, key=lambda i: (-best[i], i))[:5]
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
+        assert np.allclose([r.score for r in mine], [best[r.vec_id] for r in mine])
+
+
+def test_tiny_and_huge_components(spark):
+    schema = SCHEMA.replace("float", "double")
+    rows = [(0, [1e-200, 2e-200]), (1, [2e300, 4e300]), (2, [5e-324, 0.0]), (3, [1e308, -1e308])]
+    got = permutation.nearest(spark.createDataFrame([(*r, None, None) for r in rows], schema), F.col("id") == 0).collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in sorted(got, key=lambda r: r["rank"])] == [
+        (1, 1.0), (2, round(1 / 5 ** 0.5, 12)), (3, round(-1 / 10 ** 0.5, 12))]
+
+
 def test_gain_is_what_the_footrule_is_short_of():
     rng = np.random.default_rng(0)
     a, b = (rng.permutation(20)[:8].tolist() for _ in range(2))
