@@ -53,9 +53,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_roots: set[str] = set()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the shared one; the driver drops it when it ends."""
+    root = os.path.join(shared_dir(spark), f"tidewake-{spark.sparkContext.applicationId}")
+    if root not in _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _roots.add(root)
+    return root
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new, unused path in this application's scratch folder."""
+    return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
