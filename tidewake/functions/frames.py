@@ -16,6 +16,15 @@ KNOWN_MESSAGE_TYPES = ["PositionReport", "SubscriptionConfirmation", "ShipStatic
 TOP_LEVEL_KEYS = ["MessageType", "MetaData", "Message"]
 METADATA_KEYS = ["MMSI", "time_utc"]
 POSITION_KEYS = ["Latitude", "Longitude", "Sog", "Cog"]
+MISSING_TOP = "missing top-level key: "
+MISSING_META = "missing MetaData key: "
+MISSING_POSITION = "missing PositionReport key: "
+NO_META = "MetaData is not an object"
+NO_POSITION = "Message.PositionReport is not an object"
+NO_OBJECT = "payload is not a JSON object"
+BAD_TIME = "unparseable time_utc"
+BAD_VALUE = "invalid "
+BAD_TYPE = "unsupported MessageType: "
 # -------------------------------------------------------------------------------------------
 
 
@@ -184,19 +193,19 @@ def _rules() -> list[tuple[Column, Column]]:
     def missing(key: str) -> Column:
         return ~F.col(f"_has_{key}")
 
-    rules = [(missing(k), F.lit(f"missing top-level key: {k}")) for k in TOP_LEVEL_KEYS]
-    rules.append((~meta, F.lit("MetaData is not an object")))
-    rules += [(meta & missing(k), F.lit(f"missing MetaData key: {k}")) for k in METADATA_KEYS]
+    rules = [(missing(k), F.lit(MISSING_TOP + k)) for k in TOP_LEVEL_KEYS]
+    rules.append((~meta, F.lit(NO_META)))
+    rules += [(meta & missing(k), F.lit(MISSING_META + k)) for k in METADATA_KEYS]
     rules.append((F.col("_has_time_utc") & ~F.col("_time_null") & F.col("_event_ts").isNull(),
-                  shown("unparseable time_utc", f"{META}.time_utc")))
-    rules.append((~position, F.lit("Message.PositionReport is not an object")))
-    rules += [(position & missing(k), F.lit(f"missing PositionReport key: {k}"))
+                  shown(BAD_TIME, f"{META}.time_utc")))
+    rules.append((~position, F.lit(NO_POSITION)))
+    rules += [(position & missing(k), F.lit(MISSING_POSITION + k))
               for k in POSITION_KEYS]
     for key, (low, high) in NUMBER_LIMITS.items():
         number = F.col(f"_{key}")
         inside = number >= low if high is None else number.between(low, high)
         fine = F.col(f"_plain_{key}") & F.coalesce(inside, F.lit(False))
-        rules.append((position & ~fine, shown(f"invalid {key}", f"{POSITION}.{key}")))
+        rules.append((position & ~fine, shown(BAD_VALUE + key, f"{POSITION}.{key}")))
     return rules
 
 
@@ -215,14 +224,14 @@ def with_errors(fields: DataFrame) -> DataFrame:
         *[F.when(F.col(c), message) for c, (_, message) in zip(flags, rules)])))
     none = F.array().cast("array<string>")
     known = F.coalesce(F.col("message_type").isin(KNOWN_MESSAGE_TYPES), F.lit(False))
-    unsupported = F.concat(F.lit("unsupported MessageType: "), _shown(
+    unsupported = F.concat(F.lit(BAD_TYPE), _shown(
         field(F.col("frame"), "$.MessageType"), F.get_json_object("value", "$.MessageType")))
     is_frame = F.col("_is_frame") | F.coalesce(kind(F.col("frame")).startswith("OBJECT"), F.lit(False))
     errors = (F.when(F.col("message_type") == POSITION_REPORT,
                      F.when(any_broken, told).otherwise(none))
               .when(known, none)
               .when(is_frame, F.array(unsupported))
-              .otherwise(F.array(F.lit("payload is not a JSON object"))))
+              .otherwise(F.array(F.lit(NO_OBJECT))))
     return evaluated_once(fields.withColumns(flags).withColumn("_errors", errors).drop(*flags))
 
 
