@@ -203,14 +203,26 @@ def search_reach(points: DataFrame, rows: DataFrame, radius_m: float, limit: int
 
 def nearby_many(points: DataFrame, state: DataFrame, radius_m: float,
                 limit: int = NEARBY_LIMIT, method: str = "lambert") -> DataFrame:
-    """``nearby`` for a table of points ``(point_id, lat, lon)``: a grid join, the closest ``limit`` each.
+    """``nearby`` for a table of points ``(point_id, lat, lon)``: the closest ``limit`` each.
 
-    Points with the same search distance (``search_reach``) share a grid, which is why the level is
-    part of the join key.
+    Each exact position is searched once, however many points (reports of a moored vessel, say) share it, and the points take its
+    answer.
     """
     _check("radius_m", radius_m, 0, float("inf"), open_low=True)
     _check("limit", limit, 1, float("inf"))
-    radius_m = min(float(radius_m), HALF_WAY_ROUND_M)
+    places = points.select(F.struct("lat", "lon").alias("point_id"), "lat", "lon").distinct()
+    found = _nearby_places(places, state, min(float(radius_m), HALF_WAY_ROUND_M), limit, method)
+    found = found.select(F.col("point_id.lat").alias("lat"), F.col("point_id.lon").alias("lon"),
+                         *[c for c in found.columns if c != "point_id"])
+    return points.select("point_id", "lat", "lon").join(found, ["lat", "lon"]).drop("lat", "lon")
+
+
+def _nearby_places(points: DataFrame, state: DataFrame, radius_m: float, limit: int, method: str) -> DataFrame:
+    """The same by a grid join for points that differ in their positions.
+
+    Points with the same search distance (``search_reach``) share a grid, which is why the level is
+    part of the join key.
+    """
     placed = state.filter("latitude IS NOT NULL AND longitude IS NOT NULL").select(*SIDE)
     rows = _first_per_position(placed, limit)
     asked = search_reach(points.select("point_id", "lat", "lon"), rows, radius_m, limit)
