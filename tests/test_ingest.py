@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tests.helpers import ABSENT, ARRIVED, T0, VESSEL, event, events_df, feed_ti
 from tidewake.functions import frames as fr
 from tidewake.functions import times
 from tidewake.operators import ingest as ing
+from tidewake.schemas import EVENT_SCHEMA
 from tidewake.sources import frames as fs
 from tidewake.sources import log
 
@@ -202,3 +204,32 @@ def test_typed_reading_equals_variant_reading(spark, monkeypatch):
     typed = both()
     monkeypatch.setattr(fr, "_plain", lambda report, about: F.lit(False))
     assert both() == typed and 50 < certain < 600
+
+
+# ---- Decoding in two tiers ----------------------------------------------------------------
+
+def _walks(df) -> int:
+    """Values that the plan looks up by a path from the root of a VARIANT."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"variant_get\([^,()]+, \$\.", plan))
+
+
+def test_written_records_are_read_typed_and_any_other_text_alike(spark):
+    """A blank more, and the record is no longer what the ingest job writes: it is parsed as VARIANT and says the same."""
+    odd = [{}, {"raw": '{"a": "\\u00e9 \\" x"}'}, {"mmsi": "007", "ship_name": "1.50"}, {"ship_name": "true", "raim": None},
+           {"latitude": float("nan"), "sog_knots": float("-inf")}, {"event_id": None, "nav_status": None, "ingested_at": 1e-7},
+           {"ship_name": "[1]", "raw": None, "event_time": ""}, {"longitude": -0.5, "position_accuracy": False}]
+    written = log.to_log_records(events_df(spark, [event(**values) for values in odd]))
+    plain = log.decode_events(written)
+    other = log.decode_events(written.withColumn("value", F.concat("value", F.lit(" "))))
+    columns = [*EVENT_SCHEMA.names, "_bad"]
+    assert sorted(map(str, plain.select(columns).collect())) == sorted(map(str, other.select(columns).collect()))
+    assert plain.select("_bad").distinct().collect() == [([],)]
+    assert _walks(plain) == 0
+
+
+def test_a_record_with_other_kinds_is_not_taken_as_typed(spark):
+    rows = [('{"event_id":1.50,"raw":{"b": 1},"sog_knots":"12.5","raim":1}',), ('{"latitude":"north","nav_status":2.5}',), ("{broken",)]
+    got = log.decode_events(spark.createDataFrame(rows, "value string")).select("event_id", "raw", "sog_knots", "raim", "_bad").collect()
+    assert got[0] == ("1.5", '{"b":1}', 12.5, True, [])
+    assert "latitude" in got[1]["_bad"] and got[2]["_bad"] == ["value"]

@@ -85,11 +85,14 @@ def decode_events(records: DataFrame) -> DataFrame:
     """Canonical columns of log records, plus ``_value`` and ``_bad``.
 
     Empty records are skipped. ``_bad`` names every field that is present and not null but
-    cannot take its column's type.
+    cannot take its column's type. Two tiers: a record that a typed read and ``event_json`` give back letter by letter, as all
+    that the ingest job wrote, is as its types say; only any other one is parsed as VARIANT.
     """
-    v = records.filter("value IS NOT NULL").withColumn("_v", F.try_parse_json("value"))
-    v = v.withColumns({f"_f_{n}": fr.field(F.col("_v"), f"$.{n}") for n in EVENT_SCHEMA.names})
-    raw = {n: F.col(f"_f_{n}") for n in EVENT_SCHEMA.names}
+    staged = records.filter("value IS NOT NULL").withColumn("_typed", F.from_json("value", EVENT_SCHEMA))
+    staged = staged.withColumn("_certain", F.coalesce(F.to_json("_typed", KEEP_NULLS) == F.col("value"), F.lit(False)))
+    v = staged.withColumn("_v", F.when(~F.col("_certain"), F.try_parse_json("value")))
+    v = v.withColumn("_found", F.when(~F.col("_certain"), F.try_variant_get("_v", "$", "map<string,variant>")))
+    raw = {n: F.try_element_at("_found", F.lit(n)) for n in EVENT_SCHEMA.names}
 
     def typed(f) -> Column:
         value = raw[f.name]
@@ -103,10 +106,15 @@ def decode_events(records: DataFrame) -> DataFrame:
                   & F.try_variant_get(raw[n], "$", EVENT_SCHEMA[n].dataType.simpleString()).isNull(),
                   F.lit(n)) for n in _NUMBER_FIELDS]
     bad.append(F.when(F.col("_v").isNull(), F.lit("value")))
+    none = F.array().cast("array<string>")
+    fields = F.when(F.col("_certain"), F.struct(
+        *[F.col(f"_typed.{n}").alias(n) for n in EVENT_SCHEMA.names], none.alias("_bad"))).otherwise(F.struct(
+            *[typed(f).alias(f.name) for f in EVENT_SCHEMA], F.array_compact(F.array(*bad)).alias("_bad")))
     extra = [c for c in ("partition", "offset") if c in records.columns]
-    return fr.evaluated_once(v.select(
-        *[typed(f).alias(f.name) for f in EVENT_SCHEMA], F.col("value").alias("_value"),
-        F.array_compact(F.array(*bad)).alias("_bad"), *extra))
+    decoded = v.withColumn("_fields", fields).select(
+        *[F.col(f"_fields.{n}").alias(n) for n in EVENT_SCHEMA.names], F.col("value").alias("_value"),
+        F.col("_fields._bad").alias("_bad"), *extra)
+    return fr.evaluated_once(decoded)
 
 
 def read_log(spark: SparkSession, source: str | dict, streaming: bool = False,
