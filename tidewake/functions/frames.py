@@ -129,33 +129,42 @@ def with_fields(frames: DataFrame) -> DataFrame:
     if "frame" not in frames.columns:
         staged = staged.withColumn("frame", F.when(~F.col("_certain"), frame_variant("value")))
     f = F.col("frame")
+    # Each object is walked once; a path per value would walk the frame again for every key.
+    objects = {META: "_meta_keys", POSITION: "_position_keys"}
+    staged = staged.withColumns({"_kind_of": F.when(~F.col("_certain"), field(f, "$.MessageType")), **{
+        c: F.when(~F.col("_certain"), F.try_variant_get(f, path, "map<string,variant>")) for path, c in objects.items()}})
 
     def at(parent: str, key: str) -> Column:
-        return field(f, f"{parent}.{key}")
+        return F.try_element_at(F.col(objects[parent]), F.lit(key))
+
+    def there(key: str, parent: str) -> Column:
+        return F.when(F.col(objects[parent]).isNotNull(), F.lit(True)).otherwise(field(f, f"$.{key}").isNotNull())
 
     def double(key: str) -> Column:
-        return F.try_variant_get(f, f"{POSITION}.{key}", "double")
+        return as_double(at(POSITION, key))
 
     def text(parent: str, key: str) -> Column:
-        return F.try_variant_get(f, f"{parent}.{key}", "string")
+        return as_text(at(parent, key))
 
     def flag(key: str) -> Column:
         return report[key].isin("true", "1")
 
     yes = F.lit(True)
-    kind_of_type = kind(field(f, "$.MessageType"))
+    kind_of_type = kind(F.col("_kind_of"))
     scalars = {  # name: (of a plain report, of any other frame)
-        "message_type": (typed["MessageType"], F.when(kind_of_type == "STRING", text("$", "MessageType"))),
+        "message_type": (typed["MessageType"], F.when(kind_of_type == "STRING", as_text(F.col("_kind_of")))),
         "_is_frame": (yes, kind_of_type.isNotNull()),
         "_mmsi": (meta["MMSI"], text(META, "MMSI")),
         "_name": (meta["ShipName"], as_string_only(at(META, "ShipName"))),
         "_time": (meta["time_utc"], text(META, "time_utc")),
         "_time_null": (F.lit(False), F.is_variant_null(at(META, "time_utc"))),
         **{f"_{k}": (report[k], double(k)) for k in _NUMBERS},
-        "_nav": (report["NavigationalStatus"], F.try_variant_get(f, f"{POSITION}.NavigationalStatus", "int")),
+        "_nav": (report["NavigationalStatus"], F.try_variant_get(at(POSITION, "NavigationalStatus"), "$", "int")),
         "_accuracy": (flag("PositionAccuracy"), truth(at(POSITION, "PositionAccuracy"))),
         "_raim": (flag("Raim"), truth(at(POSITION, "Raim"))),
-        **{f"_has_{k}": (yes, field(f, f"$.{k}").isNotNull()) for k in TOP_LEVEL_KEYS},
+        "_has_MessageType": (yes, F.col("_kind_of").isNotNull()),
+        "_has_MetaData": (yes, there("MetaData", META)),
+        "_has_Message": (yes, there("Message", POSITION)),
         **{f"_has_{k}": (yes, at(META, k).isNotNull()) for k in METADATA_KEYS},
         **{f"_has_{k}": (yes, at(POSITION, k).isNotNull()) for k in POSITION_KEYS},
         **{f"_plain_{k}": (yes, F.coalesce(kind(at(POSITION, k)) != "STRING", F.lit(False))) for k in NUMBER_LIMITS},

@@ -38,14 +38,18 @@ def validate(frames: DataFrame) -> DataFrame:
                           (F.size("_errors") == 0).alias("valid"))
 
 
-def event_id(frame="frame", received_at=None) -> Column:
+def event_id(frame="frame", received_at=None, text=None) -> Column:
     """md5 of the key-sorted frame with its arrival stamp; without one, of the frame alone.
 
-    With the stamp a frame received twice has two ids; leave it out to identify content.
+    With the stamp a frame received twice has two ids; leave it out to identify content. ``text``, the frame's JSON, spares
+    looking for a stamp where it can hold none: neither its name nor an escaped letter.
     """
     frame = as_column(frame)
     keys = F.try_variant_get(frame, "$", "map<string,variant>")
     stamped = fr.field(frame, "$._received_at").isNotNull()
+    if text is not None:
+        text = as_column(text)
+        stamped = F.when(text.contains("_received_at") | text.contains("\\"), stamped).otherwise(F.lit(False))
     bare = F.map_filter(keys, lambda k, _: k != "_received_at")
     canonical = F.when(stamped, F.to_json(bare)).otherwise(F.to_json(frame))
     if received_at is None:
@@ -56,7 +60,7 @@ def event_id(frame="frame", received_at=None) -> Column:
 def canonical_columns() -> list[Column]:
     """The 18 canonical fields, over the columns of ``with_fields`` and ``_whole``, the frame as VARIANT."""
     columns = {
-        "event_id": event_id("_whole", "received_at"),
+        "event_id": event_id("_whole", "received_at", "value"),
         "schema_version": F.lit(SCHEMA_VERSION),
         "message_type": F.col("message_type"),
         "mmsi": F.coalesce("_mmsi", F.lit("None")),
