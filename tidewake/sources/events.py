@@ -142,6 +142,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_frames(events.repartition(spark.sparkContext.defaultParallelism))
 
 
+def by_arrival(events: DataFrame, tasks: int) -> DataFrame:
+    """Events dealt out to ``tasks`` by their time of arrival, so that records of one time lie together."""
+    return events.repartitionByRange(tasks, F.expr(POSITION_EXPR["ingested_at"]))
+
+
 def stream_events(spark: SparkSession, sf_dir: str, max_files: int | None = None,
                   max_bytes: int | None = BATCH_BYTES) -> DataFrame:
     """The ``events`` table as a file stream of bounded micro-batches."""
