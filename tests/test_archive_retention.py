@@ -262,3 +262,23 @@ def test_track_hours_prune(spark, tmp_path):
     plan = df.select("latitude")._jdf.queryExecution().executedPlan().toString()
     assert "partition_hour" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
     assert df.count() == 4
+
+
+def test_an_append_goes_through_its_events_twice_and_keeps_given_hours(spark, tmp_path):
+    path, seen = str(tmp_path / "archive"), spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    events = events_df(spark, [event(event_id=f"e{n}", event_time=feed_time(T0 + minutes(20 * n))) for n in range(6)])
+    counted = events.withColumn("event_time", F.udf(read, "string")("event_time"))
+    assert ar.write_archive(counted.limit(3), path) == 3
+    seen.value = 0
+    assert ar.write_archive(counted, path) == 3  # once to count rows and name hours, once to store
+    assert seen.value == 2 * 6
+    odd = events_df(spark, [event(event_id="t", event_time="?", ingested_at=0.0), event(event_id="u", event_time="?"), event(event_id="v")])
+    dated = ar.dated(odd, T0)
+    assert [r._timeless for r in dated.collect()] == [True, False, False]
+    assert dated.drop("_timeless").collect() == ar.with_partition(odd, T0).collect()
+    assert ar.write_archive(dated, path) == 3 and ar.read_archive(spark, path).count() == 9

@@ -24,8 +24,8 @@ MOST_HOURS = 2000  # hour folders that a filter lists by name
 FILE_BYTES = 128 << 20
 
 
-def to_archive_row(events: DataFrame) -> DataFrame:
-    """Coerce to the archive's column types: flags default to false, version to 1.0."""
+def to_archive_row(events: DataFrame, *extra: str) -> DataFrame:
+    """Coerce to the archive's column types: flags default to false, version to 1.0; ``extra`` columns stay."""
     fixed = {
         "schema_version": F.coalesce("schema_version", F.lit("1.0")),
         "mmsi": F.coalesce("mmsi", F.lit("None")),
@@ -33,7 +33,7 @@ def to_archive_row(events: DataFrame) -> DataFrame:
         "raim": F.coalesce("raim", F.lit(False)),
     }
     return events.select(*[fixed.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
-                           for f in EVENT_SCHEMA])
+                           for f in EVENT_SCHEMA], *extra)
 
 
 def with_partition(events: DataFrame, now=None) -> DataFrame:
@@ -47,12 +47,21 @@ def archive_rows(events: DataFrame, now=None) -> DataFrame:
     return with_partition(to_archive_row(events), now)
 
 
+def dated(events: DataFrame, now=None) -> DataFrame:
+    """``with_partition`` and ``_timeless``, neither a readable time nor an arrival; the time text is parsed once."""
+    arrival = F.nullif("ingested_at", F.lit(0.0))
+    at = F.coalesce("_parsed", F.timestamp_seconds(arrival), times.as_of_column(now))
+    return (events.withColumn("_parsed", times.parse_event_time("event_time")).withColumn("_at", at)
+            .withColumns({"dt": times.partition_date("_at"), "HH": times.partition_hour_text("_at"),
+                          "_timeless": F.col("_parsed").isNull() & arrival.isNull()}).drop("_parsed", "_at"))
+
+
 def _content() -> Column:
     return F.md5(F.to_json(F.struct(*EVENT_SCHEMA.names), {"ignoreNullFields": "false"}))
 
 
 def _unseen(rows: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
-    """The first row per key that the archive does not hold yet."""
+    """The first row per key that the archive does not hold yet. Rows are sorted by key: name what tells them apart first."""
     one = Window.partitionBy(*key).orderBy("ingested_at", "raw")
     first = rows.withColumn("_place", F.row_number().over(one)).filter("_place = 1").drop("_place")
     return first.join(stored.select(*key), list(key), "left_anti")
@@ -76,28 +85,41 @@ def write_archive(events: DataFrame, path: str, now=None) -> int:
     events fall into, so a replay adds nothing, whatever the borders of its batches, and no call
     replaces what another one wrote. An event with neither a readable time nor an arrival lies in the hour it was first stored
     in; it is looked up among all such events. One writer at a time. The rebalance hint lets the adaptive
-    plan merge small hours into one file and split an hour that holds most of the rows over many tasks.
+    plan merge small hours into one file and split an hour that holds most of the rows over many tasks. ``events`` that
+    ``dated`` gave their hour already, as a job does before it caches a batch, keep it.
     """
-    spark = events.sparkSession
-    timeless = (times.parse_event_time("event_time").isNull()
-                & F.nullif("ingested_at", F.lit(0.0)).isNull()).alias("_timeless")
-    rows = archive_rows(events, now).select("*", timeless)
-    count, nameless, untimed = rows.agg(F.count(F.lit(1)), F.count_if(F.col("event_id").isNull()), F.count_if("_timeless")).first()
+    if "_timeless" in events.columns:
+        rows = to_archive_row(events, "dt", "HH", "_timeless")
+    else:
+        rows = dated(to_archive_row(events), now)
+    # one pass counts the rows and names the hours
+    hours = rows.groupBy("dt", "HH").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("event_id").isNull()).alias("_nameless"),
+                                         F.count_if("_timeless").alias("_untimed")).persist()
+    try:
+        return _append(rows, hours, path)
+    finally:
+        hours.unpersist()
+
+
+def _append(rows: DataFrame, hours: DataFrame, path: str) -> int:
+    spark = rows.sparkSession
+    count, nameless, untimed = hours.agg(F.sum("_n"), F.sum("_nameless"), F.sum("_untimed")).first()
     if not count:
         return 0
     there = bool(paths.folders(spark, path))
-    stored = within(read_archive(spark, path), rows, ["dt", "HH"]) if there else empty_archive(spark)
-    kinds = [("NOT _timeless", stored, ("dt", "HH"))]
+    stored = within(read_archive(spark, path), hours, ["dt", "HH"]) if there else empty_archive(spark)
+    # a filter on a computed column goes below it as a copy: without any such row there is none, and times are parsed once
+    kinds = [("NOT _timeless" if untimed else "true", stored, ("dt", "HH"))]
     if untimed:
         among = read_archive(spark, path).filter("ingested_at IS NULL OR ingested_at = 0") if there else stored
         kinds.append(("_timeless", among, ()))
     new = []
     for which, among, hour in kinds:
         mine = rows.filter(which).drop("_timeless")
-        new.append(_unseen(mine.filter("event_id IS NOT NULL"), among.filter("event_id IS NOT NULL"), *hour, "event_id"))
+        new.append(_unseen(mine.filter("event_id IS NOT NULL"), among.filter("event_id IS NOT NULL"), "event_id", *hour))
         if nameless:
             by_content = [df.filter("event_id IS NULL").withColumn("_content", _content()) for df in (mine, among)]
-            new.append(_unseen(*by_content, *hour, "_content").drop("_content"))
+            new.append(_unseen(*by_content, "_content", *hour).drop("_content"))
     out = reduce(DataFrame.unionByName, new).select(*ARCHIVE_SCHEMA.names)
     out, seen = counted(out.hint("rebalance", "dt", "HH").sortWithinPartitions("dt", "HH", "mmsi"))
     (out.write.mode("append").option("compression", "snappy").options(**bloom("event_id"))
