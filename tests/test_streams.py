@@ -1,5 +1,7 @@
 import json
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import ARRIVED, T0, feed_time, frame, meta, minutes, position
 from tidewake.operators import ingest as ing
@@ -109,6 +111,36 @@ def test_batches_are_bounded(spark, pipeline):
         assert len([m for m in jobs.batch_metrics(query) if m["input_rows"]]) >= least > 1
 
 
+def test_batches_without_a_row_to_store_leave_the_sink_alone(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    log.write_records(spark.createDataFrame([(None, "{}", log.DLQ_TOPIC)], RECORD_SCHEMA), path)
+    monkeypatch.setattr(tables, "read_track", lambda *_: pytest.fail("the track was read"))
+    query = jobs.run_to_end(jobs.start_track(jobs.consume(spark, path), str(tmp_path / "t"), str(tmp_path / "ck"), path,
+                                             seconds=None, metrics=str(tmp_path / "m")))
+    assert query.exception() is None
+    row = jobs.read_metrics(spark, str(tmp_path / "m")).first()
+    assert (row.rows, row.poisoned, row.written, row.files) == (0, 0, 0, 0)
+
+
+def test_cached_batches_keep_the_text_of_refused_rows_only(spark, tmp_path):
+    records = spark.createDataFrame([("k", '{"event_id":"a","latitude":1.0}', log.RAW_TOPIC), ("k", '{"latitude":"x"}', log.RAW_TOPIC)],
+                                    RECORD_SCHEMA)
+    marked = ing.mark_poison(log.decode_events(records), "archive")
+    assert [(r._poison, r._broken, r._value) for r in marked.collect()] == [
+        (None, False, None), ("parquet_serialization_failed", True, '{"latitude":"x"}')]
+    good, bad = ing.split_poison(marked, "archive")
+    assert [r.event_id for r in good.collect()] == ["a"] and [r.event for r in bad.collect()] == ['{"latitude":"x"}']
+    assert good.columns == EVENT_SCHEMA.names
+
+
+def test_files_of_the_log_split_into_row_groups(spark, tmp_path):
+    text = F.concat(*[F.sha2(F.concat("id", F.lit(f" {n}")), 512) for n in range(8)])
+    rows = spark.range(50000, numPartitions=1).select(F.lit("k").alias("key"), text.alias("value"), F.lit("ais.raw").alias("topic"))
+    log.write_records(rows, str(tmp_path / "log"))
+    (file,) = (tmp_path / "log").rglob("*.parquet")
+    assert pq.ParquetFile(file).num_row_groups > 1
+
+
 def test_state_goes_on_after_clean_up_and_new_checkpoint(spark, pipeline):
     home, _, batch = pipeline
     path, log_path = str(home / "state"), str(home / "log")

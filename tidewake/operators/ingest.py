@@ -157,12 +157,21 @@ def poison_reason(target: str) -> Column:
                   F.lit(DB_INSERT_FAILED)))
 
 
+def mark_poison(decoded: DataFrame, target: str) -> DataFrame:
+    """Adds ``_poison``, the reason, and ``_broken`` in place of ``_bad``. Only rows that have a reason keep their text, so a
+    batch that is cached does not hold the others twice.
+    """
+    marked = decoded.withColumn("_poison", poison_reason(target))
+    return marked.withColumns({"_value": F.when(F.col("_poison").isNotNull(), F.col("_value")),
+                               "_broken": F.size("_bad") > 0}).drop("_bad")
+
+
 def split_poison(decoded: DataFrame, target: str, now=None,
                  service: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows that can be stored, quarantine rows); one bad row never holds up the others."""
-    marked = decoded.withColumn("_poison", poison_reason(target))
+    marked = decoded if "_poison" in decoded.columns else decoded.withColumn("_poison", poison_reason(target))
     service = service or (ARCHIVE_SERVICE if target == "archive" else STATE_SERVICE)
-    good = marked.filter("_poison IS NULL").drop("_poison", "_bad", "_value")
+    good = marked.filter("_poison IS NULL").drop("_poison", "_bad", "_broken", "_value")
     bad = log.to_dlq(marked.filter("_poison IS NOT NULL"), F.col("_value"), F.col("_poison"),
                      service, now)
     return good, bad

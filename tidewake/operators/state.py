@@ -13,6 +13,9 @@ from tidewake.schemas import STATE_SCHEMA, TRACK_SCHEMA
 STATE_COLUMNS = ["mmsi", "ship_name", "latitude", "longitude", "sog_knots", "cog_degrees",
                  "true_heading", "nav_status", "status", "last_seen_at"]
 ARRIVAL = ("ingested_at", "event_id")
+# What a state row is made from, beside its place in the order of arrival.
+EVENT_COLUMNS = ("mmsi", "ship_name", "latitude", "longitude", "sog_knots", "cog_degrees", "true_heading", "rate_of_turn",
+                 "nav_status", "event_time", "ingested_at")
 
 
 def placed(events: DataFrame) -> DataFrame:
@@ -34,11 +37,17 @@ def build_state_rows(events: DataFrame, now=None, arrival: Sequence[str] = ARRIV
         F.struct(*arrival).alias("_arrival"))
 
 
+def timed(events: DataFrame, now=None) -> DataFrame:
+    """Adds ``_at``, the instant a track row has."""
+    return events.withColumn("_at", times.effective_time("event_time", "ingested_at", times.as_of_column(now)))
+
+
 def build_track_rows(events: DataFrame, now=None, arrival: Sequence[str] = ARRIVAL) -> DataFrame:
-    at = times.effective_time("event_time", "ingested_at", times.as_of_column(now))
+    """Track rows with ``_arrival``; events that are ``timed`` already keep their instant."""
     extra = {"position": geo.point(), "event_time": F.col("_at"),
              "partition_hour": F.date_trunc("hour", "_at")}
-    return placed(events).withColumn("_at", at).select(
+    events = events if "_at" in events.columns else timed(events, now)
+    return placed(events).select(
         *[extra.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in TRACK_SCHEMA],
         F.struct(*arrival).alias("_arrival"))
 
@@ -76,10 +85,7 @@ def latest_state(rows: DataFrame, order: str = "arrival", with_arrival: bool = F
 def latest_events(events: DataFrame, arrival: Sequence[str] = ARRIVAL) -> DataFrame:
     """The last placed event of each vessel, as it arrived."""
     rank = F.col(arrival[0]) if len(arrival) == 1 else F.struct(*arrival)
-    columns = sorted({"mmsi", "ship_name", "latitude", "longitude", "sog_knots", "cog_degrees",
-                      "true_heading", "rate_of_turn", "nav_status", "event_time", "ingested_at",
-                      *arrival})
-    return latest_by(placed(events), ["mmsi"], rank, columns)
+    return latest_by(placed(events), ["mmsi"], rank, sorted({*EVENT_COLUMNS, *arrival}))
 
 
 def current_state(events: DataFrame, now=None, order: str = "arrival",

@@ -14,7 +14,7 @@ TRACK_WINDOW_HOURS = 12
 TRACK_RETENTION_HOURS = 24
 # -------------------------------------------------------------------------------------------
 
-KEY = ["mmsi", "event_id"]
+KEY = ["event_id", "mmsi"]  # rows are sorted by it: ids differ early, the numbers of vessels late
 KEYS_BROADCAST_BYTES = 32 * 1024 * 1024
 
 

@@ -18,6 +18,8 @@ DLQ_TOPIC = "ais.dlq"
 # What one micro-batch reads at most, unless the caller says otherwise.
 BATCH_BYTES = 256 << 20
 BATCH_OFFSETS = 500_000
+# A row group is what one task reads at least; smaller ones than usual let a batch of few files go to all cores.
+ROW_GROUP_BYTES = 16 << 20
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 _TEXT_FIELDS = [f.name for f in EVENT_SCHEMA if f.dataType.simpleString() == "string"]
@@ -150,5 +152,5 @@ def publish(records: DataFrame, sink: str | dict, run: str, batch: int) -> None:
         records.write.format("kafka").options(**sink).save()
         return
     (records.withColumns({"run": F.lit(run), "batch": F.lit(int(batch)).cast("long")})
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP_BYTES)
      .partitionBy("topic", "run", "batch").parquet(sink))

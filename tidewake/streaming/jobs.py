@@ -30,6 +30,7 @@ STALE_SECONDS = 300
 # -------------------------------------------------------------------------------------------
 
 SILENCE_DELAY = "10 minutes"
+MARKS = ("_poison", "_broken", "_value")
 
 
 def _trigger(seconds: float | None) -> dict:
@@ -78,42 +79,41 @@ def start_ingest(frames: DataFrame, sink: str | dict, checkpoint: str,
     return _for_each(ing.ingest_records(routed), flush, checkpoint, name, seconds)
 
 
-def _stored_part(batch: DataFrame, target: str, dlq: str | dict, run: str, batch_id: int,
-                 service: str | None = None) -> DataFrame:
-    """The rows of a batch that can be stored, after the others went to the quarantine topic."""
-    good, bad = ing.split_poison(batch, target, service=service)
-    if not bad.isEmpty():
-        log.publish(log.to_dlq_records(bad), dlq, run, batch_id)
-    return good
-
-
 def start_archive(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
                   seconds: float | None = archive.FLUSH_MAX_SECONDS,
                   name: str = "archive", metrics: str | None = None) -> StreamingQuery:
     """Decoded log events to the hour-partitioned archive; known events are not stored again."""
-    def store(batch: DataFrame, run: str, batch_id: int) -> int:
-        return archive.write_archive(_stored_part(batch, "archive", dlq, run, batch_id), path)
+    def store(good: DataFrame) -> int:
+        return archive.write_archive(good, path)
 
-    return _start_sink(events, store, path, checkpoint, name, seconds, metrics)
+    return _start_sink(events, "archive", archive.dated, store, path, checkpoint, dlq, name, seconds, metrics)
 
 
-def _start_sink(events: DataFrame, store, path: str, checkpoint: str, name: str, seconds: float | None,
-                metrics: str | None) -> StreamingQuery:
-    """A consumer of the log: ``store(batch, run, batch_id)`` writes below ``path`` and returns the number of rows.
+def _start_sink(events: DataFrame, target: str, prepare, store, path: str, checkpoint: str, dlq: str | dict, name: str,
+                seconds: float | None, metrics: str | None, service: str | None = None) -> StreamingQuery:
+    """A consumer of the log: ``store(good)`` writes the rows that can be stored below ``path`` and returns their number; the
+    others went to the quarantine topic before.
 
-    With ``metrics``, a folder, every batch leaves a row of counters there (``read_metrics``).
+    ``prepare`` leaves or adds the columns that ``store`` reads, before the batch is cached, so each is made once and no
+    others are kept. With ``metrics``, a folder, every batch leaves a row of counters there (``read_metrics``).
     """
     def flush(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = prepare(ing.mark_poison(batch, target)).persist()
         try:
             spark, run = batch.sparkSession, run_of(batch.sparkSession, checkpoint)
+            rows, poisoned, refused = batch.agg(F.count(F.lit(1)), F.count_if("_broken"), F.count("_poison")).first()
+            good, bad = ing.split_poison(batch, target, service=service)
+            if refused:
+                # few files: the log's consumers read them again, and bound their batches by files
+                log.publish(log.to_dlq_records(bad).hint("rebalance"), dlq, run, batch_id)
+            some = rows > refused  # a batch without a row to store leaves the sink alone
             if metrics is None:
-                store(batch, run, batch_id)
+                if some:
+                    store(good)
                 return
             before = paths.total(spark, path)
-            written = store(batch, run, batch_id)
+            written = store(good) if some else 0
             files, size = (now - then for now, then in zip(paths.total(spark, path), before))
-            rows, poisoned = batch.agg(F.count(F.lit(1)), F.count_if(F.size("_bad") > 0)).first()
             spark.createDataFrame([(name, run, batch_id, rows, poisoned, written, files, size)], METRICS).withColumn(
                 "at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(metrics)
         finally:
@@ -163,11 +163,13 @@ def start_state(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
     """
     arrival = _arrival(events)
 
-    def store(batch: DataFrame, run: str, batch_id: int) -> int:
-        good = _stored_part(batch, "state", dlq, run, batch_id)
+    def prepare(marked: DataFrame) -> DataFrame:
+        return marked.select(*sorted({*st.EVENT_COLUMNS, *arrival}), *MARKS)
+
+    def store(good: DataFrame) -> int:
         return tables.append_state(st.current_state(good, None, order, arrival, with_arrival=True), path, order)
 
-    return _start_sink(events, store, path, checkpoint, name, seconds, metrics)
+    return _start_sink(events, "state", prepare, store, path, checkpoint, dlq, name, seconds, metrics)
 
 
 def start_track(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
@@ -180,13 +182,16 @@ def start_track(events: DataFrame, path: str, checkpoint: str, dlq: str | dict,
     """
     arrival = _arrival(events)
 
-    def store(batch: DataFrame, run: str, batch_id: int) -> int:
-        good = _stored_part(batch, "state", dlq, run, batch_id, ing.TRACK_SERVICE)
+    def prepare(marked: DataFrame) -> DataFrame:
+        columns = {*tr.KEY, "latitude", "longitude", "sog_knots", "_at", *arrival}
+        return st.timed(marked).select(*sorted(columns), *MARKS)
+
+    def store(good: DataFrame) -> int:
         rows = st.build_track_rows(good, arrival=arrival)
-        stored = archive.within(tables.read_track(batch.sparkSession, path), rows, ["partition_hour"])
+        stored = archive.within(tables.read_track(good.sparkSession, path), rows, ["partition_hour"])
         return tables.append_track_rows(tr.append_small_batch(stored, rows), path)
 
-    return _start_sink(events, store, path, checkpoint, name, seconds, metrics)
+    return _start_sink(events, "state", prepare, store, path, checkpoint, dlq, name, seconds, metrics, ing.TRACK_SERVICE)
 
 
 # ---- Stateful streams over the decoded log ---------------------------------------------------
